@@ -92,10 +92,19 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES):
         lo = hi
 
 
+def normalised(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII and Latin-1 letters in lower case and ASCII punctuation as spaces."""
+    low = NORMAL[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    low[at] += 0x20
+    return low
+
+
 def words(data: np.ndarray, offs: np.ndarray, normal: bool = False):
     """Return (start byte, end byte, document, hash) of every word; with ``normal`` case and punctuation are dropped."""
     if normal:
-        data = NORMAL[data]
+        data = normalised(data)
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -121,3 +130,21 @@ def words(data: np.ndarray, offs: np.ndarray, normal: bool = False):
 def first_words(doc: np.ndarray, n: int) -> np.ndarray:
     """Where each document's words begin; one more entry for the end."""
     return np.searchsorted(doc, np.arange(n + 1))
+
+
+def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, hash) pairs in document order, and how often each occurs."""
+    if not len(h):
+        return doc, h, np.zeros(0, np.int64)
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
+    d, x = doc[order], h[order]
+    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])]))
+    return d[new], x[new], np.diff(np.append(new, len(d)))
+
+
+def long_ids(column: pa.Array) -> pa.Array:
+    """Identifiers as 64-bit integers; null stays null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.cast(pa.int64())
