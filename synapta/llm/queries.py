@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, packing, simhash_dedup, suffix_dedup, tokens
+from . import bitplanes, decontaminate, fingerprints, packing, simhash_dedup, suffix_dedup, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of 64 weighted samples of every document."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds passages of."""
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates, thousands of copies included."""
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
@@ -66,7 +76,27 @@ SELECT doc_id, CAST(min(pos) AS INTEGER) AS start_word, CAST(max(pos) + 50 AS IN
 FROM r GROUP BY doc_id, run
 """
 
-ORACLES = {"op1_suffix_array_dedup": _OP1}
+# words as the operator's normalisation makes them, then passages of 13 words or the whole of a shorter item
+_OP4 = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS ws FROM benchmark
+), bs AS (
+    SELECT item_id, ws, least(len(ws), 13) AS n, unnest(range(0, greatest(len(ws) - 12, 1))) AS pos FROM b WHERE len(ws) > 0
+), p AS (
+    SELECT DISTINCT item_id, n, array_to_string(ws[pos + 1 : pos + n], ' ') AS passage FROM bs
+), sizes AS (
+    SELECT DISTINCT n FROM p
+), ds AS (
+    SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM d, sizes WHERE len(ws) >= n
+), g AS (
+    SELECT doc_id, n, array_to_string(ws[pos + 1 : pos + n], ' ') AS passage FROM ds
+)
+SELECT doc_id, item_id, count(*) AS n_hits FROM g JOIN p USING (n, passage) GROUP BY doc_id, item_id
+"""
+
+ORACLES = {"op4_decontamination": _OP4, "op1_suffix_array_dedup": _OP1}
 
 
 def oracle_sql() -> dict[str, str]:
