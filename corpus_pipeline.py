@@ -1,23 +1,61 @@
-"""A corpus cleaned and packed in stages, each one an operator of synapta.llm over all that the stage before it kept."""
+"""A corpus cleaned and packed in five stages, each one an operator of synapta.llm over all that the stage before it kept.
+
+1. toxicity: documents that the classifier judges toxic go.
+2. near duplicates: one document of each SimHash group stays.
+3. repeated passages: passages of 50 words that documents share are cut from all but the first.
+4. decontamination: documents that hold a passage of the benchmark go.
+5. packing: what is left is cut into windows of 2048 tokens with boundary records.
+
+The first four return the columns they were given. ``run`` writes each stage's result and reads
+it again, so a lost executor costs at most a stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from synapta.llm import suffix_dedup
+from synapta.llm import decontaminate, packing, simhash_dedup, suffix_dedup, toxicity
+from synapta.llm._text import stored
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.remove(docs, _table(spark, sf_dir, "labels"))
 
 
-def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_dedup.remove(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(docs)
 
 
-STAGES = [("suffix_array_dedup", suffix_array_dedup)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
+#: SQL has neither the classifier nor the tokens; tests compare ``run`` with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
