@@ -11,11 +11,11 @@ doc_id hashes lowest), in one task; everything else covers all documents in one
 without a shuffle of texts. Only features of at least ``MIN_DOCS`` fitting documents that go with the
 label (a G-test of ``MIN_G``) have a weight; the threshold is the middle of the range that judges a held-out fifth best, a share of
 clean documents weighing ``CLEAN_WEIGHT`` times the same share of toxic ones. Near copies among
-the fitting documents count once.
+the fitting documents count once. The weights are then fitted to all of them.
 
 Sentences end at . ! ? and at line ends. Cases: texts that are null or have no word have
 probability 0 and no sentence; a null doc_id stays null; label rows with a null doc_id
-or label, or without a document, are ignored; labels that contradict each other count as toxic; without
+or label, or without a document, are ignored; labels that contradict each other count as toxic, and of texts that share a doc_id the first counts; without
 labels of both classes nothing is toxic. Rows that repeat are scored each. ``remove``
 keeps all columns and all documents that aren't judged toxic.
 """
@@ -118,14 +118,33 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float, float]
         base += len(s.doc)
     sent, col, doc = np.concatenate(sent), np.concatenate(col), np.concatenate(doc)
     held = np.arange(n) % 5 == 4
+    used, w, bias = _weights(sent, col, doc, labels, ~held)
+    found = np.zeros(1 << BITS)
+    found[used] = w
+    q = noisy_or(sigmoid(np.bincount(sent, found[col], minlength=len(doc)) + bias), doc, n)
+    score, truth = q[held], labels[held] == 1
+    threshold = 0.5
+    if truth.any() and not truth.all():
+        cuts = np.unique(np.concatenate([score, [0.5]]))
+        right = np.array([((score >= c) & truth).sum() / truth.sum() + CLEAN_WEIGHT * ((score < c) & ~truth).sum() / (~truth).sum() for c in cuts])
+        best = np.flatnonzero(right == right.max())
+        lower = score[score < cuts[best[0]]].max(initial=0.0)
+        threshold = min(max(float((lower + cuts[best[-1]]) / 2), 1e-6), 1 - 1e-6)
+    used, w, bias = _weights(sent, col, doc, labels, np.ones(n, bool))
+    weights[used] = w
+    return weights, float(bias), threshold
+
+
+def _weights(sent, col, doc, labels, fitting) -> tuple[np.ndarray, np.ndarray, float]:
+    """(columns, weights, bias) from the documents in ``fitting``: those that go with the label, thinned by a penalty, then fitted without it."""
+    n = len(labels)
     d, c, _ = counted(doc[sent], col.astype(np.uint64))
-    d, c = d[~held[d]], c[~held[d]].astype(np.int64)
+    d, c = d[fitting[d]], c[fitting[d]].astype(np.int64)
     has = [np.bincount(c[labels[d] == k], minlength=1 << BITS) for k in (0, 1)]
-    keep = ((has[0] + has[1] >= MIN_DOCS) & (g_test(has[1], has[0], (labels[~held] == 1).sum(), (labels[~held] == 0).sum()) >= MIN_G))[col]
+    keep = ((has[0] + has[1] >= MIN_DOCS) & (g_test(has[1], has[0], (labels[fitting] == 1).sum(), (labels[fitting] == 0).sum()) >= MIN_G))[col]
     sent, col = sent[keep], col[keep]
     used, x = np.unique(col, return_inverse=True)
-    live = ~held[doc]
-    total = (~held).sum()
+    live, total = fitting[doc], fitting.sum()
 
     def descend(sent, x, size, l1, l2, epochs):
         """Adam over weights of 0 or more, with the soft threshold of an L1 penalty in its metric."""
@@ -151,19 +170,7 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float, float]
     used, x = np.unique(used[x[some]], return_inverse=True)
     sent = sent[some]
     w, bias = descend(sent, x, len(used), 0, L2, 2 * EPOCHS)
-    p = sigmoid(np.bincount(sent, w[x], minlength=len(doc)) + bias)
-    q = noisy_or(p, doc, n)
-    score, truth = q[held], labels[held] == 1
-    if truth.any() and not truth.all():
-        cuts = np.unique(np.concatenate([score, [0.5]]))
-        right = np.array([((score >= c) & truth).sum() / truth.sum() + CLEAN_WEIGHT * ((score < c) & ~truth).sum() / (~truth).sum() for c in cuts])
-        best = np.flatnonzero(right == right.max())
-        lower = score[score < cuts[best[0]]].max(initial=0.0)
-        threshold = float((lower + cuts[best[-1]]) / 2)
-    else:
-        threshold = 0.5
-    weights[used] = w
-    return weights, float(bias), min(max(threshold, 1e-6), 1 - 1e-6)
+    return used, w, bias
 
 
 def _fit_udf(batches):
@@ -178,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sampled = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sampled = sampled[0].unionByName(sampled[1])  # at most 2 per_class narrow rows
-    rows = _texts(docs).join(F.broadcast(sampled), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+    rows = _texts(docs).join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     model = rows.repartition(1).mapInArrow(_fit_udf, "weights binary, bias double, threshold double").first()
     if model is None:
         return np.zeros(1 << BITS, "<f4").tobytes(), -30.0, 1.0
