@@ -9,7 +9,7 @@ without a label of their own, and are then located.
 The model is fitted on at most ``PER_CLASS`` labelled documents of each class (those whose
 doc_id hashes lowest), in one task; everything else covers all documents in one pass
 without a shuffle of texts. Only features of at least ``MIN_DOCS`` fitting documents that go with the
-label (a G-test of ``MIN_G``) have a weight; the threshold is the middle of the range that judges a held-out fifth best, a share of
+label (by a G-test that few words pass by chance) have a weight; the threshold is the middle of the range that judges a held-out fifth best, a share of
 clean documents weighing ``CLEAN_WEIGHT`` times the same share of toxic ones. Near copies among
 the fitting documents count once. The weights are then fitted to all of them.
 
@@ -22,6 +22,8 @@ keeps all columns and all documents that aren't judged toxic.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +35,6 @@ from .tokens import _texts
 
 PER_CLASS = 3000
 MIN_DOCS = 3
-MIN_G = 20.0
-BITS = 18
 EPOCHS = 150
 L1 = 0.00005
 L2 = 1e-6
@@ -46,6 +46,28 @@ _END[[10, 13, 33, 46, 63]] = True
 _KIND = pa.struct([("sentence", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("score", pa.float64())])
 
 
+class Model:
+    """Words by their 64-bit hashes, their weights, the bias and the threshold; without words nothing is toxic."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float, threshold: float):
+        order = np.argsort(hashes)
+        self.hashes, self.weights, self.bias, self.threshold = hashes[order], weights[order], bias, threshold
+        self.maybe = np.zeros(1 << self.BITS, bool)
+        self.maybe[(hashes >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+
+    def __reduce__(self):
+        return Model, (self.hashes, self.weights, self.bias, self.threshold)
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, number of the word) of those that have a weight."""
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
+        k = np.searchsorted(self.hashes, h[at])
+        ok = self.hashes[np.minimum(k, len(self.hashes) - 1)] == h[at] if len(self.hashes) else np.zeros(len(at), bool)
+        return at[ok], k[ok]
+
+
 class Sentences:
     """Sentences of a slice and their features; sentences without a word don't count."""
 
@@ -62,10 +84,11 @@ class Sentences:
         self.n_docs, self.data, self.offs = len(offs) - 1, data, offs
         self.features = h
 
-    def columns(self, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence, column) of each feature, once per sentence."""
-        s, c, _ = counted(self.sentence, self.features >> np.uint64(64 - bits))
-        return s, c.astype(np.int64)
+    def scores(self, model: Model) -> np.ndarray:
+        """The probability of each sentence."""
+        at, weight = model.lookup(self.features)
+        s, which, _ = counted(self.sentence[at], weight.astype(np.uint64))  # each word once per sentence
+        return sigmoid(np.bincount(s, model.weights[which.astype(np.int64)], minlength=len(self.doc)) + model.bias)
 
 
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -99,27 +122,27 @@ def distinct(texts: list[str]) -> np.ndarray:
     return np.flatnonzero(simhash_dedup.components(a, b, len(fp)) == every)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(weights, bias, threshold) from labelled documents."""
+def fit(texts: list[str], labels: np.ndarray) -> Model:
+    """The model of labelled documents."""
     labels = np.asarray(labels, float)
     first = distinct(texts)
     texts, labels = [texts[i] for i in first], labels[first]
     n = len(texts)
-    weights = np.zeros(1 << BITS)
     if not n or labels.min() == labels.max():
-        return weights, -30.0, 1.0
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0, 1.0)
     sent, col, doc, base = [], [], [], 0
     for lo, data, offs in slices(pa.array(texts, pa.string())):
         s = Sentences(data, offs)
-        a, c = s.columns()
+        a, c, _ = counted(s.sentence, s.features)
         sent.append(a + base)
         col.append(c)
         doc.append(s.doc + lo)
         base += len(s.doc)
-    sent, col, doc = np.concatenate(sent), np.concatenate(col), np.concatenate(doc)
+    sent, doc = np.concatenate(sent), np.concatenate(doc)
+    names, col = np.unique(np.concatenate(col), return_inverse=True)
     held = np.arange(n) % 5 == 4
     used, w, bias = _weights(sent, col, doc, labels, ~held)
-    found = np.zeros(1 << BITS)
+    found = np.zeros(len(names))
     found[used] = w
     q = noisy_or(sigmoid(np.bincount(sent, found[col], minlength=len(doc)) + bias), doc, n)
     score, truth = q[held], labels[held] == 1
@@ -129,10 +152,9 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, float, float]
         right = np.array([((score >= c) & truth).sum() / truth.sum() + CLEAN_WEIGHT * ((score < c) & ~truth).sum() / (~truth).sum() for c in cuts])
         best = np.flatnonzero(right == right.max())
         lower = score[score < cuts[best[0]]].max(initial=0.0)
-        threshold = min(max(float((lower + cuts[best[-1]]) / 2), 1e-6), 1 - 1e-6)
+        threshold = float(np.clip((lower + cuts[best[-1]]) / 2, 0.2, 0.8))  # a small held-out part can't pull it far
     used, w, bias = _weights(sent, col, doc, labels, np.ones(n, bool))
-    weights[used] = w
-    return weights, float(bias), threshold
+    return Model(names[used], w, float(bias), threshold)
 
 
 def _weights(sent, col, doc, labels, fitting) -> tuple[np.ndarray, np.ndarray, float]:
@@ -140,8 +162,10 @@ def _weights(sent, col, doc, labels, fitting) -> tuple[np.ndarray, np.ndarray, f
     n = len(labels)
     d, c, _ = counted(doc[sent], col.astype(np.uint64))
     d, c = d[fitting[d]], c[fitting[d]].astype(np.int64)
-    has = [np.bincount(c[labels[d] == k], minlength=1 << BITS) for k in (0, 1)]
-    keep = ((has[0] + has[1] >= MIN_DOCS) & (g_test(has[1], has[0], (labels[fitting] == 1).sum(), (labels[fitting] == 0).sum()) >= MIN_G))[col]
+    size = int(col.max(initial=-1)) + 1
+    has = [np.bincount(c[labels[d] == k], minlength=size) for k in (0, 1)]
+    least = 2 * np.log(max(2, size))  # so that fewer than one of all words passes by chance
+    keep = ((has[0] + has[1] >= MIN_DOCS) & (g_test(has[1], has[0], (labels[fitting] == 1).sum(), (labels[fitting] == 0).sum()) >= least))[col]
     sent, col = sent[keep], col[keep]
     used, x = np.unique(col, return_inverse=True)
     live, total = fitting[doc], fitting.sum()
@@ -176,45 +200,40 @@ def _weights(sent, col, doc, labels, fitting) -> tuple[np.ndarray, np.ndarray, f
 def _fit_udf(batches):
     rows = [(x["text"], x["toxic"]) for b in batches for x in b.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_pylist()]
     rows.sort(key=lambda r: (r[0] or "", r[1]))
-    weights, bias, threshold = fit([r[0] or "" for r in rows], np.array([r[1] for r in rows], float))
-    yield pa.record_batch([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias]), pa.array([threshold])], names=["weights", "bias", "threshold"])
+    yield pa.record_batch([pa.array([pickle.dumps(fit([r[0] or "" for r in rows], np.array([r[1] for r in rows], float)))], pa.binary())], names=["model"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[bytes, float, float]:
-    """Fit on a bounded sample of labelled documents; the model, of a fixed size, comes to the driver."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fit on a bounded sample of labelled documents; the model, some hundred words, comes to the driver."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sampled = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     sampled = sampled[0].unionByName(sampled[1])  # at most 2 per_class narrow rows
     rows = _texts(docs).join(F.broadcast(sampled), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    model = rows.repartition(1).mapInArrow(_fit_udf, "weights binary, bias double, threshold double").first()
-    if model is None:
-        return np.zeros(1 << BITS, "<f4").tobytes(), -30.0, 1.0
-    return bytes(model[0]), model[1], model[2]
+    found = rows.repartition(1).mapInArrow(_fit_udf, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([], np.zeros(0))
 
 
-def judged(data, offs, weights, bias, threshold):
+def judged(data, offs, model: Model):
     """(probabilities of documents, sentences, probabilities of sentences)."""
     s = Sentences(data, offs)
-    of, col = s.columns()
-    p = sigmoid(np.bincount(of, weights[col], minlength=len(s.doc)) + bias)
+    p = s.scores(model)
     return noisy_or(p, s.doc, s.n_docs), s, p
 
 
 def _score_udf(sent):
     def run(batches):
-        raw, bias, threshold = sent.value
-        weights = np.frombuffer(raw, "<f4").astype(float)
+        model = sent.value
         for b in batches:
             ids = long_ids(b.column(0))
             for lo, data, offs in slices(b.column(1)):
                 n = len(offs) - 1
-                q, s, p = judged(data, offs, weights, bias, threshold)
-                toxic = q >= threshold
+                q, s, p = judged(data, offs, model)
+                toxic = q >= model.threshold
                 count = np.bincount(s.doc, minlength=n)
                 top = np.zeros(n)
                 np.maximum.at(top, s.doc, p)
                 # of a toxic document: sentences that would be enough by themselves, or else the worst
-                bad = np.flatnonzero(toxic[s.doc] & ((p >= threshold) | (p == top[s.doc])))
+                bad = np.flatnonzero(toxic[s.doc] & ((p >= model.threshold) | (p == top[s.doc])))
                 chars = np.cumsum((data & 0xC0) != 0x80) if len(data) else np.zeros(0, int)
                 upto = np.concatenate([[0], chars])
                 first = np.concatenate([[0], np.cumsum(count)])
@@ -234,13 +253,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 def _keep_udf(sent, at: int):
     def run(batches):
-        raw, bias, threshold = sent.value
-        weights = np.frombuffer(raw, "<f4").astype(float)
+        model = sent.value
         for b in batches:
             keep = np.ones(len(b), bool)
             for lo, data, offs in slices(b.column(at).cast(pa.string())):
-                q, _, _ = judged(data, offs, weights, bias, threshold)
-                keep[lo : lo + len(q)] = q < threshold
+                q, _, _ = judged(data, offs, model)
+                keep[lo : lo + len(q)] = q < model.threshold
             yield b.filter(pa.array(keep))
 
     return run
