@@ -76,8 +76,9 @@ def salient_tokens(x) -> Column:
 
 def statement_template(x) -> Column:
     """The statement's skeleton, with <v> for each value."""
-    salient = salient_tokens(x)
-    return F.array_join(F.transform(tokens_of(x), lambda t: F.when(F.array_contains(salient, _bare(t)), F.lit("<v>")).otherwise(_bare(t))), " ")
+    # the set of values is bound once, as an element, lest it be made anew for each token
+    skeleton = lambda values: F.array_join(F.transform(F.transform(tokens_of(x), _bare), lambda t: F.when(F.array_contains(values, t), F.lit("<v>")).otherwise(t)), " ")
+    return F.transform(F.array(salient_tokens(x)), skeleton)[0]
 
 
 def token_count(x) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.nlp import keywords_udf, tags_udf
+from ..lineage import checkpointed
 from ..schema import Tunables
 from . import learning
 
@@ -71,9 +72,10 @@ def fused(cosine, nudge, keyword, tag) -> Column:
     return X.col(cosine) + X.col(nudge) * F.log1p(X.col(keyword)) + 0.5 * X.col(nudge) * F.log1p(X.col(tag))
 
 
-def nudge(cosine) -> Column:
+def nudge(cosine, window=None) -> Column:
     """A weight from the spread of similarities: 1.5 population deviations, within 0.01 and 0.10."""
-    return F.greatest(F.lit(0.01), F.least(F.lit(0.10), 1.5 * F.stddev_pop(cosine)))
+    spread = F.stddev_pop(cosine)
+    return F.greatest(F.lit(0.01), F.least(F.lit(0.10), 1.5 * (spread if window is None else spread.over(window))))
 
 
 def lexicon_matches(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -146,7 +148,7 @@ def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tun
     pool = by_words.unionByName(by_vectors).groupBy("query_id", "id").agg(F.min("place").alias("place"))
     pool = pool.join(queries, "query_id").join(beliefs, "id").join(scores, ["query_id", "id"], "left")
     pool = pool.withColumns({"keyword_score": F.coalesce("keyword_score", F.lit(0.0)), "tag_score": tag_overlap("query_tags", "conceptual_tags"), "cosine": F.coalesce(V.cosine("query_embedding", "embedding"), F.lit(0.0)), "blacklisted": F.coalesce(F.array_contains("blacklist", F.col("id")), F.lit(False))})
-    pool = pool.withColumn("nudge", nudge("cosine").over(Window.partitionBy("query_id"))).withColumn("score", fused("cosine", "nudge", "keyword_score", "tag_score"))
+    pool = pool.withColumn("nudge", nudge("cosine", Window.partitionBy("query_id"))).withColumn("score", fused("cosine", "nudge", "keyword_score", "tag_score"))
     return pool.withColumns({"mean_tokens": F.lit(float(one["mean_tokens"] or 30.0)), "has_memory": F.lit(bool(one["has_memory"]))})
 
 
@@ -272,7 +274,8 @@ def retrieve(queries: DataFrame, beliefs: DataFrame, expansions: dict[str, list[
     vocabulary = expansions if expansions is not None else learning.merged_expansions({}, {})
     q, groups = analyse(queries, vocabulary, t)
     q = q.select("query_id", "query_embedding", "query_tags", "blacklist")
-    pool = candidates(q, groups, b, t)
+    q, groups = checkpointed(q), checkpointed(groups)  # taggers run once
+    pool = checkpointed(candidates(q, groups, b, t))  # read five times below
     lexical = lexicon_matches(queries, lex)
     extra = lexical.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti").join(b, "id").join(q, "query_id")
     numbers = ["place", "relevance", "seq", "score", "cosine", "blacklisted", "mean_tokens", "has_memory"]
@@ -319,3 +322,20 @@ class Injector:
 
     def clear(self) -> None:
         self.recent = []
+
+
+def first_fit(sizes: Column, budget: float) -> Column:
+    """Which items fit, in order: the first always, a later one if it fits in what is left; those that don't are skipped."""
+    zero = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(0).cast("long").alias("used"))
+
+    def step(acc, n):
+        fits = (F.size(acc["out"]) == 0) | (acc["used"] + n <= budget)
+        return F.struct(F.array_append(acc["out"], fits).alias("out"), (acc["used"] + F.when(fits, n).otherwise(0)).cast("long").alias("used"))
+
+    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+
+
+def sampled(rows: DataFrame, strata: list[str], order: list[str], size: int) -> DataFrame:
+    """Round-robin over strata: the first of each, then the second of each, up to ``size``."""
+    w = Window.partitionBy(*strata).orderBy(*order)
+    return rows.withColumn("rn", F.row_number().over(w)).orderBy("rn", *strata).limit(size)

@@ -112,7 +112,7 @@ def decayed(beliefs: DataFrame, now: Column, t: Tunables = Tunables()) -> DataFr
     proof = 0.20 * F.least(F.lit(1.0), v / 10.0)
     target = F.least(F.lit(1.0), (t.decay_base + age + names + proof) * (0.5 + F.coalesce("stability_index", F.lit(0.5))))
     new = F.least(F.lit(1.0), old + (target - old) * t.decay_rate)
-    return b.drop("inbound").withColumns({"old_confidence": old, "new_confidence": new, "pruned": new < t.prune_below, "verifications": F.when(v > 0, F.greatest(F.lit(0.0), v - 0.05)).otherwise(v)})
+    return b.withColumns({"old_confidence": old, "new_confidence": new, "pruned": new < t.prune_below, "verifications": F.when(v > 0, F.greatest(F.lit(0.0), v - 0.05)).otherwise(v)}).drop("inbound")
 
 
 def decay(beliefs: DataFrame, now: Column, t: Tunables = Tunables()) -> DataFrame:
