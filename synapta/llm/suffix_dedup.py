@@ -17,10 +17,11 @@ rows of a few numbers. Buckets are counted with sorts that spill, never gathered
 into one row, so a passage in a million documents is a million small rows.
 
 Cases: null or blank texts and texts under ``min_words`` words have no
-passage. Ties go to the smallest doc_id, then the earliest word. Rows that repeat a
-doc_id are taken as one document each per text: the row's place counts. Null doc_id
-rows are passed through by ``remove`` and never reported. Extra columns are ignored
-by ``repeated_spans`` and kept by ``remove``. An empty table gives no rows.
+passage. Ties go to the smallest doc_id, then the earliest word. Rows that share a
+doc_id are one document, which doesn't repeat itself across documents: equal texts count once, and texts that
+differ are searched under the same id but left as they are by ``remove``, which couldn't tell them apart. Rows with a
+null doc_id are passed through by ``remove`` and never reported. Extra columns are ignored
+by ``repeated_spans`` and kept by ``remove``, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def _layout(data, offs):
     starts, ends, doc, h = words(data, offs)
     count = np.bincount(doc, minlength=len(offs) - 1)
     first = np.concatenate([[0], np.cumsum(count)])
-    return starts, ends, doc, h, first
+    return starts, ends, doc, h, first, count
 
 
 def _sample_udf(min_words: int):
@@ -92,7 +93,7 @@ def _sample_udf(min_words: int):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for lo, data, offs in slices(b.column(1)):
-                _, _, doc, h, first = _layout(data, offs)
+                _, _, doc, h, first, _ = _layout(data, offs)
                 if len(h):
                     at, bucket = _sampled(h, first[doc + 1], q, w)
                     yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(ids[lo + doc[at]]), pa.array((at - first[doc[at]]).astype(np.int32))], names=["bucket", "doc_id", "pos"])
@@ -109,12 +110,14 @@ def _refine_udf(min_words: int):
             places = b.column(2)
             values, bounds = places.flatten().to_numpy(), np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy())])
             for lo, data, offs in slices(b.column(1)):
-                _, _, doc, h, first = _layout(data, offs)
+                _, _, doc, h, first, count = _layout(data, offs)
                 n = len(h)
                 if not n:
                     continue
                 rows = len(offs) - 1
-                at = values[bounds[lo] : bounds[lo + rows]] + np.repeat(first[:-1], np.diff(bounds[lo : lo + rows + 1]))
+                row = np.repeat(np.arange(rows), np.diff(bounds[lo : lo + rows + 1]))
+                at = values[bounds[lo] : bounds[lo + rows]]
+                at = (at + first[row])[at < count[row]]  # another text of the same doc_id may be longer
                 # all suffixes of min_words words that hold a sampled suffix which still shares its bucket
                 marks = np.zeros(n + 1, np.int32)
                 np.add.at(marks, np.maximum(at + q - min_words, first[doc[at]]), 1)
@@ -208,15 +211,18 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = 2) -> Da
     Documents with nothing left but white space are dropped; documents that had no
     word before stay as they were.
     """
-    columns = docs.columns
     cuts = _spans(_places(docs, min_words, min_docs).where("not kept"), min_words)
-    cuts = cuts.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long") == cuts["__doc"], "left").drop("__doc")
-    was_blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
-    # only documents with cuts go through Python
-    same = joined.where("__cuts is null").drop("__cuts")
-    cut = joined.where("__cuts is not null")
-    cut = cut.mapInArrow(_cut_udf(columns, columns.index("text")), docs.schema).where(~was_blank)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(cut.select(*columns))
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    # texts that share a doc_id can't be told apart
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    unclear = texts.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
+    cuts = cuts.join(unclear, "doc_id", "left_anti")
+    names, at, key = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text"), docs.columns.index("doc_id")
+    plain = docs.toDF(*names)  # so that no column of the caller's meets one of ours
+    joined = plain.join(cuts, plain[f"c{key}"].cast("long") == cuts["doc_id"], "left").drop("doc_id")
+    same = joined.where("cuts is null").drop("cuts")
+    cut = joined.where("cuts is not null").mapInArrow(_cut_udf(names, at), plain.schema).where(F.col(f"c{at}").rlike(r"\S"))  # only these go through Python
+    if "n_chars" in docs.columns:
+        k = docs.columns.index("n_chars")
+        cut = cut.withColumn(f"c{k}", F.length(f"c{at}").cast(docs.schema[k].dataType))
+    return same.unionByName(cut.select(*names)).toDF(*docs.columns)
