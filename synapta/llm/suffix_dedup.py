@@ -138,10 +138,13 @@ def _shared(suffixes: DataFrame, min_docs: int) -> DataFrame:
     """Suffixes in buckets of at least two suffixes, in min_docs (1 or 2) documents; ``kept``: the first of its bucket."""
     w = Window.partitionBy("bucket").orderBy("doc_id", "pos")
     all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = suffixes.select(
-        "doc_id", "pos", F.row_number().over(w).alias("rk"), F.lead("pos").over(w).isNotNull().alias("more"), F.last("doc_id").over(all_).alias("hi"), F.first("doc_id").over(all_).alias("lo")
-    )
-    return rows.where((F.col("lo") != F.col("hi")) if min_docs > 1 else (F.col("more") | (F.col("rk") > 1))).select("doc_id", "pos", (F.col("rk") == 1).alias("kept"))
+    columns = [F.rank().over(w).alias("rk"), F.first("doc_id").over(all_).alias("lo"), F.last("doc_id").over(all_).alias("hi")]
+    several = F.col("lo") != F.col("hi")
+    if min_docs < 2:
+        columns += [F.first("pos").over(all_).alias("from"), F.last("pos").over(all_).alias("to")]
+        several = several | (F.col("from") != F.col("to"))
+    # rows of one place, of a document that is there twice, share a rank
+    return suffixes.select("doc_id", "pos", *columns).where(several).select("doc_id", "pos", (F.col("rk") == 1).alias("kept"))
 
 
 def _places(docs: DataFrame, min_words: int, min_docs: int) -> DataFrame:

@@ -1,0 +1,136 @@
+import random
+
+import numpy as np
+from llm_prose import prose
+
+from synapta.llm import simhash_dedup as S
+from synapta.llm import suffix_dedup as D
+
+
+def windows(rows, n=50):
+    """Words of each document, and who has each passage of n words."""
+    ws = {i: (t or "").split() for i, t in rows if i is not None}
+    where = {}
+    for i in sorted(ws):
+        for p in range(len(ws[i]) - n + 1):
+            where.setdefault(tuple(ws[i][p : p + n]), []).append((i, p))
+    return ws, where
+
+
+def brute_spans(rows, n=50):
+    ws, where = windows(rows, n)
+    places, gone = {}, {}
+    for at in where.values():
+        if len({i for i, _ in at}) > 1:
+            for k, (i, p) in enumerate(at):
+                places.setdefault(i, []).append(p)
+                if k:
+                    gone.setdefault(i, set()).update(range(p, p + n))
+    out = set()
+    for i, ps in places.items():
+        ps.sort()
+        start, end = ps[0], ps[0] + n
+        for p in [*ps[1:], None]:
+            if p is not None and p <= end:
+                end = p + n
+            else:
+                out.add((i, start, end, len(gone.get(i, set()) & set(range(start, end)))))
+                if p is not None:
+                    start, end = p, p + n
+    return out
+
+
+def test_spans_equal_brute_force(make, corpus):
+    got = {tuple(r) for r in D.repeated_spans(make(corpus)).collect()}
+    assert got == brute_spans(corpus) and len(got) > 15
+
+
+def test_one_document_can_repeat_itself(make):
+    p = prose(random.Random(1), 60)
+    assert D.repeated_spans(make([(1, p + " x y z " + p)])).count() == 0
+    assert D.repeated_spans(make([(1, p + " x y z " + p)]), min_docs=1).count() == 2
+
+
+def test_remove_leaves_no_repeats_and_nothing_else_changes(make, corpus):
+    docs = make(corpus)
+    kept = D.remove(docs).collect()
+    assert D.remove(docs).columns == docs.columns
+    by = {r.doc_id: r for r in kept if r.doc_id is not None}
+    assert set(by) == {i for i, _ in corpus if i is not None} - {100, 101, 102} and sum(r.doc_id is None for r in kept) == 2
+    whole = {i for i, _ in corpus if i is not None} - {s[0] for s in brute_spans(corpus) if s[3]}
+    for i, t in corpus:
+        if i in whole:
+            assert by[i].text == t
+    assert len(by[201].text.split()) == len(dict(corpus)[201].split()) - 60
+    assert all(r.n_chars == len(r.text) for r in kept if r.text is not None)
+    assert not brute_spans([(r.doc_id, r.text) for r in kept])
+
+
+def test_clashing_columns_repeats_and_empty_tables(make, corpus):
+    docs = make(corpus[:45], bucket="b", pos="p", __cuts="c", cuts="d", fp="f", node="n", u="u", anchor="a", __gone="g", c0="q")
+    assert D.remove(docs).columns == docs.columns == S.remove(docs).columns
+    assert D.remove(docs).count() == 42
+    twice = make(corpus[:45] + corpus[:45])
+    assert {tuple(r) for r in D.repeated_spans(twice).collect()} == brute_spans(corpus[:45])
+    none = make([])
+    assert D.repeated_spans(none).count() == D.remove(none).count() == S.groups(none).count() == S.remove(none).count() == 0
+    p = prose(random.Random(2), 55)
+    unclear = make([(1, p), (2, p + " tail"), (2, "short")])
+    assert D.remove(unclear).count() == 3
+
+
+def brute_groups(rows):
+    import pyarrow as pa
+
+    from synapta.llm._text import slices
+
+    rows = [(i, t) for i, t in rows if i is not None]
+    parts = [S.fingerprints_of(d, o) for _, d, o in slices(pa.array([t for _, t in rows], pa.string()))]
+    a, b, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    near = (np.bitwise_count(a[:, None] ^ a) <= S.WORD_BITS) & (np.bitwise_count(b[:, None] ^ b) <= S.PAIR_BITS) & (np.minimum(n[:, None], n) >= S.LENGTH_RATIO * np.maximum(n[:, None], n)) & (n[:, None] > 0) & (n > 0)
+    label = S.components(*np.nonzero(near), len(rows))
+    groups = {}
+    for (i, _), g, k in zip(rows, label, n):
+        if k:
+            groups.setdefault(g, set()).add(i)
+    return {(i, min(g), len(g)) for g in groups.values() if len(g) > 1 for i in g}
+
+
+def test_groups_equal_brute_force(make, corpus):
+    want = brute_groups(corpus)
+    assert {(i, i - 100) for i in range(100, 108)} <= {(i, g) for i, g, _ in want}
+    for blocks in (None, 4, 3):
+        assert {tuple(r) for r in S.groups(make(corpus), blocks).collect()} == want
+
+
+def test_chains_and_many_copies_are_one_group(make):
+    rng = random.Random(3)
+    words = prose(rng, 150).split()
+    rows = []
+    for i in range(60):  # each step is near the last, the ends are far apart
+        words[(i * 7) % 150] = f"step{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[0][1]) for i in range(300)]
+    want = brute_groups(rows)
+    assert {tuple(r) for r in S.groups(make(rows)).collect()} == want
+    assert {r.doc_id for r in S.remove(make(rows)).collect()} == {i for i, _ in rows} - {i for i, g, _ in want if i != g}
+
+
+def test_anchors_cover_and_meet():
+    rng = np.random.default_rng(1)
+    for width, r in ((16, 1), (21, 2), (22, 2)):
+        a = S.Anchors(width, r)
+        x = rng.integers(0, 1 << width, 500).astype(np.uint64)
+        assert np.bitwise_count(a.home(x) ^ x).max() <= 1
+        y = x.copy()
+        for _ in range(r):
+            y ^= np.uint64(1) << rng.integers(0, width, 500).astype(np.uint64)
+        at, anchor = a.replicas(y)
+        reached = set(zip(at.tolist(), anchor.tolist()))
+        assert all((i, h) in reached for i, h in enumerate(a.home(x).tolist()))
+
+
+def test_remove_keeps_nulls_and_one_of_each_group(make, corpus):
+    kept = S.remove(make(corpus)).collect()
+    want = {i for i, _ in corpus if i is not None} - {i for i, g, _ in brute_groups(corpus) if i != g}
+    assert {r.doc_id for r in kept if r.doc_id is not None} == want and sum(r.doc_id is None for r in kept) == 2
