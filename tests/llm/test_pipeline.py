@@ -1,0 +1,87 @@
+import random
+
+import corpus_pipeline
+import pytest
+from llm_prose import prose
+from test_dedup import brute_groups, brute_spans
+from test_judging import BAD, brute_hits, toxic_corpus
+from test_tokens import reference
+
+from synapta.llm import queries, suffix_dedup, tokens
+
+
+@pytest.fixture(scope="module")
+def folder(spark, make, tmp_path_factory):
+    rng = random.Random(12)
+    docs, labels = toxic_corpus(300, rng)
+    clean = [i for i, _, t in labels if not t]
+    texts = dict(docs)
+    items = [(k, prose(rng, 30)) for k in range(5)]
+    docs += [(1000 + k, texts[i]) for k, i in enumerate(clean[:10])]
+    docs += [(2000 + k, prose(rng, 40) + " " + items[k][1]) for k in range(5)]
+    passage = prose(rng, 70)
+    docs += [(3000 + k, prose(rng, 30) + " " + passage + " " + prose(rng, 30)) for k in range(4)]
+    docs += [(4000, None), (4001, ""), (None, "no number")]
+    d = tmp_path_factory.mktemp("tables")
+    make(docs).repartition(3, "doc_id").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", "<p>text</p>")], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return str(d), docs, labels, items
+
+
+def test_stages_against_brute_force(spark, folder, tmp_path):
+    d, docs, labels, items = folder
+    df, columns, seen = spark.read.parquet(f"{d}/documents.parquet"), None, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = columns or df.columns
+        stage(spark, df, d).write.parquet(f"{tmp_path}/{k}")
+        df = spark.read.parquet(f"{tmp_path}/{k}")
+        seen.append([(r.doc_id, r.text) for r in df.collect()] if k < 4 else sorted(df.collect(), key=lambda r: r.window_id))
+        assert df.columns == columns or k == 4
+    names = lambda rows: sorted(str(i) for i, _ in rows)
+    bad = {i for i, t in docs if any(w in (t or "") for w in BAD)}
+    assert names(seen[0]) == names([x for x in docs if x[0] not in bad])
+    gone = {i for i, g, _ in brute_groups(seen[0]) if i != g}
+    assert set(range(1000, 1010)) <= gone and names(seen[1]) == names([x for x in seen[0] if x[0] not in gone])
+    want = {i: (t or "").split() for i, t in seen[1] if i is not None}
+    for i, a, b, n in brute_spans(seen[1]):
+        assert n in (0, b - a)
+        if n:
+            want[i] = want[i][:a] + want[i][b:]
+    assert {i: (t or "").split() for i, t in seen[2] if i is not None} == want and len(brute_spans(seen[1])) == 4
+    dirty = {i for i, _, _ in brute_hits(seen[2], items)}
+    assert dirty == set(range(2000, 2005)) and names(seen[3]) == names([x for x in seen[2] if x[0] not in dirty])
+    r = reference()
+    assert sum(w.n_ids for w in seen[4]) == sum(len(r.encode_ordinary(t or "")) + 1 for _, t in seen[3])
+    packed = {x.doc_id for w in seen[4] for x in w.docs}
+    assert packed == {i for i, _ in seen[3]}
+    whole = corpus_pipeline.run(spark, d)
+    assert sum(w.n_ids for w in whole.collect()) == sum(w.n_ids for w in seen[4])
+
+
+def test_every_query_reads_its_whole_table(spark, folder):
+    d, docs, labels, items = folder
+    q = queries.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in q) == list(range(1, 11))
+    for name in ("op2_token_counts", "op3_fingerprints", "op7_toxicity", "op8_quality"):
+        assert q[name](spark, d).count() == len(docs)
+    assert {tuple(r) for r in q["op1_suffix_array_dedup"](spark, d).collect()} == brute_spans(docs)
+    assert {tuple(r) for r in q["op4_decontamination"](spark, d).collect()} == brute_hits(docs, items)
+    assert {tuple(r) for r in q["op5_simhash_dedup"](spark, d).collect()} == brute_groups(docs)
+    r = reference()
+    n = sum(len(r.encode_ordinary(t or "")) + 1 for _, t in docs)
+    assert sum(w.n_ids for w in q["op6_packing"](spark, d).collect()) == sum(b.n_ids for b in q["op10_token_blocks"](spark, d).collect()) == n
+    assert q["op9_html_extraction"](spark, d).first().text == "text"
+
+
+def test_results_do_not_depend_on_partitions(spark, folder):
+    d, docs, _, _ = folder
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(({tuple(r) for r in suffix_dedup.repeated_spans(df.repartition(int(n))).collect()}, {tuple(r) for r in tokens.token_counts(df.repartition(int(n))).collect()}))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
