@@ -25,6 +25,7 @@ _PLACE_CUES = frozenset("in at to from near".split())
 _NOT_NAMES = frozenset("i i'm i've the a an and but or so he she it we they you my his her their our this that these those there here yes no hi hello hey thanks oh well what when where who why how did do does is are was were".split())
 _IRREGULAR = {"met": "meet", "knew": "know", "known": "know", "went": "go", "ran": "run", "married": "marry", "kids": "kid", "wives": "wife", "parties": "party"}
 _VERB_ENDINGS = frozenset("is are was were be been am has have had do does did go goes went get got make made take took say said think thought want like love hate know feel felt".split())
+_PLAIN = STOPWORDS | QUESTION_WORDS | FILLER | _NOT_NAMES | _PLACE_CUES
 _WORD = re.compile(r"[^\W_][\w'’-]*", re.UNICODE)
 
 
@@ -93,7 +94,7 @@ def keywords(text: str | None, limit: int = 4) -> list[str]:
             close()
         end = m.end()
         verbal = lemma(low) in VERBS or low in _VERB_ENDINGS or low.endswith(("ly",))
-        if len(low) < 3 or low in STOPWORDS | QUESTION_WORDS | FILLER | _NOT_NAMES or verbal:
+        if len(low) < 3 or low in _PLAIN or verbal:
             close()
         else:
             run.append(w)

@@ -168,8 +168,8 @@ def elapsed_text(start, end) -> Column:
 
 def without_fence(x) -> Column:
     """A reply without the code fence around it."""
-    t = F.regexp_replace(F.trim(col(x)), "^```json", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "^```", ""), "```$", ""))
+    ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return ends(F.regexp_replace(F.regexp_replace(ends(col(x)), "^```(json)?", ""), "```$", ""))
 
 
 def next_fit(items: Column, size, limit: float) -> Column:

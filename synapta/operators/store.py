@@ -104,7 +104,7 @@ def decayed(beliefs: DataFrame, now: Column, t: Tunables = Tunables()) -> DataFr
     """One step of decay: (all columns, old_confidence, new_confidence, pruned); exempt categories aren't in it."""
     live = beliefs.where(~F.col("category").isin(*DECAY_EXEMPT))
     b = live.join(inbound(live), ["category", "id"], "left")
-    days = F.coalesce(F.greatest(F.lit(0), F.datediff(now, F.to_date("created_at"))), F.lit(30)).cast("double")
+    days = F.greatest(F.lit(0), F.coalesce(F.datediff(now, F.to_date("created_at")), F.lit(30))).cast("double")
     old = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))
     v = F.coalesce("verifications", F.lit(1.0))
     age = 0.40 * F.least(F.lit(1.0), F.log2(days + 1) / F.log2(F.lit(31.0)))
