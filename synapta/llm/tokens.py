@@ -105,7 +105,7 @@ class Ranks:
     def slot(self, key: np.ndarray) -> np.ndarray:
         return (mix(key.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def of(self, a, b) -> np.ndarray:
         """The rank of each pair; _NONE where they make no token."""
         key = a << 20 | b
         slot = self.slot(key)
