@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import NOT_SALIENT, SINGULAR
 
-PREFIX = r"^\[([\d\-: ]+)\]\s*"
-_TOKEN = r"(?U)([A-Za-z0-9][\w.\-/]*)"
+PREFIX = r"^\[([-\d: ]+)\]\s*"
+_TOKEN = r"(?U)([0-9A-Za-z][\w./\-]*)"
 _MONTHS = {m: f"{i:02d}" for i, m in enumerate("january february march april may june july august september october november december".split(), 1)}
 _MONTHS |= {m[:3]: n for m, n in _MONTHS.items()}
 
@@ -117,14 +117,15 @@ def relevance(confidence, stability, relations) -> Column:
 
 def infer_subject(x) -> Column:
     """The capitalised word that the content begins with; null if there is none."""
-    return F.nullif(F.regexp_extract(strip_prefix(x), "^([A-Z][a-zA-Z]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(strip_prefix(x), "^([A-Z][A-Za-z]+)", 1), F.lit(""))
 
 
 def spoken_date(x) -> Column:
     """``8:56 pm on 20 July, 2023`` as ``2023-07-20 20:56`` and ``May 8, 2023`` as ``2023-05-08``; other texts stay."""
     low = F.lower(F.trim(col(x)))
     months = F.create_map(*[F.lit(v) for kv in _MONTHS.items() for v in kv])
-    full, day = r"(\d+):(\d+)\s*(am|pm)\s+on\s+(\d+)\s+([a-z]+),?\s+(\d{4})", r"([a-z]+)\s+(\d+),?\s+(\d{4})"
+    year = r",?\s+([0-9]{4})"
+    full, day = r"(\d+):(\d+)\s*([ap]m)\s+on\s+([0-9]+)\s+([a-z]+)" + year, r"([a-z]+)\s+([0-9]+)" + year
     g = [F.regexp_extract(low, full, i) for i in range(7)]
     d = [F.regexp_extract(low, day, i) for i in range(4)]
     number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
@@ -187,4 +188,4 @@ def next_fit(items: Column, size, limit: float) -> Column:
 
 def sentences(x) -> Column:
     """Pieces between sentence ends or line ends, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(col(x), r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(x), r"(?<=[!?.])\s+|\n+"), F.trim), lambda s: s != "")

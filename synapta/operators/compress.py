@@ -15,7 +15,7 @@ from ..functions import text as X
 
 SUMMARY = "[Recollection of earlier turns]"
 _LIMITS = ((re.compile("gemini", re.I), 1_000_000), (re.compile("claude", re.I), 200_000), (re.compile("gpt-4|gpt-5|o1|o3", re.I), 128_000), (re.compile("llama|mistral|gemma|phi", re.I), 8_192))
-_FORMS = ("%Y-%m-%d %H:%M", "%Y-%m-%d", "%B %d, %Y %I:%M %p", "%B %d, %Y", "%I:%M %p on %d %B, %Y")
+_FORMS = "%Y-%m-%d %H:%M|%Y-%m-%d|%B %d, %Y %I:%M %p|%I:%M %p on %d %B, %Y|%B %d, %Y".split("|")
 
 
 def context_limit(explicit: int | None = None, model: str | None = None) -> int:
@@ -73,7 +73,7 @@ def divider(last: str, now: datetime) -> str:
         hours = gap.seconds // 3600
         ago = f"{gap.days} days, {hours} hours" if gap.days > 0 else f"{hours} hours, {gap.seconds % 3600 // 60} minutes"
     rule = "-" * 50
-    ended = then.strftime("%Y-%m-%d %H:%M") if then else "Unknown"
+    ended = f"{then:%Y-%m-%d %H:%M}" if then else "Unknown"
     return f"{rule}\n[Session Ended at: {ended}]\n[Time Elapsed since compression: {ago}]\n[New Session Started at: {now:%Y-%m-%d %H:%M}]\n{rule}"
 
 
@@ -110,7 +110,7 @@ def compress(messages: list[dict], model: Callable[[str], str], limit: int, now:
             summary = f"{SUMMARY}\n\n{previous}"
         except Exception as error:  # noqa: BLE001 - whatever the model raises is a failed call
             summary = f"{SUMMARY}\n\n[No recollection: {error}]"
-    out = messages[:protect] + ([{"role": "user", "content": summary, "is_compressed_summary": True}] if summary else []) + messages[start:]
+    out = messages[:protect] + ([dict(role="user", content=summary, is_compressed_summary=True)] if summary else []) + messages[start:]
     if end:
         out = [*out, {"role": "system", "content": divider(str(messages[-1].get("content") or ""), now), "is_session_divider": True}]
     return out, previous

@@ -28,7 +28,8 @@ def salvage(raw: str | None):
     start = (raw or "").find("[")
     if start < 0:
         return None
-    key = re.search(r'"(\w+)"\s*:\s*$', raw[:start])
+    before = raw[:start].rstrip()
+    key = re.search(r'"([^"]+)"\s*:$', before)
     decode, at, items = json.JSONDecoder().raw_decode, start + 1, []
     while True:
         at += len(raw[at:]) - len(raw[at:].lstrip(" \t\r\n,"))
@@ -100,7 +101,7 @@ def facts(data) -> list[dict]:
 
 def reviews(data) -> list[dict]:
     """Beliefs of a review."""
-    keys = ("term", "category", "instance", "subject", "relation")
+    keys = "term category instance subject relation".split()
     return [{"content": _text(x["content"]), **{k: _text(x.get(k)) for k in keys}, "aliases": _names(x.get("aliases")), "entities": _names(x.get("entities")), "source_indices": _numbers(x.get("source_indices"))} for x in items(data, "beliefs")]
 
 
@@ -152,9 +153,9 @@ def numbered(rows, text: str) -> Column:
 
 
 REVIEW = "Read this record of conversation excerpts, in time order, and state the lasting beliefs that it supports.\n\nRecord:\n"
-REVIEW_FORM = '\n\nAnswer with JSON only: {"beliefs": [{"content", "term", "aliases", "source_indices", "category", "instance", "subject", "relation", "entities"}]}. Write in the third person, make dates absolute, keep names and details; an empty list is a good answer.'
-EXTRACT_FORM = '\n\nState each fact of these turns by itself. Answer with JSON only: {"facts": [{"content", "category", "instance", "subject", "relation", "entities"}]}.'
-SYNTHESIS_FORM = '\n\nWhich three or more of these facts are parallel items about one person that one sentence could list? Answer with JSON only: {"merged": [{"content", "source_indices"}]}; none is a good answer.'
+REVIEW_FORM = '\n\nAnswer with JSON only: an object with the list beliefs; each has content, term, aliases (a list), source_indices (line numbers) and, where they apply, category, instance, subject, relation and entities. Write in the third person, make dates absolute, keep names and details; an empty list is a good answer.'
+EXTRACT_FORM = '\n\nState each fact of these turns by itself. Answer with JSON only: an object with the list facts; each has content and, where they apply, category, instance, subject, relation and entities.'
+SYNTHESIS_FORM = '\n\nWhich three or more of these facts are parallel items about one person that one sentence could list? Answer with JSON only: an object with the list merged; each has content and source_indices; none is a good answer.'
 
 
 def review(memory: DataFrame, model: Model, t: Tunables = Tunables()) -> tuple[DataFrame, DataFrame]:

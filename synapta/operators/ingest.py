@@ -62,7 +62,7 @@ def turn_events(turns: DataFrame) -> DataFrame:
     dated = F.col("content").startswith("Date:")
     t = turns.withColumn("content", content).where("content <> ''")
     t = t.withColumns({"ts": F.when(dated, X.spoken_date(F.trim(F.regexp_extract("content", r"^Date:([^\n]*)", 1)))), "body": F.trim(F.when(dated, F.regexp_replace("content", r"^Date:[^\n]*\n?", "")).otherwise(F.col("content")))})
-    name = r"(?Us)^([A-Z][\w \-'.]{0,40}?):\s+(.*)$"
+    name = r"(?Us)^([A-Z][\w '.-]{0,40}?)[:]\s+(.*)\z"
     speaker = F.nullif(F.regexp_extract("body", name, 1), F.lit(""))
     text = F.when(speaker.isNotNull(), F.regexp_extract("body", name, 2)).otherwise(F.col("body"))
     return t.select(text.alias("text"), F.coalesce("role", F.lit("user_input")).alias("source"), "ts", "session_id", "turn_id", speaker.alias("speaker"), "ingested_at", "seq")

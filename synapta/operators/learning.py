@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..schema import DEFAULT_EXPANSIONS, FILLER, STOPWORDS, Tunables
 
-ENTITY = r"^[A-Z][a-zA-Z]*(\s[A-Z][a-zA-Z]*){0,2}$"
+ENTITY = r"^[A-Z][A-Za-z]*(\s[A-Z][A-Za-z]*){0,2}$"
 
 
 def _first(df: DataFrame, *keys: str) -> DataFrame:

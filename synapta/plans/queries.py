@@ -159,7 +159,7 @@ def content_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_id("bel_", "text").alias("belief"), X.content_id("bel_synth_", F.concat(F.lit("synth:"), "text")).alias("synthesis"))
 
 
-@query("SELECT p_partkey, 'cluster_' || trim(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '_') || '_' || trim(regexp_replace(lower(trim(p_brand || ' #' || p_size)), '[^a-z0-9]+', '_', 'g'), '_') AS cluster FROM part")
+@query("SELECT p_partkey, 'cluster_' || trim(regexp_replace(lower(trim(p_name)), '[^0-9a-z]+', '_', 'g'), '_') || '_' || trim(regexp_replace(lower(trim(p_brand || ' #' || p_size)), '[^0-9a-z]+', '_', 'g'), '_') AS cluster FROM part")
 def slug_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", X.cluster_id("p_name", F.concat("p_brand", F.lit(" #"), "p_size")).alias("cluster"))
 
@@ -532,7 +532,7 @@ def concept_expansions(spark, d):
 
 
 @query("""WITH k AS (SELECT lower(r_name) AS subject, upper(left(n_name, 1)) || translate(lower(substr(n_name, 2)), '0123456789_ ', 'abcdefghij') AS entity, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT subject, 'nations' AS relation, string_agg(entity, '|' ORDER BY n_nationkey) AS entities FROM k WHERE regexp_matches(entity, '^[A-Z][a-zA-Z]*(\\s[A-Z][a-zA-Z]*){0,2}$') GROUP BY subject""")
+SELECT subject, 'nations' AS relation, string_agg(entity, '|' ORDER BY n_nationkey) AS entities FROM k WHERE regexp_matches(entity, '^[A-Z][A-Za-z]*(\\s[A-Z][A-Za-z]*){0,2}$') GROUP BY subject""")
 def relation_expansions(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     name = F.concat(F.upper(F.substring("n_name", 1, 1)), F.translate(F.lower(F.substring("n_name", 2, 100)), "0123456789_ ", "abcdefghij"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 CATEGORIES = ("premises", "propositions", "preferences", "people", "skills", "desires", "concepts", "memory")
-SINGULAR = {"premise": "premises", "proposition": "propositions", "preference": "preferences", "person": "people", "skill": "skills", "desire": "desires", "concept": "concepts", "memories": "memory"}
+SINGULAR = dict(pair.split(">") for pair in "premise>premises proposition>propositions preference>preferences person>people skill>skills desire>desires concept>concepts memories>memory".split())
 DECAY_EXEMPT = ("memory",)
 
 BELIEF = T.StructType(

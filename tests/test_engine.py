@@ -20,7 +20,7 @@ from synapta.sources.vector_store import HashedStore, RemoteIndexStore, create_v
 
 def beliefs(spark, rows):
     """Normalised beliefs from dictionaries; seq is the place in the list."""
-    full = [{f.name: None for f in BELIEF} | {"category": "premises", "confidence": 0.5, "stability_index": 0.5, "relations": [], "seq": i} | r for i, r in enumerate(rows)]
+    full = [{f.name: None for f in BELIEF} | {"seq": i, "category": "premises", "relations": [], "stability_index": 0.5, "confidence": 0.5} | r for i, r in enumerate(rows)]
     return store.normalize(spark.createDataFrame([tuple(r[f.name] for f in BELIEF) for r in full], BELIEF))
 
 
@@ -82,14 +82,14 @@ def test_cosine_of_zero_vectors_and_exact_neighbours(spark):
 
 
 def test_tags_and_keywords():
-    assert nlp.tags("Mike loves to go camping with his friends, Joel and Terry") == ["[person]", "[relation]", "[event]", "[person]", "[person]"]
+    assert " ".join(nlp.tags("Mike loves to go camping with his friends, Joel and Terry")) == "[person] [relation] [event] [person] [person]"
     assert nlp.tags(None) == [] and nlp.keywords("") == []
     assert nlp.keywords("a charity race near the homeless shelter")[:2] == ["charity race", "homeless shelter"]
     assert len(nlp.keywords("red green blue yellow purple orange")) <= 4
 
 
 def test_heads_keep_room_for_learned_vocabulary():
-    h = nlp.heads("What achievement did John share with friends and colleagues during the long hiking weekend trip there", DEFAULT_EXPANSIONS, {"john": {"friends": ["Bob", "Cindy"]}})
+    h = nlp.heads("What achievement did John share with friends and colleagues during the long hiking weekend trip there", DEFAULT_EXPANSIONS, {"john": dict(friends=["Bob", "Cindy"])})
     assert h[0].startswith("What achievement") and len(h) <= 16 and {"Bob", "Cindy", "finished"} <= set(h) and "John" in h
     assert "passionate" not in nlp.heads("uninteresting", DEFAULT_EXPANSIONS, {})
 
@@ -289,8 +289,8 @@ def test_fill_skips_what_is_too_long_and_weaves_exchanges():
 
 def test_injection_end_to_end(spark):
     s = HashedStore(16)
-    rows = [{"id": f"b{i}", "content": f"[2024-01-01] fact number {i} on topic{i}", "embedding": s.embed_text(f"fact number {i} on topic{i}")} for i in range(40)]
-    rows.append({"id": "tae", "content": "John trains twice a week", "layer": 2, "term": "taekwondo", "aliases": ["martial arts"], "embedding": s.embed_text("x")})
+    rows = [{"content": f"[2024-01-01] fact number {i} on topic{i}", "id": f"b{i}", "embedding": s.embed_text(f"fact number {i} on topic{i}")} for i in range(40)]
+    rows.append({"id": "tae", "content": "John trains twice a week", "aliases": ["martial arts"], "layer": 2, "term": "taekwondo", "embedding": s.embed_text("x")})
     inj = retrieval.Injector(beliefs(spark, rows), lambda text: [0.0] * 16)
     out = inj.inject("does he like martial arts or topic7", now="2024-06-01 12:00").split("\n")
     assert out[0] == "Current time: [2024-06-01 12:00]" and out[2] == "• John trains twice a week" and "topic7" in out[3] and "tae" in inj.recent and len(inj.recent) <= 15
@@ -339,8 +339,8 @@ def test_salvage(raw, want):
 
 def test_tolerant_readers():
     assert consolidate.facts(["plain", "", 3]) == [{"content": "plain"}]
-    f = consolidate.facts({"facts": [{"content": "a", "category": "sport", "subject": "Ann"}, {"content": " "}, "b", {"content": "c", "relation": "kids", "entities": ["Jo", ""], "subject": "D"}]})
-    assert f == [{"content": "a", "subject": "Ann"}, {"content": "b"}, {"content": "c", "subject": "D", "relation": "kids", "entities": ["Jo"]}]
+    f = consolidate.facts({"facts": [{"content": "a", "category": "sport", "subject": "Ann"}, {"content": " "}, "b", {"content": "c", "entities": ["Jo", ""], "relation": "kids", "subject": "D"}]})
+    assert f == [{"content": "a", "subject": "Ann"}, {"content": "b"}, {"content": "c", "subject": "D", "entities": ["Jo"], "relation": "kids"}]
     assert consolidate.merges({"merged": [{"content": "x", "source_indices": [1, "2", "z", 3]}, {"content": "y", "source_indices": [1, 2]}]}) == [{"content": "x", "source_indices": [1, 2, 3]}]
 
 
@@ -353,7 +353,7 @@ def test_review_forms_beliefs_and_retries_failures(spark):
             raise RuntimeError
         if "garbled" in prompt:
             return "not json"
-        return '```json\n{"beliefs": [{"content": "Ann loves taekwondo.", "term": "taekwondo", "aliases": ["martial arts", ""], "source_indices": [1, 2, 99, "x"]}]}\n```'
+        return '```json\n{"beliefs": [{"content": "Ann loves taekwondo.", "aliases": ["martial arts", ""], "term": "taekwondo", "source_indices": [1, 2, 99, "x"]}]}\n```'
 
     formed, done = consolidate.review(m, model)
     (r,) = formed.collect()
@@ -478,7 +478,7 @@ def test_long_lines_and_code():
 
 
 def test_tools_and_skills(spark, tmp_path):
-    t = spark.createDataFrame([('{"type": "function", "function": {"name": "add", "description": "Adds", "parameters": {"a": 1}}}',), ('{"type": "other", "function": {"name": "no"}}',), ('{"type": "function", "function": {"description": "nameless"}}',)], "json string")
+    t = spark.createDataFrame([('{"function": {"description": "Adds", "name": "add", "parameters": {"a": 1}}, "type": "function"}',), ('{"type": "other", "function": {"name": "no"}}',), ('{"type": "function", "function": {"description": "nameless"}}',)], "json string")
     (r,) = importers.import_function_tools(t).collect()
     assert (r.id, r.content) == ("tool_add", "Tool 'add': Adds") and json.loads(r.extra)["tool_name"] == "add"
     m = spark.createDataFrame([('{"tools": [{"name": "x", "description": "dx"}]}',), ('[{"name": "y", "description": "dy"}]',)], "json string")
