@@ -1,4 +1,4 @@
-"""Checkpoints: iterative operators cut their lineage in the folder that the session names."""
+"""Checkpoints, for which iterative operators use the folder that the session names, and the spreading of small scans."""
 
 from __future__ import annotations
 
@@ -7,6 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores, dealt out to all of them.
+
+    Only for a plain scan, of which the splits are known without running anything; a table with splits enough, that
+    is any large one, isn't shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write to the checkpoint folder (spark.checkpoint.dir; in local mode a temporary one if unset) and read from there."""
     spark = df.sparkSession

@@ -28,7 +28,8 @@ def searchable(beliefs: DataFrame) -> DataFrame:
 
 def postings(beliefs: DataFrame, text: str = "body") -> DataFrame:
     """(word, id) of every distinct word of every belief: the index that makes a term's cost its matches."""
-    return beliefs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORDS), 1))).alias("word"))
+    words = F.filter(F.array_distinct(F.split(text, r"[^\p{L}\p{M}\p{N}_]+")), lambda w: w != "")
+    return beliefs.select("id", F.explode(words).alias("word"))
 
 
 def _pattern(term: Column) -> Column:
@@ -39,6 +40,7 @@ def term_matches(terms: DataFrame, beliefs: DataFrame) -> DataFrame:
     """(term, id) of beliefs that hold the term between word boundaries: an equi-join on the term's first word, then the pattern for phrases."""
     t = terms.select("term").distinct().withColumn("word", F.regexp_extract("term", _WORDS, 1)).where("word <> ''")
     hits = t.join(postings(beliefs), "word")
+    hits = checkpointed(hits)  # read twice
     single = hits.where("term = word").select("term", "id")
     phrases = hits.where("term <> word").join(beliefs.select("id", "body"), "id").where(F.regexp_like("body", _pattern(F.col("term"))))
     return single.unionByName(phrases.select("term", "id"))
@@ -54,9 +56,10 @@ def keyword_scores(groups: DataFrame, beliefs: DataFrame, n: Column, t: Tunables
 
     groups: (query_id, grp, term, direct).
     """
-    m = term_matches(groups, beliefs)
-    weight = F.col("idf") * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight)
-    best = groups.join(m.join(idf(m, n), "term"), "term").groupBy("query_id", "grp", "id").agg(F.max(weight).alias("best"))
+    m = term_matches(groups, beliefs).withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    rarity = F.log1p(n / F.col("df")) / F.log1p(n)
+    weight = rarity * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight)
+    best = groups.join(m, "term").groupBy("query_id", "grp", "id").agg(F.max(weight).alias("best"))
     return best.groupBy("query_id", "id").agg(F.sum("best").alias("keyword_score"))
 
 
@@ -135,7 +138,7 @@ def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tun
     one = stats.first()  # a single row of totals
     n = one["n_beliefs"]
     k = max(30, min(60, int(0.10 * n)))
-    scores = keyword_scores(groups, beliefs, F.lit(float(max(1, n))), t)
+    scores = checkpointed(keyword_scores(groups, beliefs, F.lit(float(max(1, n))), t))
     light = beliefs.select("id", "relevance", "seq")
     # those without a match follow by relevance, and are the same for all queries
     popular = light.orderBy(F.desc("relevance"), "seq").limit(k)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.nlp import heads, tags_udf
-from ..lineage import checkpointed
+from ..lineage import checkpointed, spread
 from ..operators import clusters, compress, consolidate, ingest, learning, merge, retrieval, store
 from ..schema import DEFAULT_EXPANSIONS, FILLER, NOT_SALIENT, STOPWORDS
 from ..sources import importers
@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 _CATEGORIES = ("premises", "propositions", "preferences", "people", "skills", "desires", "concepts")
