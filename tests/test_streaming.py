@@ -1,0 +1,26 @@
+"""Streams over folders of Parquet files, run to their end."""
+
+from datetime import datetime
+
+from synapta.streaming import memory
+
+SCHEMA = "text string, source string, ts string, session_id string, turn_id string, speaker string, ingested_at timestamp, seq long"
+
+
+def test_replayed_events_are_stored_once(spark, tmp_path):
+    rows = [(f"Event number {i}.", "user_input", "2024-01-01 10:00", "s", f"t{i}", "Ann", datetime(2024, 1, 1), i) for i in range(4)]
+    folder = f"{tmp_path}/in"
+    for part in (rows[:3], rows[1:]):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(folder)
+        events = spark.readStream.schema(SCHEMA).parquet(folder)
+        memory.ingest(events, f"{tmp_path}/memory", f"{tmp_path}/state").start().awaitTermination()
+    assert sorted(r.turn_id for r in spark.read.parquet(f"{tmp_path}/memory").collect()) == ["t0", "t1", "t2", "t3"]
+
+
+def test_recent_injections_roll(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame([("s", f"b{i % 5}") for i in range(9)], "session_id string, id string").coalesce(1).write.parquet(folder)
+    seen = []
+    stream = memory.recent_injections(spark.readStream.schema("session_id string, id string").parquet(folder), size=3)
+    stream.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert [(r.session_id, r.recent) for r in seen] == [("s", ["b2", "b3", "b4"])]
