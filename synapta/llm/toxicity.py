@@ -6,6 +6,11 @@ a word speaks for toxicity (a weight above 0) or says nothing. A document's prob
 shares a label out among sentences, so the sentences that make a document toxic are learned
 without a label of their own, and are then located.
 
+The bias gives every sentence a small probability, even one without any word that speaks for
+toxicity, which would add up over a long document. So documents are judged by what sentences have
+beyond it, (p - p0) / (1 - p0) with p0 the probability of a sentence without words:
+a document without a word that has a weight scores 0 however long it is.
+
 The model is fitted on at most ``PER_CLASS`` labelled documents of each class (those whose
 doc_id hashes lowest), in one task; everything else covers all documents in one pass
 without a shuffle of texts. Only features of at least ``MIN_DOCS`` fitting documents that go with the
@@ -85,21 +90,27 @@ class Sentences:
         self.features = h
 
     def scores(self, model: Model) -> np.ndarray:
-        """The probability of each sentence."""
+        """The probability of each sentence beyond the bias."""
         at, weight = model.lookup(self.features)
         s, which, _ = counted(self.sentence[at], weight.astype(np.uint64))  # each word once per sentence
-        return sigmoid(np.bincount(s, model.weights[which.astype(np.int64)], minlength=len(self.doc)) + model.bias)
+        return beyond(np.bincount(s, model.weights[which.astype(np.int64)], minlength=len(self.doc)), model.bias)
 
 
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """1 - prod(1 - p) over each document's sentences."""
-    return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+    return 0.0 - np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def beyond(z: np.ndarray, bias: float) -> np.ndarray:
+    """What weights of z add to the probability that the bias gives: 0 without weights."""
+    none = sigmoid(np.float64(bias))
+    return np.maximum(sigmoid(z + bias) - none, 0) / (1 - none)
+
+
 def g_test(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
     """G of the table of a of n against b of m."""
     total = np.zeros(len(a))
@@ -144,7 +155,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     used, w, bias = _weights(sent, col, doc, labels, ~held)
     found = np.zeros(len(names))
     found[used] = w
-    q = noisy_or(sigmoid(np.bincount(sent, found[col], minlength=len(doc)) + bias), doc, n)
+    q = noisy_or(beyond(np.bincount(sent, found[col], minlength=len(doc)), bias), doc, n)
     score, truth = q[held], labels[held] == 1
     threshold = 0.5
     if truth.any() and not truth.all():

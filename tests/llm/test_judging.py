@@ -113,6 +113,20 @@ def test_held_out_documents_and_their_sentences(make, toxic):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in rows if not r.toxic)
 
 
+def test_length_alone_makes_no_document_toxic(make):
+    rng = random.Random(7)
+    docs, labels = toxic_corpus(400, rng)
+    truth = [int(i % 10 == 0 or t) for i, _, t in labels]  # some toxic documents that no word explains hold the bias up
+    model = toxicity.fit([t for _, t in docs], np.array(truth, float))
+    assert len(model.hashes) and toxicity.sigmoid(np.float64(model.bias)) > 1e-5
+    for n in (1, 1000, 50_000):
+        plain = "Plain words stand here. " * n
+        for text, toxic in ((plain, False), (plain + "One grunk.", True)):
+            q = np.concatenate([toxicity.judged(data, offs, model)[0] for _, data, offs in slices(pa.array([text], pa.string()))])
+            assert len(q) == 1 and (q[0] >= model.threshold) == toxic, (n, toxic)
+            assert toxic or q[0] == 0
+
+
 def test_without_labels_nothing_is_toxic(spark, make, toxic):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make(toxic[0][:20])
