@@ -5,14 +5,14 @@ power 0.6, and of word pairs. Documents are near duplicates when the first diffe
 at most ``WORD_BITS`` bits, the second in at most ``PAIR_BITS``, and the shorter one has
 at least ``LENGTH_RATIO`` of the other's words. Groups are the connected components.
 
-Search is exact. The first SimHash is cut into blocks, so near fingerprints agree up to
+README has the recall of these thresholds by Jaccard of 3-word shingles. Search is exact within them. The first SimHash is cut into blocks, so near fingerprints agree up to
 r = WORD_BITS // blocks bits in some block. The anchors of a block are the words of a
 perfect Hamming code (on its low 2**k - 1 bits; the rest are free), whose covering
 radius R is 1. Each fingerprint is replicated to every anchor within R + r, and is at home
 at its nearest one: a near fingerprint's replicas must reach that home, so fingerprints
 are compared per anchor, homes against replicas. More blocks mean fewer replicas but more
-comparisons (the share of all pairs that is compared is 0.8 % with 4 blocks, 0.2 % with
-3, 0.002 % with 2), so their number follows from the number of fingerprints.
+comparisons (178 replicas and 4.3 % of all pairs with 4 blocks, 1,516 and 0.9 % with 3),
+so their number follows from the number of fingerprints.
 
 Equal fingerprints are one node, and an anchor sends on a forest rather than all pairs,
 so thousands of copies are thousands of rows, not millions.
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ._text import checkpoint, counted, long_ids, pair, slices, words
 
-WORD_BITS = 7
-PAIR_BITS = 12
+WORD_BITS = 11
+PAIR_BITS = 14
 LENGTH_RATIO = 0.7
 _POWER = 0.6
 _TILE = 1 << 15
@@ -120,7 +120,7 @@ class Anchors:
 
 def blocks_for(n: int) -> int:
     """Blocks for n fingerprints: where a replica costs about as much as 500 comparisons."""
-    share = {4: (38, 8.4e-3), 3: (297, 2.2e-3), 2: (2592, 2e-5)}  # rows of a fingerprint, share of pairs compared
+    share = {4: (178, 4.3e-2), 3: (1516, 9.4e-3)}  # rows of a fingerprint, share of pairs compared
     return min(share, key=lambda b: share[b][0] * 500 + share[b][1] * n)
 
 
@@ -132,9 +132,10 @@ def _cuts(blocks: int) -> list[tuple[int, int]]:
 def _replicate_udf(blocks: int):
     def run(batches):
         made: dict[int, Anchors] = {}
+        step = 4096 if blocks > 3 else 256
         for b in batches:
-            for lo in range(0, len(b), 4096):
-                part = b.slice(lo, 4096)
+            for lo in range(0, len(b), step):
+                part = b.slice(lo, step)
                 fp = part.column("fp").to_numpy().view(np.uint64)
                 for j, (low, width) in enumerate(_cuts(blocks)):
                     x = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)

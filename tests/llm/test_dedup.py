@@ -116,6 +116,25 @@ def test_chains_and_many_copies_are_one_group(make):
     assert {r.doc_id for r in S.remove(make(rows)).collect()} == {i for i, _ in rows} - {i for i, g, _ in want if i != g}
 
 
+def test_near_copies_by_shingles_are_found(make):
+    rng = random.Random(11)
+
+    def shingles(w):
+        return {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+
+    rows, near = [], set()
+    for i in range(300):
+        old = prose(rng, rng.randint(50, 300)).split()
+        new = [f"other{rng.randrange(10**6)}" if rng.random() < 0.06 else w for w in old]
+        a, b = shingles(old), shingles(new)
+        if 0.7 <= len(a & b) / len(a | b) < 0.9:
+            near.add(i)
+        rows += [(i, " ".join(old)), (1000 + i, " ".join(new))]
+    found = {r.doc_id - 1000: r.group_id for r in S.groups(make(rows)).collect() if r.doc_id >= 1000}
+    assert len(near) > 100 and np.mean([i in found for i in near]) >= 0.9
+    assert all(i == g for i, g in found.items())
+
+
 def test_anchors_cover_and_meet():
     rng = np.random.default_rng(1)
     for width, r in ((16, 1), (21, 2), (22, 2)):
