@@ -9,7 +9,8 @@ page's smoothed ratios, are content; runs of such lines are the regions.
 Scripts, styles, templates, titles, comments and declarations aren't text. Character references are
 decoded. Cases: a null page gives null text, a page without text gives an empty one; unclosed and crossed
 tags and broken markup are read as the parser reads them; a null page_id stays null; rows
-that repeat are read each; other columns are ignored. Pages are read whole.
+that repeat are read each; other columns are ignored. Pages are read whole; marked sections other than CDATA,
+like <![endif]--> or <![foo]>, are skipped to their >.
 """
 
 from __future__ import annotations
@@ -83,6 +84,12 @@ class Lines(HTMLParser):
             self.end_line()
             self.parts.append(line)
 
+    def parse_html_declaration(self, i):
+        """As browsers do: marked sections other than CDATA are comments that end at the next >; the library raises at those it doesn't know."""
+        if self.rawdata.startswith("<![", i) and self.rawdata[i + 3 : i + 9].lower() != "cdata[":
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
     def unknown_decl(self, data):
         pass
 
@@ -90,11 +97,8 @@ class Lines(HTMLParser):
 def lines(html: str) -> tuple[list[str], np.ndarray]:
     """Text and ratio of each line with text or tags."""
     p = Lines()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # the parser's own answer to some broken declarations; what came before counts
-        pass
+    p.feed(html)
+    p.close()
     p.end_line()
     return p.text, np.array([len(t) / max(1, n) for t, n in zip(p.text, p.tags)])
 

@@ -206,6 +206,17 @@ def test_pages_of_every_kind(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_text_after_broken_declarations_is_kept():
+    for d in ("<![ endif]-->", "<![]>", "<![foo>", "<![data-x]>", "<![endif-->", "<![endif>", "<![if !IE]>", "<![CDATA[ a > b ]]>"):
+        text, _, _ = html_text.content(f"<p>{LONG}</p>{d}<p>{LONG} after ]> it</p>")
+        assert text.count(LONG.strip()) == 2 and text.endswith("after ]> it"), d
+    assert html_text.content(f"<p>{LONG}</p><![foo")[0].startswith(LONG.strip())
+    rng, parts = random.Random(8), ["<![", "<!", "foo", "endif", "]", ">", "--", "]]>", " ", "<p>", "</p>", "CDATA[", "<", "&", "x"]
+    for _ in range(3000):
+        junk = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        html_text.content(f"<p>{LONG}</p>{junk}<p>{LONG}</p>")
+
+
 def test_smoothing():
     x = np.array([0.0, 0, 10, 0, 0])
     k = np.exp(-np.arange(-2, 3) ** 2 / 8)
