@@ -384,6 +384,20 @@ def template_conflicts(spark, d):
     return merge.template_conflicts(s)
 
 
+def event_statements(spark, d):
+    """A statement for every event: its user and its value in hundredths."""
+    e = table(spark, d, "events").select(F.concat(F.lit("event_"), "event_id").alias("id"), F.col("event_id").cast("long").alias("seq"), "user_id", F.round(F.col("value") * 100).cast("long").alias("v"), "event_type")
+    return e.select("id", "seq", F.lit("preferences").alias("category"), F.format_string("User%d spent V%d on %s.", "user_id", "v", "event_type").alias("content"))
+
+
+@query("""WITH b AS (SELECT 'event_' || event_id AS id, user_id AS u, round(value * 100)::BIGINT AS v, event_type AS t FROM events),
+p AS (SELECT a.id, b.id AS other_id FROM b a JOIN b ON a.t = b.t AND a.u = b.u AND a.v <> b.v UNION ALL SELECT a.id, b.id FROM b a JOIN b ON a.t = b.t AND a.v = b.v AND a.u <> b.u),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other_id) AS n FROM p) SELECT id, other_id, 1 AS shared FROM r WHERE n = 1""")
+def template_conflicts_all_events(spark, d):
+    """template_conflicts keeps the 1,750 statements of its SQL; these are all events'."""
+    return merge.template_conflicts(event_statements(spark, d))
+
+
 @query("""WITH old AS (SELECT 'doc_' || doc_id AS id, 0.5::DOUBLE AS confidence FROM documents WHERE doc_id % 2 = 0), new AS (SELECT 'doc_' || doc_id AS id, 0.9::DOUBLE AS confidence FROM documents)
 SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)""")
 def insert_if_absent(spark, d):
@@ -639,10 +653,9 @@ def structural_clusters(spark, d):
 
 @query()
 def merged_statements(spark, d):
-    """Half of the users' preferences merged into the other half."""
-    s = table(spark, d, "events").select((F.col("user_id") % 50).alias("u"), (F.col("event_id") % 7).alias("v"), F.col("event_type").alias("t")).distinct()
-    s = s.select(F.format_string("User%d-V%d-%s", "u", "v", "t").alias("id"), F.lit("preferences").alias("category"), F.format_string("User%d likes V%d of %s.", "u", "v", "t").alias("content"), F.lit(0.7).alias("confidence"), F.lit("events").alias("source"), (F.col("u") * 100 + F.col("v") * 10 + F.length("t")).cast("long").alias("seq"))
-    s = store.normalize(s)
+    """The statements of every other event merged into those of the rest, vectors included."""
+    s = event_statements(spark, d).withColumns({"confidence": F.lit(0.7), "source": F.lit("events")})
+    s = store.normalize(HashedStore(64).embed(s, "content"))
     return merge.merge(s.where("seq % 2 = 0"), s.where("seq % 2 = 1")).select("id", "content", "confidence", "verifications", "stability_index", "previous_content")
 
 

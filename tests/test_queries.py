@@ -44,3 +44,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     scan = plans.token_counts(spark, FOLDER)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in scan
+
+
+def test_statements_of_all_events_are_merged(spark):
+    users = {r.user_id for r in spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id").distinct().collect()}
+    s = plans.event_statements(spark, FOLDER).collect()
+    assert len(s) == spark.read.parquet(f"{FOLDER}/events.parquet").count() and {int(r.content.split()[0][4:]) for r in s} == users
+    rows = plans.merged_statements(spark, FOLDER).collect()
+    assert len(rows) == len({r.id for r in rows}) and {r.id for r in rows} >= {r.id for r in s if r.seq % 2 == 0}
+    assert sum(r.verifications == 1 and r.previous_content is not None for r in rows) > 0
