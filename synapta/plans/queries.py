@@ -647,7 +647,7 @@ def injected_contexts(spark, d):
 
 @query()
 def structural_clusters(spark, d):
-    b = vectors_of(spark, d).withColumn("content", F.concat(F.element_at(F.array(*map(F.lit, ("Anna", "Boris", "Carla", "Dmitri"))), (F.col("seq") % 4 + 1).cast("int")), F.lit(" "), F.substring("content", 1, 50)))
+    b = vectors_of(spark, d).withColumn("content", F.concat(F.element_at(F.array(*map(F.lit, ("Anna", "Boris", "Carla", "Dmitri"))), (F.col("seq") % 4 + 1).cast("int")), F.lit(" "), "content"))
     return clusters.subject_clusters(b)
 
 

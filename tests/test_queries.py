@@ -53,3 +53,8 @@ def test_statements_of_all_events_are_merged(spark):
     rows = plans.merged_statements(spark, FOLDER).collect()
     assert len(rows) == len({r.id for r in rows}) and {r.id for r in rows} >= {r.id for r in s if r.seq % 2 == 0}
     assert sum(r.verifications == 1 and r.previous_content is not None for r in rows) > 0
+
+
+def test_structural_clusters_read_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(plans.clusters, "subject_clusters", lambda b: b)
+    assert max(len(r.content) for r in plans.structural_clusters(spark, FOLDER).select("content").collect()) > 100
