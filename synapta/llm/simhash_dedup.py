@@ -5,22 +5,27 @@ power 0.6, and of word pairs. Documents are near duplicates when the first diffe
 at most ``WORD_BITS`` bits, the second in at most ``PAIR_BITS``, and the shorter one has
 at least ``LENGTH_RATIO`` of the other's words. Groups are the connected components.
 
-README has the recall of these thresholds by Jaccard of 3-word shingles. Search is exact within them. The first SimHash is cut into blocks, so near fingerprints agree up to
-r = WORD_BITS // blocks bits in some block. The anchors of a block are the words of a
+README has the recall of these thresholds by Jaccard of 3-word shingles. Search is exact
+within them. The first SimHash is cut into blocks, each with a radius r of its own; the
+radii and one more for each block add up to WORD_BITS + 1, so near fingerprints agree up to
+r bits in some block. The anchors of a block are the words of a
 perfect Hamming code (on its low 2**k - 1 bits; the rest are free), whose covering
 radius R is 1. Each fingerprint is replicated to every anchor within R + r, and is at home
 at its nearest one: a near fingerprint's replicas must reach that home, so fingerprints
-are compared per anchor, homes against replicas. More blocks mean fewer replicas but more
-comparisons (178 replicas and 4.3 % of all pairs with 4 blocks, 1,516 and 0.9 % with 3),
-so their number follows from the number of fingerprints.
+are compared per anchor, homes against replicas. An anchor is split by bands of length, of which
+near documents are in one or in neighbours: homes stay in theirs, replicas go to theirs and the one below.
+More blocks mean fewer replicas but more comparisons, so their number follows from the number
+of distinct fingerprints (``blocks_for``).
 
-Equal fingerprints are one node, and an anchor sends on a forest rather than all pairs,
-so thousands of copies are thousands of rows, not millions.
+Equal fingerprints are one node, so thousands of copies are one; an anchor sends on a
+forest rather than all pairs. Whatever is counted by fingerprint, node or group is aggregated
+before the shuffle and joined back, never gathered in a window, so that a hot one is split by
+adaptive execution.
 
 Cases: texts that are null or have no word have no fingerprint and are in no group.
 Rows with a null doc_id are in no group and always stay. Rows that share a doc_id
 are one document: they stay or go together, and each of their texts counts. Ties
-go to the smallest doc_id. Other columns are ignored by ``groups`` and kept by ``remove``.
+go to the smallest doc_id. Very long texts are fingerprinted whole, in tiles. Other columns are ignored by ``groups`` and kept by ``remove``.
 Empty tables give empty results.
 """
 
@@ -30,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import checkpoint, counted, long_ids, pair, slices, words
@@ -118,35 +123,49 @@ class Anchors:
         return np.concatenate(at), np.concatenate(anchor)
 
 
+#: By number of blocks: replicas of a fingerprint in one band, and the share of all pairs that are compared if there is one band.
+_COSTS = {6: (48, 0.24), 4: (174, 4.3e-2), 3: (1516, 9.4e-3)}
+
+
 def blocks_for(n: int) -> int:
-    """Blocks for n fingerprints: where a replica costs about as much as 500 comparisons."""
-    share = {4: (178, 4.3e-2), 3: (1516, 9.4e-3)}  # rows of a fingerprint, share of pairs compared
-    return min(share, key=lambda b: share[b][0] * 500 + share[b][1] * n)
+    """Blocks for n distinct fingerprints: where a replica costs about as much as 3,000 comparisons and lengths spread over 5 bands."""
+    return min(_COSTS, key=lambda b: 2 * _COSTS[b][0] * 3000 + _COSTS[b][1] * n / 5)
 
 
-def _cuts(blocks: int) -> list[tuple[int, int]]:
+def _cuts(blocks: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of each block."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return list(zip(edges, np.diff(edges).tolist()))
+    radii = [(WORD_BITS + 1 - blocks + i) // blocks for i in range(blocks)]
+    return list(zip(edges, np.diff(edges).tolist(), radii))
+
+
+def bands(n_words: np.ndarray) -> np.ndarray:
+    """Bands of length: documents within LENGTH_RATIO of each other are in one or in neighbours."""
+    return np.floor(np.log(np.maximum(n_words, 1)) / (1.0001 * -np.log(LENGTH_RATIO))).astype(np.int64)
 
 
 def _replicate_udf(blocks: int):
     def run(batches):
-        made: dict[int, Anchors] = {}
+        made: dict[tuple[int, int], Anchors] = {}
         step = 4096 if blocks > 3 else 256
         for b in batches:
             for lo in range(0, len(b), step):
                 part = b.slice(lo, step)
-                fp = part.column("fp").to_numpy().view(np.uint64)
-                for j, (low, width) in enumerate(_cuts(blocks)):
+                fp, band = part.column("fp").to_numpy().view(np.uint64), bands(part.column("n_words").to_numpy())
+                for j, (low, width, r) in enumerate(_cuts(blocks)):
                     x = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                    a = made.setdefault(width, Anchors(width, WORD_BITS // blocks)) if width not in made else made[width]
-                    at, anchor = a.replicas(x)
-                    at = np.concatenate([np.arange(len(x)), at])
-                    anchor = np.concatenate([a.home(x), anchor])
+                    if (width, r) not in made:
+                        made[width, r] = Anchors(width, r)
+                    a = made[width, r]
+                    near, anchor = a.replicas(x)
+                    # homes, then replicas in their band and the one below
+                    at = np.concatenate([np.arange(len(x)), near, near])
+                    anchor = np.concatenate([a.home(x), anchor, anchor]).astype(np.int64)
+                    where = np.concatenate([band, band[near], band[near] - 1]) + 1
                     home = np.zeros(len(at), bool)
                     home[: len(x)] = True
                     rows = part.take(pa.array(at))
-                    key = (anchor | np.uint64(j) << np.uint64(40)).astype(np.int64)
+                    key = anchor | where << np.int64(32) | np.int64(j) << np.int64(40)
                     yield pa.record_batch([pa.array(key), pa.array(home), *rows.columns], names=["anchor", "home", *rows.schema.names])
 
     return run
@@ -239,13 +258,11 @@ def connect(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        m = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", m)
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = checkpoint(small)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        rest = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = checkpoint(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
         new = _state(edges)
         if new == state:
             break
@@ -253,29 +270,31 @@ def connect(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _grouped(docs: DataFrame, blocks: int | None) -> tuple[DataFrame, DataFrame]:
-    w = Window.partitionBy("fp", "fp2", "n_words")
-    members = checkpoint(fingerprints(docs).withColumn("node", F.min("doc_id").over(w)))
-    nodes = members.where("doc_id = node").dropDuplicates(["fp", "fp2", "n_words"]).select("node", "fp", "fp2", "n_words")
-    blocks = blocks or blocks_for(members.count())
-    at_anchors = nodes.mapInArrow(_replicate_udf(blocks), "anchor long, home boolean, node long, fp long, fp2 long, n_words int")
+def _grouped(docs: DataFrame, blocks: int | None) -> DataFrame:
+    """(doc_id, node, root) of every document whose node is in a component of two or more, or stands for two or more documents."""
+    prints = checkpoint(fingerprints(docs))
+    key = ["fp", "fp2", "n_words"]
+    nodes = checkpoint(prints.groupBy(*key).agg(F.min("doc_id").alias("node")))
+    at_anchors = nodes.select("node", *key).mapInArrow(_replicate_udf(blocks or blocks_for(nodes.count())), "anchor long, home boolean, node long, fp long, fp2 long, n_words int")
     parted = at_anchors.repartition("anchor").sortWithinPartitions("anchor")
     edges = parted.mapInArrow(_compare_udf, "u long, v long")
+    members = prints.join(nodes, key).select("doc_id", "node")
     # texts of one doc_id hang together too
-    same = members.where("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct()
-    return members, connect(edges.unionByName(same))
+    several = members.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("m")).where("v != m").select("doc_id", "v")
+    same = members.join(several, "doc_id").where("node != v").select(F.col("node").alias("u"), "v")
+    roots = connect(edges.unionByName(same))
+    named = members.join(roots, members["node"] == roots["u"], "left").select("doc_id", F.coalesce("v", "node").alias("group_id"))
+    return named.distinct()
 
 
 def groups(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """(doc_id, group_id, n_docs) of every document in a group of two or more; group_id is the least doc_id."""
-    _, roots = _grouped(docs, blocks)
-    named = roots.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
-    named = named.unionByName(named.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
-    return named.withColumn("n_docs", F.count("*").over(Window.partitionBy("group_id")))
+    named = _grouped(docs, blocks)
+    sizes = named.groupBy("group_id").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
+    return named.join(sizes, "group_id").select("doc_id", "group_id", "n_docs")
 
 
 def remove(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """Keep the first document of each group and all that are in none; columns stay as they are."""
-    _, roots = _grouped(docs, blocks)
-    gone = roots.select(F.col("u").alias("__gone"))
+    gone = _grouped(docs, blocks).where("doc_id != group_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")

@@ -99,7 +99,7 @@ def brute_groups(rows):
 def test_groups_equal_brute_force(make, corpus):
     want = brute_groups(corpus)
     assert {(i, i - 100) for i in range(100, 108)} <= {(i, g) for i, g, _ in want}
-    for blocks in (None, 4, 3):
+    for blocks in (None, 6, 5, 4, 3):
         assert {tuple(r) for r in S.groups(make(corpus), blocks).collect()} == want
 
 
@@ -137,7 +137,7 @@ def test_near_copies_by_shingles_are_found(make):
 
 def test_anchors_cover_and_meet():
     rng = np.random.default_rng(1)
-    for width, r in ((16, 1), (21, 2), (22, 2)):
+    for width, r in ((10, 1), (11, 1), (16, 2), (21, 3)):
         a = S.Anchors(width, r)
         x = rng.integers(0, 1 << width, 500).astype(np.uint64)
         assert np.bitwise_count(a.home(x) ^ x).max() <= 1
@@ -153,3 +153,10 @@ def test_remove_keeps_nulls_and_one_of_each_group(make, corpus):
     kept = S.remove(make(corpus)).collect()
     want = {i for i, _ in corpus if i is not None} - {i for i, g, _ in brute_groups(corpus) if i != g}
     assert {r.doc_id for r in kept if r.doc_id is not None} == want and sum(r.doc_id is None for r in kept) == 2
+
+
+def test_bands_of_near_lengths_are_neighbours():
+    n = np.arange(1, 20_000)
+    least = np.ceil(n * S.LENGTH_RATIO - 1e-9).astype(int)
+    assert set((S.bands(n) - S.bands(np.maximum(least, 1))).tolist()) <= {0, 1}
+    assert [S.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)] == [6, 6, 4, 3]
