@@ -1,25 +1,29 @@
 """Suffix-array dedup by bucket-pointer refinement: passages that repeat across documents.
 
-1. Suffixes start at words. Those that local minimisers sample go into buckets by
-   their first Q words; every passage of ``min_words`` words holds a sampled suffix,
-   so a passage that repeats puts two suffixes into one bucket. Buckets with a
-   single document are finished and dropped.
-2. Around the suffixes that remain, every suffix gets the identifier of its q-gram
-   bucket. The bucket is refined by the identifier of the bucket at a later offset,
-   and the refined identifiers are the ones that the next round looks up:
-   Q -> 2Q -> ... -> ``min_words``. Identifiers are 64-bit names of the
-   content, so a lookup at a later offset never leaves the document.
-3. Suffixes are sorted by refined identifier, then place; equal neighbours share
-   ``min_words`` words, and the first place of each bucket is the one that stays.
-
-Text crosses the network once, for the documents that step 1 left; the rest are
-rows of a few numbers. Buckets are counted with sorts that spill, never gathered
-into one row, so a passage in a million documents is a million small rows.
+Suffixes start at words and are told apart by their first ``min_words`` words.
+
+1. Initial buckets: the suffix at a word is in the bucket of its first q words (q is 8 for 50 words).
+   Buckets are sorted, and a bucket with a single document is finished: the windows of ``min_words`` words
+   that it stands for don't repeat and are dropped.
+2. Each round refines the buckets of the windows that are left by the bucket at a later offset:
+   q -> 2q -> 4q -> ... -> ``min_words``. What a round looks up are the refined identifiers that the
+   last round left, never the text. The refined buckets are sorted again, and those with a single document
+   go with their windows before the next round.
+3. After the last round a bucket is a passage. Its first document learns that it
+   is the first; documents learn which of their buckets are single; all others repeat.
+
+Before the last round a window is stood for by the least of its identifiers (local minimisers), so that few
+suffixes are sorted; wherever the window repeats, its least identifier does. Identifiers are 64-bit names of content, so they agree across partitions without
+a renumbering, and results are exact up to 64-bit collisions.
+
+A bucket is never gathered: sorting it means aggregating its least and greatest document, before
+and after the shuffle, and its one message goes to its least document. A passage in a
+third of all documents is one row a task. Texts cross the network once, then windows that are left once a round.
 
 Cases: null or blank texts and texts under ``min_words`` words have no
-passage. Ties go to the smallest doc_id, then the earliest word. Rows that share a
-doc_id are one document, which doesn't repeat itself across documents: equal texts count once, and texts that
-differ are searched under the same id but left as they are by ``remove``, which couldn't tell them apart. Rows with a
+passage. Very long texts are read whole, in slices. Ties go to the smallest doc_id, then the earliest word. Rows that share a
+doc_id are one document, which doesn't repeat itself across documents: equal texts count once, and the spans of texts that
+differ are listed together and cut each from its own. Rows with a
 null doc_id are passed through by ``remove`` and never reported. Extra columns are ignored
 by ``repeated_spans`` and kept by ``remove``, whatever their names. An empty table gives no rows.
 """
@@ -28,28 +32,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import pair, slices, words
 
 MIN_WORDS = 50
+_STATE = "doc_id long, h long, starts array<int>, sizes array<int>, ids binary"
+_CHUNK = 4_000_000
 
 
-def _q(min_words: int) -> int:
+def rounds(min_words: int) -> list[int]:
+    """Words by which buckets are told apart, round by round."""
     q = 1
-    while q * 3 <= min_words:
+    while q < 8 and q * 3 <= min_words:
         q *= 2
-    return q
+    sizes = [q]
+    while sizes[-1] < min_words:
+        sizes.append(min(2 * sizes[-1], min_words))
+    return sizes
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Identifiers of the n-grams at every word; the last n - 1 wrap and are invalid."""
+    """Identifiers of the n-grams at every word, n a power of 2; the last n - 1 wrap and are invalid."""
     size, ids = 1, h
-    while size * 2 <= n:
+    while size < n:
         ids = pair(ids, np.roll(ids, -size))
         size *= 2
-    return ids if size == n else pair(ids, np.roll(ids, size - n))
+    return ids
 
 
 def _slide(x: np.ndarray, w: int, f, forward: bool) -> np.ndarray:
@@ -68,99 +79,226 @@ def _slide(x: np.ndarray, w: int, f, forward: bool) -> np.ndarray:
     return x
 
 
-def _sampled(h: np.ndarray, last: np.ndarray, q: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the sampled suffixes and their q-gram buckets. last: the end of each word's document."""
-    place, top = np.arange(len(h)), np.uint64(2**64 - 1)
-    ids = np.where(place + q <= last, _grams(h, q), top)
-    least = _slide(ids, w, np.minimum, True)
-    least[place + w + q - 1 > last] = 0
-    chosen = np.flatnonzero((_slide(least, w, np.maximum, False) == ids) & (ids != top))
-    return chosen, ids[chosen]
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
-def _layout(data, offs):
-    starts, ends, doc, h = words(data, offs)
-    count = np.bincount(doc, minlength=len(offs) - 1)
-    first = np.concatenate([[0], np.cumsum(count)])
-    return starts, ends, doc, h, first, count
+def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _sample_udf(min_words: int):
-    q = _q(min_words)
-    w = min_words - q + 1
+class Windows:
+    """Sequences of q-gram identifiers around windows of min_words words: those that still may repeat.
 
+    seq is each identifier's sequence; of each sequence, ``begin`` and ``end`` are its bounds among the identifiers,
+    ``pos`` its first word and ``row`` its row of the batch.
+    """
+
+    def __init__(self, ids, q: int, min_words: int, seq, begin, end, pos, row):
+        self.ids, self.q, self.min_words = ids, q, min_words
+        self.seq, self.begin, self.end, self.pos, self.row = seq, begin, end, pos, row
+        self.w = min_words - q + 1
+
+    @staticmethod
+    def of_texts(data, offs, q: int, min_words: int) -> Windows:
+        _, _, doc, h = words(data, offs)
+        n = len(offs) - 1
+        first = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+        return Windows(_grams(h, q), q, min_words, doc, first[:-1], np.maximum(first[1:] - q + 1, first[:-1]), np.zeros(n, np.int64), np.arange(n))
+
+    @staticmethod
+    def of_states(b: pa.RecordBatch, q: int, min_words: int) -> Windows:
+        starts, sizes = b.column("starts"), b.column("sizes").flatten().to_numpy()
+        length = sizes + (min_words - q)
+        begin = np.cumsum(length) - length
+        ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint64)
+        seq = np.repeat(np.arange(len(length)), length)
+        return Windows(ids, q, min_words, seq, begin, begin + length, starts.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(b)), starts.value_lengths().to_numpy()))
+
+    def least(self) -> np.ndarray:
+        """For each place, the least of the w identifiers of the window that begins there; 0 where none does."""
+        last, place = self.end[self.seq], np.arange(len(self.ids))
+        least = _slide(np.where(place < last, self.ids, np.uint64(2**64 - 1)), self.w, np.minimum, True)
+        least[place + self.w > last] = 0
+        return least
+
+    def sampled(self) -> np.ndarray:
+        """Places whose buckets are sorted: in the last round all, before it those that are the least of a window."""
+        if self.w == 1:
+            return np.arange(len(self.ids))
+        return np.flatnonzero((_slide(self.least(), self.w, np.maximum, False) == self.ids) & (np.arange(len(self.ids)) < self.end[self.seq]))
+
+    def single(self, dead: np.ndarray, dead_row: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which windows can't repeat: their least identifier is of a bucket with a single document, or, with min_docs 1, a single place.
+
+        Only the least will do: a window that repeats has it sampled wherever it is, and other identifiers perhaps not.
+        """
+        row, least = self.row[self.seq].astype(np.uint64), self.least()
+        gone = _member(least, dead)
+        at = np.flatnonzero(gone)
+        name = pair(least[at], row[at])
+        gone[at] = _member(name, pair(dead, dead_row.astype(np.uint64)))
+        if min_docs < 2 and len(at):
+            at = np.flatnonzero(_member(self.ids, dead))
+            word = self.pos[self.seq[at]] + at - self.begin[self.seq[at]]
+            places = np.unique(np.stack([pair(self.ids[at], row[at]), word.astype(np.uint64)]), axis=1)
+            names, times = np.unique(places[0], return_counts=True)
+            at = np.flatnonzero(gone)
+            gone[at] = ~_member(pair(least[at], row[at]), names[times > 1])
+        return gone
+
+    def refined(self, gone: np.ndarray, q: int) -> Windows:
+        """Without the windows that are gone, and refined to buckets of q words."""
+        live = (np.arange(len(self.ids)) + self.w <= self.end[self.seq]) & ~gone
+        step = q - self.q
+        ids = pair(self.ids, np.roll(self.ids, -step)) if step else self.ids
+        at = np.flatnonzero(live)
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (self.seq[at[1:]] != self.seq[at[:-1]])]) if len(at) else np.zeros(0, bool)
+        first = at[new]
+        length = np.diff(np.append(np.flatnonzero(new), len(at))) + (self.min_words - q)
+        begin = np.cumsum(length) - length
+        seq = np.repeat(np.arange(len(first)), length)
+        old = self.seq[first]
+        return Windows(ids[first[seq] + np.arange(len(seq)) - begin[seq]], q, self.min_words, seq, begin, begin + length, self.pos[old] + first - self.begin[old], self.row[old])
+
+    def batch(self, doc_id: pa.Array, h: pa.Array) -> pa.RecordBatch:
+        """One row for each row of the batch that has a window left."""
+        some, runs = np.unique(self.row, return_counts=True)
+        length = self.end - self.begin
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(some)), runs), length, minlength=len(some)))]).astype(np.int64) * 8
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self.ids))])
+        k = pa.array(some)
+        return pa.record_batch([doc_id.take(k), h.take(k), _lists(self.pos.astype(np.int32), runs), _lists((length - (self.min_words - self.q)).astype(np.int32), runs), ids.cast(pa.binary())], names=["doc_id", "h", "starts", "sizes", "ids"])
+
+    def names(self, doc_id: pa.Array) -> pa.RecordBatch:
+        at = self.sampled()
+        return pa.record_batch([pa.array(self.ids[at].view(np.int64)), doc_id.take(pa.array(self.row[self.seq[at]]))], names=["bucket", "doc_id"])
+
+
+def _chunks(b: pa.RecordBatch):
+    """A batch of states in pieces of about _CHUNK bytes of identifiers."""
+    size = np.cumsum(pc.binary_length(b.column("ids")).to_numpy())
+    lo = 0
+    while lo < len(b):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _CHUNK, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(identifiers, row) of a column of lists."""
+    return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+
+
+def _name_texts_udf(q: int, min_words: int):
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, data, offs in slices(b.column(1)):
-                _, _, doc, h, first, _ = _layout(data, offs)
-                if len(h):
-                    at, bucket = _sampled(h, first[doc + 1], q, w)
-                    yield pa.record_batch([pa.array(bucket.view(np.int64)), pa.array(ids[lo + doc[at]]), pa.array((at - first[doc[at]]).astype(np.int32))], names=["bucket", "doc_id", "pos"])
+            for lo, data, offs in slices(b.column("text")):
+                yield Windows.of_texts(data, offs, q, min_words).names(b.column("doc_id").slice(lo, len(offs) - 1))
 
     return run
 
 
-def _refine_udf(min_words: int):
-    q = _q(min_words)
+def _name_states_udf(q: int, min_words: int):
+    def run(batches):
+        for b in batches:
+            for c in _chunks(b):
+                yield Windows.of_states(c, q, min_words).names(c.column("doc_id"))
+
+    return run
 
+
+def _refine_texts_udf(sizes: list[int], min_words: int, min_docs: int):
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            places = b.column(2)
-            values, bounds = places.flatten().to_numpy(), np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy())])
-            for lo, data, offs in slices(b.column(1)):
-                _, _, doc, h, first, count = _layout(data, offs)
-                n = len(h)
-                if not n:
-                    continue
-                rows = len(offs) - 1
-                row = np.repeat(np.arange(rows), np.diff(bounds[lo : lo + rows + 1]))
-                at = values[bounds[lo] : bounds[lo + rows]]
-                at = (at + first[row])[at < count[row]]  # another text of the same doc_id may be longer
-                # all suffixes of min_words words that hold a sampled suffix which still shares its bucket
-                marks = np.zeros(n + 1, np.int32)
-                np.add.at(marks, np.maximum(at + q - min_words, first[doc[at]]), 1)
-                np.add.at(marks, at + 1, -1)
-                last = first[doc + 1]
-                near = np.flatnonzero((np.cumsum(marks[:-1]) > 0) & (np.arange(n) + min_words <= last))
-                bucket, size = _grams(h, q), q
-                while size < min_words:  # the refined identifiers are what the next round looks up
-                    step = min(size, min_words - size)
-                    bucket = pair(bucket, np.roll(bucket, -step))
-                    size += step
-                yield pa.record_batch([pa.array(bucket[near].view(np.int64)), pa.array(ids[lo + doc[near]]), pa.array((near - first[doc[near]]).astype(np.int32))], names=["bucket", "doc_id", "pos"])
+            for lo, data, offs in slices(b.column("text")):
+                c = b.slice(lo, len(offs) - 1)
+                t = Windows.of_texts(data, offs, sizes[0], min_words)
+                yield t.refined(t.single(*_flat(c.column("dead")), min_docs), sizes[1]).batch(c.column("doc_id"), c.column("h"))
 
     return run
 
 
-def _shared(suffixes: DataFrame, min_docs: int) -> DataFrame:
-    """Suffixes in buckets of at least two suffixes, in min_docs (1 or 2) documents; ``kept``: the first of its bucket."""
-    w = Window.partitionBy("bucket").orderBy("doc_id", "pos")
-    all_ = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    columns = [F.rank().over(w).alias("rk"), F.first("doc_id").over(all_).alias("lo"), F.last("doc_id").over(all_).alias("hi")]
-    several = F.col("lo") != F.col("hi")
-    if min_docs < 2:
-        columns += [F.first("pos").over(all_).alias("from"), F.last("pos").over(all_).alias("to")]
-        several = several | (F.col("from") != F.col("to"))
-    # rows of one place, of a document that is there twice, share a rank
-    return suffixes.select("doc_id", "pos", *columns).where(several).select("doc_id", "pos", (F.col("rk") == 1).alias("kept"))
+def _refine_states_udf(sizes: list[int], min_words: int, min_docs: int):
+    def run(batches):
+        for b in batches:
+            for c in _chunks(b):
+                t = Windows.of_states(c, sizes[0], min_words)
+                yield t.refined(t.single(*_flat(c.column("dead")), min_docs), sizes[1]).batch(c.column("doc_id"), c.column("h"))
 
+    return run
 
-def _places(docs: DataFrame, min_words: int, min_docs: int) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sampled = texts.mapInArrow(_sample_udf(min_words), "bucket long, doc_id long, pos int")
-    hits = _shared(sampled, min_docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    near = texts.join(hits, "doc_id").select("doc_id", "text", "places")
-    return _shared(near.mapInArrow(_refine_udf(min_words), "bucket long, doc_id long, pos int"), min_docs)
 
+def _buckets(named: DataFrame) -> DataFrame:
+    """The sorted buckets: least and greatest document of each."""
+    return named.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+
+
+def _last_round(docs: DataFrame, min_words: int, min_docs: int) -> DataFrame:
+    """Windows after all rounds, with ``dead``: buckets of their own, and ``first``: buckets whose first document they are in."""
+    sizes = rounds(min_words)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(F.length("text") >= 2 * min_words - 1)
+    state = texts.withColumn("h", F.xxhash64("text")).repartition("doc_id")
+    named = texts.mapInArrow(_name_texts_udf(sizes[0], min_words), "bucket long, doc_id long")
+    refine = _refine_texts_udf
+    if len(sizes) == 1:  # passages of a word: nothing to refine
+        sizes = sizes * 2
+    for q, more in zip(sizes, sizes[1:]):
+        dead = _buckets(named).where("lo = hi").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("bucket").alias("dead"))
+        state = state.join(dead, "doc_id", "left").mapInArrow(refine((q, more), min_words, min_docs), _STATE).repartition("doc_id")
+        named = state.mapInArrow(_name_states_udf(more, min_words), "bucket long, doc_id long")
+        refine = _refine_states_udf
+    single = F.col("lo") == F.col("hi")
+    told = _buckets(named).groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.when(single, F.col("bucket"))).alias("dead"), F.collect_list(F.when(~single, F.col("bucket"))).alias("first"))
+    return state.join(told, "doc_id", "left")
+
+
+def _places(c: pa.RecordBatch, min_words: int, min_docs: int):
+    """(row, first word, is it the first of its bucket) of each window that repeats, in order."""
+    t = Windows.of_states(c, min_words, min_words)
+    gone = t.single(*_flat(c.column("dead")), min_docs)
+    row, pos = t.row[t.seq], t.pos[t.seq] + np.arange(len(t.ids)) - t.begin[t.seq]
+    ids, of = _flat(c.column("first"))
+    name = pair(t.ids, row.astype(np.uint64))
+    mine = pair(ids, of.astype(np.uint64))
+    if min_docs < 2:  # buckets of one document have their first place in it, too
+        ids, of = _flat(c.column("dead"))
+        mine = np.concatenate([mine, pair(ids, of.astype(np.uint64))])
+    kept = np.zeros(len(name), bool)
+    at = np.flatnonzero(_member(name, mine))
+    kept[at[np.unique(name[at], return_index=True)[1]]] = True
+    live = np.flatnonzero(~gone)
+    return row[live], pos[live], kept[live]
+
+
+def _unite(row: np.ndarray, pos: np.ndarray, min_words: int) -> np.ndarray:
+    """Where runs of windows that touch or overlap begin."""
+    if not len(pos):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + min_words)]))
+
+
+def _spans_udf(min_words: int, min_docs: int):
+    def run(batches):
+        for b in batches:
+            for c in _chunks(b):
+                row, pos, kept = _places(c, min_words, min_docs)
+                first = _unite(row, pos, min_words)
+                if not len(first):
+                    continue
+                # words that only a later copy covers: the gain of each later copy over the later copy before it
+                gain = np.zeros(len(pos), np.int64)
+                later = np.flatnonzero(~kept)
+                r, p = row[later], pos[later]
+                gain[later] = np.concatenate([[min_words], np.where(r[1:] == r[:-1], np.minimum(p[1:] - p[:-1], min_words), min_words)]) if len(later) else 0
+                last = np.append(first[1:], len(pos)) - 1
+                cols = [pa.array(pos[first].astype(np.int32)), pa.array((pos[last] + min_words).astype(np.int32)), pa.array(np.add.reduceat(gain, first).astype(np.int32))]
+                yield pa.record_batch([c.column("doc_id").take(pa.array(row[first])), *cols], names=["doc_id", "start_word", "end_word", "n_removed"])
 
-def _spans(places: DataFrame, min_words: int) -> DataFrame:
-    """Unite windows that begin at the given places: (doc_id, start_word, end_word)."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    gap = F.when(F.col("pos") <= F.lag("pos").over(w) + min_words, 0).otherwise(1)
-    runs = places.withColumn("gap", gap).withColumn("run", F.sum("gap").over(w))
-    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("start_word"), (F.max("pos") + min_words).alias("end_word")).drop("run")
+    return run
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = 2) -> DataFrame:
@@ -171,38 +309,40 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int =
     min_docs 2 (default) wants passages of two documents; 1 also counts repeats
     within one document.
     """
-    places = _places(docs, min_words, min_docs)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    runs = places.withColumn("gap", F.when(F.col("pos") <= F.lag("pos").over(w) + min_words, 0).otherwise(1)).withColumn("run", F.sum("gap").over(w))
-    # words that only a later copy covers: the gain of each later copy over the later copy before it
-    later = F.max(F.when(~F.col("kept"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.when(~F.col("kept"), F.least(F.lit(min_words), F.coalesce(F.col("pos") - later, F.lit(min_words)))).otherwise(0)
-    return (
-        runs.withColumn("gain", gain)
-        .groupBy("doc_id", "run")
-        .agg(F.min("pos").alias("start_word"), (F.max("pos") + min_words).alias("end_word"), F.sum("gain").cast("int").alias("n_removed"))
-        .select("doc_id", "start_word", "end_word", "n_removed")
-    )
+    found = _last_round(docs, min_words, min_docs).mapInArrow(_spans_udf(min_words, min_docs), "doc_id long, start_word int, end_word int, n_removed int")
+    return found.distinct()  # rows that are there twice
+
+
+def _cuts_udf(min_words: int, min_docs: int):
+    def run(batches):
+        for b in batches:
+            for c in _chunks(b):
+                row, pos, kept = _places(c, min_words, min_docs)
+                row, pos = row[~kept], pos[~kept]
+                first = _unite(row, pos, min_words)
+                if not len(first):
+                    continue
+                some, runs = np.unique(row[first], return_counts=True)
+                last, k = np.append(first[1:], len(pos)) - 1, pa.array(some)
+                yield pa.record_batch([c.column("doc_id").take(k), c.column("h").take(k), _lists(pos[first].astype(np.int32), runs), _lists((pos[last] + min_words).astype(np.int32), runs)], names=["doc_id", "h", "cut_from", "cut_to"])
+
+    return run
 
 
 def _cut_udf(columns: list[str], at: int):
     def run(batches):
         for b in batches:
-            spans = b.column(b.num_columns - 1).to_pylist()
             out, texts = [], b.column(at)
-            for i, cuts in enumerate(spans):
-                text = texts[i].as_py()
-                if cuts and text is not None:
-                    raw = text.encode()
-                    starts, _, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    edges = np.append(starts, len(raw))
-                    parts, done = [], 0
-                    for c in sorted(cuts, key=lambda c: c["start_word"]):
-                        parts.append(raw[done : edges[c["start_word"]]])
-                        done = edges[c["end_word"]]
-                    text = b"".join([*parts, raw[done:]]).decode()
-                out.append(text)
-            cols = [pa.array(out, pa.string()) if j == at else b.column(j) for j in range(len(columns))]
+            for text, a, z in zip(texts, b.column("cut_from").to_pylist(), b.column("cut_to").to_pylist()):
+                raw = text.as_py().encode()
+                starts, _, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                edges = np.append(starts, len(raw))
+                parts, done = [], 0
+                for x, y in zip(a, z):
+                    parts.append(raw[done : edges[x]])
+                    done = edges[y]
+                out.append(b"".join([*parts, raw[done:]]).decode())
+            cols = [pa.array(out, texts.type) if j == at else b.column(j) for j in range(len(columns))]
             yield pa.record_batch(cols, names=columns)
 
     return run
@@ -214,18 +354,16 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = 2) -> Da
     Documents with nothing left but white space are dropped; documents that had no
     word before stay as they were.
     """
-    cuts = _spans(_places(docs, min_words, min_docs).where("not kept"), min_words)
-    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
-    # texts that share a doc_id can't be told apart
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    unclear = texts.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc_id")
-    cuts = cuts.join(unclear, "doc_id", "left_anti")
+    cuts = _last_round(docs, min_words, min_docs).mapInArrow(_cuts_udf(min_words, min_docs), "doc_id long, h long, cut_from array<int>, cut_to array<int>").dropDuplicates(["doc_id", "h"])
     names, at, key = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text"), docs.columns.index("doc_id")
     plain = docs.toDF(*names)  # so that no column of the caller's meets one of ours
-    joined = plain.join(cuts, plain[f"c{key}"].cast("long") == cuts["doc_id"], "left").drop("doc_id")
-    same = joined.where("cuts is null").drop("cuts")
-    cut = joined.where("cuts is not null").mapInArrow(_cut_udf(names, at), plain.schema).where(F.col(f"c{at}").rlike(r"\S"))  # only these go through Python
+    bare = plain.where(F.col(f"c{key}").isNull())  # not sent to the join, where they would be one key
+    plain = plain.where(F.col(f"c{key}").isNotNull())
+    on = (plain[f"c{key}"].cast("long") == cuts["doc_id"]) & (F.xxhash64(plain[f"c{at}"].cast("string")) == cuts["h"])
+    joined = plain.join(cuts, on, "left").drop("doc_id", "h")
+    same = joined.where("cut_from is null").select(*names)
+    cut = joined.where("cut_from is not null").mapInArrow(_cut_udf(names, at), plain.schema).where(F.col(f"c{at}").rlike(r"\S"))  # only these go through Python
     if "n_chars" in docs.columns:
         k = docs.columns.index("n_chars")
         cut = cut.withColumn(f"c{k}", F.length(f"c{at}").cast(docs.schema[k].dataType))
-    return same.unionByName(cut.select(*names)).toDF(*docs.columns)
+    return same.unionByName(cut.select(*names)).unionByName(bare).toDF(*docs.columns)
