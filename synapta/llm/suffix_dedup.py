@@ -51,7 +51,7 @@ def rounds(min_words: int) -> list[int]:
     sizes = [q]
     while sizes[-1] < min_words:
         sizes.append(min(2 * sizes[-1], min_words))
-    return sizes
+    return sizes if len(sizes) > 1 else sizes * 2  # passages of one word: nothing to refine
 
 
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -202,19 +202,10 @@ def _name_texts_udf(q: int, min_words: int):
     return run
 
 
-def _name_states_udf(q: int, min_words: int):
+def _first_round_udf(text: str, sizes: list[int], min_words: int, min_docs: int):
     def run(batches):
         for b in batches:
-            for c in _chunks(b):
-                yield Windows.of_states(c, q, min_words).names(c.column("doc_id"))
-
-    return run
-
-
-def _refine_texts_udf(sizes: list[int], min_words: int, min_docs: int):
-    def run(batches):
-        for b in batches:
-            for lo, data, offs in slices(b.column("text")):
+            for lo, data, offs in slices(b.column(text)):
                 c = b.slice(lo, len(offs) - 1)
                 t = Windows.of_texts(data, offs, sizes[0], min_words)
                 yield t.refined(t.single(*_flat(c.column("dead")), min_docs), sizes[1]).batch(c.column("doc_id"), c.column("h"))
@@ -222,12 +213,19 @@ def _refine_texts_udf(sizes: list[int], min_words: int, min_docs: int):
     return run
 
 
-def _refine_states_udf(sizes: list[int], min_words: int, min_docs: int):
+def _windows(c: pa.RecordBatch, sizes: list[int], min_words: int, min_docs: int) -> Windows:
+    """Windows of states, refined round by round; dead0, dead1, ... are what the rounds found."""
+    t = Windows.of_states(c, sizes[0], min_words)
+    for k, q in enumerate(sizes[1:]):
+        t = t.refined(t.single(*_flat(c.column(f"dead{k}")), min_docs), q)
+    return t
+
+
+def _name_udf(sizes: list[int], min_words: int, min_docs: int):
     def run(batches):
         for b in batches:
             for c in _chunks(b):
-                t = Windows.of_states(c, sizes[0], min_words)
-                yield t.refined(t.single(*_flat(c.column("dead")), min_docs), sizes[1]).batch(c.column("doc_id"), c.column("h"))
+                yield _windows(c, sizes, min_words, min_docs).names(c.column("doc_id"))
 
     return run
 
@@ -237,28 +235,32 @@ def _buckets(named: DataFrame) -> DataFrame:
     return named.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
 
 
-def _last_round(docs: DataFrame, min_words: int, min_docs: int) -> DataFrame:
-    """Windows after all rounds, with ``dead``: buckets of their own, and ``first``: buckets whose first document they are in."""
-    sizes = rounds(min_words)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").where(F.length("text") >= 2 * min_words - 1)
-    state = texts.withColumn("h", F.xxhash64("text")).repartition("doc_id")
-    named = texts.mapInArrow(_name_texts_udf(sizes[0], min_words), "bucket long, doc_id long")
-    refine = _refine_texts_udf
-    if len(sizes) == 1:  # passages of a word: nothing to refine
-        sizes = sizes * 2
-    for q, more in zip(sizes, sizes[1:]):
-        dead = _buckets(named).where("lo = hi").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("bucket").alias("dead"))
-        state = state.join(dead, "doc_id", "left").mapInArrow(refine((q, more), min_words, min_docs), _STATE).repartition("doc_id")
-        named = state.mapInArrow(_name_states_udf(more, min_words), "bucket long, doc_id long")
-        refine = _refine_states_udf
+def _named_documents(buckets: DataFrame, name: str) -> DataFrame:
+    return buckets.where("lo = hi").groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list("bucket").alias(name))
+
+
+def _rounds(texts: DataFrame, text: str, sizes: list[int], min_words: int, min_docs: int) -> DataFrame:
+    """Windows that the first round left, with what all later rounds found.
+
+    texts: partitioned by doc_id, with the columns doc_id, h and, under any name, text. Columns dead0, dead1, ... are
+    the buckets with a single document; of the last round, ``dead`` are those, and ``first`` the buckets whose first document it is.
+    """
+    some = texts.select("doc_id", F.col(text).alias("text")).where(F.length("text") >= 2 * min_words - 1)
+    dead = _named_documents(_buckets(some.mapInArrow(_name_texts_udf(sizes[0], min_words), "bucket long, doc_id long")), "dead")
+    parted = texts.repartition("doc_id")
+    state = parted.join(dead, "doc_id", "left").mapInArrow(_first_round_udf(text, sizes[:2], min_words, min_docs), _STATE).repartition("doc_id")
+    for k in range(len(sizes) - 1):
+        buckets = _buckets(state.mapInArrow(_name_udf(sizes[1 : k + 2], min_words, min_docs), "bucket long, doc_id long"))
+        if k < len(sizes) - 2:
+            state = state.join(_named_documents(buckets, f"dead{k}"), "doc_id", "left")
     single = F.col("lo") == F.col("hi")
-    told = _buckets(named).groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.when(single, F.col("bucket"))).alias("dead"), F.collect_list(F.when(~single, F.col("bucket"))).alias("first"))
+    told = buckets.groupBy(F.col("lo").alias("doc_id")).agg(F.collect_list(F.when(single, F.col("bucket"))).alias("dead"), F.collect_list(F.when(~single, F.col("bucket"))).alias("first"))
     return state.join(told, "doc_id", "left")
 
 
-def _places(c: pa.RecordBatch, min_words: int, min_docs: int):
+def _places(c: pa.RecordBatch, sizes: list[int], min_words: int, min_docs: int):
     """(row, first word, is it the first of its bucket) of each window that repeats, in order."""
-    t = Windows.of_states(c, min_words, min_words)
+    t = _windows(c, sizes, min_words, min_docs)
     gone = t.single(*_flat(c.column("dead")), min_docs)
     row, pos = t.row[t.seq], t.pos[t.seq] + np.arange(len(t.ids)) - t.begin[t.seq]
     ids, of = _flat(c.column("first"))
@@ -281,11 +283,11 @@ def _unite(row: np.ndarray, pos: np.ndarray, min_words: int) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (pos[1:] > pos[:-1] + min_words)]))
 
 
-def _spans_udf(min_words: int, min_docs: int):
+def _spans_udf(sizes: list[int], min_words: int, min_docs: int):
     def run(batches):
         for b in batches:
             for c in _chunks(b):
-                row, pos, kept = _places(c, min_words, min_docs)
+                row, pos, kept = _places(c, sizes, min_words, min_docs)
                 first = _unite(row, pos, min_words)
                 if not len(first):
                     continue
@@ -309,15 +311,17 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int =
     min_docs 2 (default) wants passages of two documents; 1 also counts repeats
     within one document.
     """
-    found = _last_round(docs, min_words, min_docs).mapInArrow(_spans_udf(min_words, min_docs), "doc_id long, start_word int, end_word int, n_removed int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    sizes = rounds(min_words)
+    found = _rounds(texts, "text", sizes, min_words, min_docs).mapInArrow(_spans_udf(sizes[1:], min_words, min_docs), "doc_id long, start_word int, end_word int, n_removed int")
     return found.distinct()  # rows that are there twice
 
 
-def _cuts_udf(min_words: int, min_docs: int):
+def _cuts_udf(sizes: list[int], min_words: int, min_docs: int):
     def run(batches):
         for b in batches:
             for c in _chunks(b):
-                row, pos, kept = _places(c, min_words, min_docs)
+                row, pos, kept = _places(c, sizes, min_words, min_docs)
                 row, pos = row[~kept], pos[~kept]
                 first = _unite(row, pos, min_words)
                 if not len(first):
@@ -354,15 +358,18 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS, min_docs: int = 2) -> Da
     Documents with nothing left but white space are dropped; documents that had no
     word before stay as they were.
     """
-    cuts = _last_round(docs, min_words, min_docs).mapInArrow(_cuts_udf(min_words, min_docs), "doc_id long, h long, cut_from array<int>, cut_to array<int>").dropDuplicates(["doc_id", "h"])
     names, at, key = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text"), docs.columns.index("doc_id")
     plain = docs.toDF(*names)  # so that no column of the caller's meets one of ours
-    bare = plain.where(F.col(f"c{key}").isNull())  # not sent to the join, where they would be one key
-    plain = plain.where(F.col(f"c{key}").isNotNull())
-    on = (plain[f"c{key}"].cast("long") == cuts["doc_id"]) & (F.xxhash64(plain[f"c{at}"].cast("string")) == cuts["h"])
-    joined = plain.join(cuts, on, "left").drop("doc_id", "h")
-    same = joined.where("cut_from is null").select(*names)
-    cut = joined.where("cut_from is not null").mapInArrow(_cut_udf(names, at), plain.schema).where(F.col(f"c{at}").rlike(r"\S"))  # only these go through Python
+    bare = plain.where(F.col(f"c{key}").isNull())  # not sent to the joins, where they would be one key
+    texts = plain.where(F.col(f"c{key}").isNotNull()).select(*names, F.col(f"c{key}").cast("long").alias("doc_id"), F.xxhash64(F.col(f"c{at}").cast("string")).alias("h"))
+    sizes = rounds(min_words)
+    cuts = _rounds(texts, f"c{at}", sizes, min_words, min_docs).mapInArrow(_cuts_udf(sizes[1:], min_words, min_docs), "doc_id long, h long, cut_from array<int>, cut_to array<int>")
+    cuts = cuts.groupBy("doc_id").agg(F.collect_set(F.struct("h", "cut_from", "cut_to")).alias("cuts"))  # one for each text of the document
+    mine = F.get(F.filter("cuts", lambda x: x["h"] == F.col("h")), F.lit(0))
+    joined = texts.repartition("doc_id").join(cuts, "doc_id", "left").select(*names, mine.alias("cut"))  # the texts that the first round sent
+    same = joined.where("cut is null").select(*names)
+    cut = joined.where("cut is not null").select(*names, "cut.cut_from", "cut.cut_to")
+    cut = cut.mapInArrow(_cut_udf(names, at), plain.schema).where(F.col(f"c{at}").rlike(r"\S"))  # only these go through Python
     if "n_chars" in docs.columns:
         k = docs.columns.index("n_chars")
         cut = cut.withColumn(f"c{k}", F.length(f"c{at}").cast(docs.schema[k].dataType))

@@ -45,6 +45,54 @@ def test_spans_equal_brute_force(make, corpus):
     assert got == brute_spans(corpus) and len(got) > 15
 
 
+def test_other_lengths_equal_brute_force(make, corpus):
+    for n in (1, 3, 13, 64):
+        some = [(i, t) for i, t in corpus if t is None or len(t) < 3000][: 12 if n < 13 else None]
+        assert {tuple(r) for r in D.repeated_spans(make(some), n).collect()} == brute_spans(some, n), n
+
+
+def test_rounds_refine_and_drop():
+    """Buckets of 8, 16, 32 and 50 words; each round drops the windows of buckets that only one text has."""
+    assert D.rounds(50) == [8, 16, 32, 50] and D.rounds(13) == [8, 13] and D.rounds(1) == [1, 1]
+    rng = random.Random(21)
+    shared = {n: prose(rng, n + 5) for n in (10, 20, 40, 60)}  # passages that meet in 8, 16, 32 and 50 words
+    texts = [" ".join([prose(rng, 60), *[x + " " + prose(rng, 60) for x in shared.values()]]) for _ in range(2)]
+
+    def windows(k):
+        raw = texts[k].encode()
+        return D.Windows.of_texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 8, 50)
+
+    found, left = [windows(0), windows(1)], []
+    for q in (16, 32, 50):
+        names = [set(t.ids[t.sampled()].tolist()) for t in found]
+        gone = [t.single(np.array(sorted(a - b), np.uint64), np.zeros(len(a - b), int), 2) for t, a, b in zip(found, names, names[::-1])]
+        found = [t.refined(g, q) for t, g in zip(found, gone)]
+        left.append(sum(int((t.end - t.begin).sum() - len(t.begin) * (50 - t.q)) for t in found))
+    assert left[0] > left[1] > left[2] > 2 * 16 - 1
+    raw = texts[0].encode()
+    half = D._grams(D.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3], 32)
+    whole = D.pair(half, np.roll(half, -18))  # what the last round names, straight from the text
+    last = found[0]
+    places = np.concatenate([np.arange(p, p + e - b) for p, b, e in zip(last.pos, last.begin, last.end)])
+    assert (last.ids == whole[places]).all() and places.max() + 50 <= len(texts[0].split())
+
+
+def test_a_passage_in_a_third_of_all_documents(make):
+    rng = random.Random(22)
+    passage = prose(rng, 60)
+    rows = [(i, f"{passage} {i} {i + 1}" if i % 3 == 0 else f"word {i} " * 30) for i in range(9000)]
+    spans = {tuple(r) for r in D.repeated_spans(make(rows).repartition(4)).collect()}
+    assert spans == {(i, 0, 60, 0 if i == 0 else 60) for i in range(0, 9000, 3)}
+    kept = {r.doc_id: r.text for r in D.remove(make(rows)).collect()}
+    assert len(kept) == 9000 and kept[0] == rows[0][1] and kept[3] == "3 4" and kept[1] == rows[1][1]
+
+
+def test_texts_of_one_document_are_cut_each(make):
+    p = prose(random.Random(2), 55)
+    kept = D.remove(make([(1, p), (2, p + " tail"), (2, "short"), (2, "other " + p)])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, p), (2, "other "), (2, "short"), (2, "tail")]
+
+
 def test_one_document_can_repeat_itself(make):
     p = prose(random.Random(1), 60)
     assert D.repeated_spans(make([(1, p + " x y z " + p)])).count() == 0
