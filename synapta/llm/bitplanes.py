@@ -1,15 +1,15 @@
 """Token ids as bit planes or byte planes, compressed with zstandard, with an index.
 
-The ids of a partition's documents, each ended by an end-of-text token, form one stream
-that is cut into blocks of ``BLOCK`` ids. A block is transposed: plane k holds bit k
+The ids of all documents in the order of doc_id, each ended by an end-of-text token, form one stream
+that is cut into blocks of ``BLOCK`` ids, as in packing: blocks don't depend on files, partitions or cores. A block is transposed: plane k holds bit k
 (or byte k) of every id, so that planes with little entropy shrink to almost nothing. Each plane
 is a zstandard frame of its own; ``offsets`` is the chunk index (plane k lies at
 offsets[k] to offsets[k + 1] of ``data``), so one plane can be read without the others.
 ``docs`` lists the documents of a block: doc_id, offset in the document's tokens, place
-in the block, length. Nothing is shuffled; blocks are written where their documents lie.
+in the block, length. Blocks are made where the documents lie; only those at the edges of partitions are put together from fragments.
 
-Cases: null and empty texts are an end-of-text token alone; a null doc_id stays null;
-rows that repeat are stored each time; other columns are ignored; an empty table gives no
+Cases: null and empty texts are an end-of-text token alone; a null doc_id stays null and comes first;
+rows that repeat are stored each time; very long texts go over as many blocks as they need; other columns are ignored, whatever their names; an empty table gives no
 block. Reading gives back exactly the ids that were written.
 """
 
@@ -18,16 +18,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .packing import _RECORDS, Cutter, _lists, records
-from .tokens import EOS, RANKS, _texts, encoded
+from .packing import _RECORDS, _lists, cut, records
+from .tokens import EOS, RANKS
 
 BLOCK = 1 << 16
 LEVEL = 3
-SCHEMA = f"part int, block long, n_ids int, planes string, offsets array<int>, data binary, {_RECORDS}"
+SCHEMA = f"block long, n_ids int, planes string, offsets array<int>, data binary, {_RECORDS}"
 
 
 def split(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -53,36 +51,24 @@ def join(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     return out
 
 
-def _encode_udf(block: int, bits: bool, level: int, ranks: str, eos: int):
-    def emit(part, cut, packer):
+def _make(bits: bool, level: int):
+    def make(cut, block: int) -> pa.RecordBatch:
         lo, ids, doc_ids, base, size = cut
-        for p in range(lo, lo + len(ids), block):
-            q = min(lo + len(ids), p + block)
-            frames = [packer.compress(x) for x in split(ids[p - lo : q - lo], bits)]
-            near = slice(int(np.searchsorted(base + size, p, "right")), int(np.searchsorted(base, q)))
-            docs, n = records(doc_ids[near], base[near], size[near], p, q, block)
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype(np.int32)
-            cols = [pa.array([part], pa.int32()), pa.array([p // block]), pa.array([q - p], pa.int32()), pa.array(["bit" if bits else "byte"]), _lists(pa.array(offsets), np.array([len(offsets)])), pa.array([b"".join(frames)]), _lists(docs, n)]
-            yield pa.record_batch(cols, names=["part", "block", "n_ids", "planes", "offsets", "data", "docs"])
+        hi, packer = lo + len(ids), zstandard.ZstdCompressor(level=level)
+        frames = [[packer.compress(x) for x in split(ids[p - lo : min(hi, p + block) - lo], bits)] for p in range(lo, hi, block)]
+        offsets = [np.concatenate([[0], np.cumsum([len(f) for f in fs])]).astype(np.int32) for fs in frames]
+        docs, n = records(doc_ids, base, size, lo, hi, block)
+        number = np.arange(lo // block, (hi - 1) // block + 1)
+        length = np.minimum((number + 1) * block, hi) - number * block
+        cols = [pa.array(number), pa.array(length.astype(np.int32)), pa.array(["bit" if bits else "byte"] * len(number)), _lists(pa.array(np.concatenate(offsets)), np.array([len(o) for o in offsets])), pa.array([b"".join(fs) for fs in frames]), _lists(docs, n)]
+        return pa.record_batch(cols, names=["block", "n_ids", "planes", "offsets", "data", "docs"])
 
-    def run(batches):
-        part, cutter, at, packer = TaskContext.get().partitionId(), Cutter(block), 0, zstandard.ZstdCompressor(level=level)
-        for ids, flat, n in encoded(batches, ranks, eos):
-            upto = at + np.concatenate([[0], np.cumsum(n)])
-            at = int(upto[-1])
-            cut = cutter.add(ids, upto[:-1], n, flat)
-            if cut is not None:
-                yield from emit(part, cut, packer)
-        cut = cutter.rest()
-        if cut is not None:
-            yield from emit(part, cut, packer)
-
-    return run
+    return make
 
 
 def write_blocks(docs: DataFrame, block: int = BLOCK, bits: bool = False, level: int = LEVEL, ranks: str = RANKS, eos: int = EOS) -> DataFrame:
-    """(part, block, n_ids, planes, offsets, data, docs) of every block."""
-    return _texts(docs).mapInArrow(_encode_udf(block, bits, level, ranks, eos), SCHEMA)
+    """(block, n_ids, planes, offsets, data, docs) of every block."""
+    return cut(docs, block, _make(bits, level), SCHEMA, ranks, eos)
 
 
 def block_ids(n_ids: int, planes: str, offsets, data: bytes) -> np.ndarray:
@@ -92,7 +78,7 @@ def block_ids(n_ids: int, planes: str, offsets, data: bytes) -> np.ndarray:
 
 
 def read_ids(blocks: DataFrame) -> DataFrame:
-    """(doc_id, part, start, doc_offset, ids): the pieces of documents in each block, decoded."""
+    """(doc_id, block, start, doc_offset, ids): the pieces of documents in each block, decoded."""
 
     def run(batches):
         for b in batches:
@@ -100,7 +86,7 @@ def read_ids(blocks: DataFrame) -> DataFrame:
                 ids = block_ids(r["n_ids"], r["planes"], r["offsets"], r["data"]).astype(np.int32)
                 docs = r["docs"]
                 n = np.array([d["length"] for d in docs])
-                cols = [pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([r["part"]] * len(docs), pa.int32()), pa.array([r["block"]] * len(docs), pa.int64()), pa.array([d["start"] for d in docs], pa.int32()), pa.array([d["doc_offset"] for d in docs], pa.int64()), _lists(pa.array(ids), n)]
-                yield pa.record_batch(cols, names=["doc_id", "part", "block", "start", "doc_offset", "ids"])
+                cols = [pa.array([d["doc_id"] for d in docs], pa.int64()), pa.array([r["block"]] * len(docs), pa.int64()), pa.array([d["start"] for d in docs], pa.int32()), pa.array([d["doc_offset"] for d in docs], pa.int64()), _lists(pa.array(ids), n)]
+                yield pa.record_batch(cols, names=["doc_id", "block", "start", "doc_offset", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, part int, block long, start int, doc_offset long, ids array<int>")
+    return blocks.mapInArrow(run, "doc_id long, block long, start int, doc_offset long, ids array<int>")

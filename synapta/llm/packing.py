@@ -1,17 +1,19 @@
 """Packing by concatenation and cutting: fixed windows of tokens over the whole corpus.
 
-Pass 1 encodes each document once (with an end-of-text token), writes the ids to the checkpoint
-folder and sums them by partition. A prefix sum over the partitions' totals, and the
+Documents are packed in the order of doc_id, so the windows don't depend on files, partitions or cores. Texts are
+sorted by ranges of doc_id. Pass 1 encodes each document once (with an end-of-text token), writes the ids to the
+checkpoint folder and sums them by partition. A prefix sum over the partitions' totals, and the
 prefix sum inside each partition, give every document its global offset. Pass 2 cuts
 fixed windows: those inside a partition are made where the documents lie, and only the
-fragments of windows at a partition's two edges are shuffled and put together.
+fragments of windows at a partition's two edges are shuffled and put together; they come from the rows that reach an edge.
 
 A window carries boundary records: for each document in it, doc_id, the offset in
 the document's tokens, the place in the window, and the length.
 
 Cases: texts that are null or empty contribute the end-of-text token alone; a null doc_id
-is kept in the records as null; rows are packed in the table's order, repeated rows each
-time; other columns are ignored; the last window is shorter; an empty table gives no window.
+is kept in the records as null, and such rows come first; rows that share a doc_id are in the order of a hash of their text;
+repeated rows are packed each time, and many of them are dealt to several partitions, for one can't be told from another.
+Very long texts go over as many windows as they need. Other columns are ignored, whatever their names; the last window is shorter; an empty table gives no window.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._text import checkpoint
-from .tokens import EOS, RANKS, token_ids
+from .tokens import EOS, RANKS, _texts, encoder, token_ids
 
 WINDOW = 2048
 _RECORDS = "docs array<struct<doc_id: bigint, doc_offset: bigint, start: int, length: int>>"
 SCHEMA = f"window_id long, n_ids int, ids array<int>, {_RECORDS}"
-_PART = f"window_id long, start int, n_ids int, ids array<int>, {_RECORDS}"
+_FRAGMENT = "window_id long, at long, doc_id long, doc_offset long, ids binary"
 _KIND = pa.struct([("doc_id", pa.int64()), ("doc_offset", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
 
 
@@ -85,70 +87,96 @@ class Cutter:
         self.docs = [(doc_ids.filter(pa.array(rest)), base[rest], size[rest])]
         return lo, ids[:k], doc_ids, base, size
 
-    def rest(self):
-        """What is left after the last whole window."""
-        end = max([int(b[-1] + s[-1]) for _, b, s in self.docs if len(b)], default=0)
-        return self.take(end)
-
 
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def _rows(cut, width: int) -> pa.RecordBatch:
+    """Windows of a run of whole ones, or a shorter last one."""
     lo, ids, doc_ids, base, size = cut
     hi = lo + len(ids)
-    first, last = lo // width, (hi - 1) // width
     docs, n = records(doc_ids, base, size, lo, hi, width)
-    window = np.arange(first, last + 1)
-    start = np.maximum(window * width, lo)
-    length = np.minimum((window + 1) * width, hi) - start
-    cols = [pa.array(window), pa.array((start - window * width).astype(np.int32)), pa.array(length.astype(np.int32)), _lists(pa.array(ids.astype(np.int32)), length), _lists(docs, n)]
-    return pa.record_batch(cols, names=["window_id", "start", "n_ids", "ids", "docs"])
-
-
-def _cut_udf(width: int, whole: bool):
-    def emit(cut):
-        """Whole windows, or the fragments, of a run."""
-        if cut is None:
-            return
-        lo, ids, doc_ids, base, size = cut
-        hi = lo + len(ids)
-        a, b = min(hi, -(-lo // width) * width), hi // width * width
-        spans = [(a, b)] if whole else [(lo, a), (max(a, b), hi)]
-        for x, y in spans:
-            if y > x:
-                step = width * max(1, (1 << 19) // width)
-                for p in range(x, y, step):
-                    q = min(y, p + step)
-                    yield _rows((p, ids[p - lo : q - lo], doc_ids, base, size), width)
+    window = np.arange(lo // width, (hi - 1) // width + 1)
+    length = np.minimum((window + 1) * width, hi) - window * width
+    return pa.record_batch([pa.array(window), pa.array(length.astype(np.int32)), _lists(pa.array(ids.astype(np.int32)), length), _lists(docs, n)], names=["window_id", "n_ids", "ids", "docs"])
+
+
+def _raw(column: pa.Array, n: np.ndarray) -> np.ndarray:
+    """All ids of a column of bytes, which are of 2 or 4 bytes each."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, f"<u{len(raw) // max(1, int(n.sum()))}" if raw else "<u4")
 
+
+def _cut_udf(width: int, make):
     def run(batches):
         cutter = Cutter(width)
         for b in batches:
-            base = b.column("base").to_numpy() + b.column("before").to_numpy()
-            raw = b.column("ids").combine_chunks() if isinstance(b.column("ids"), pa.ChunkedArray) else b.column("ids")
-            flat = np.frombuffer(b"".join(raw.to_pylist()), "<u4")
-            yield from emit(cutter.add(b.column("doc_id"), base, b.column("n").to_numpy(), flat))
-        yield from emit(cutter.rest())
+            base, n = b.column("base").to_numpy() + b.column("before").to_numpy(), b.column("n").to_numpy()
+            cut = cutter.add(b.column("doc_id"), base, n, _raw(b.column("ids"), n))
+            if cut is None:
+                continue
+            lo, ids, doc_ids, base, size = cut
+            first, hi = -(-lo // width) * width, lo + len(ids)  # what lies before is a fragment
+            step = width * max(1, (1 << 19) // width)
+            for p in range(first, hi, step):
+                q = min(hi, p + step)
+                near = slice(int(np.searchsorted(base + size, p, "right")), int(np.searchsorted(base, q)))
+                yield make((p, ids[p - lo : q - lo], doc_ids[near], base[near], size[near]), width)
+
+    return run
+
+
+def _fragments_udf(width: int):
+    """The tokens of each document that lie in a window which its partition shares with others."""
+
+    def run(batches):
+        for b in batches:
+            rows = {k: [] for k in ("window_id", "at", "doc_id", "doc_offset", "ids")}
+            for doc_id, base, total, before, n, raw in zip(b.column("doc_id").to_pylist(), *(b.column(k).to_numpy() for k in ("base", "total", "before", "n")), b.column("ids")):
+                lo, hi, size = base + before, base + before + n, len(raw.as_buffer()) // n
+                head = min(base + total, -(-base // width) * width)
+                tail = max(head, (base + total) // width * width)
+                for x, y in ((base, head), (tail, base + total)):
+                    x, y = max(x, lo), min(y, hi)
+                    if x < y:
+                        for k, v in zip(rows, (x // width, x, doc_id, x - lo, raw.as_py()[(x - lo) * size : (y - lo) * size])):
+                            rows[k].append(v)
+            yield pa.record_batch([pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()], names=list(rows))
 
     return run
 
 
-def _join_udf(key, t):
+def _join_udf(width: int, make, id_bytes: int):
     """Put the fragments of one window together, in order."""
-    t = t.sort_by("start").combine_chunks()
-    ids, docs = (pa.concat_arrays([c.flatten() for c in t.column(k).chunks]) for k in ("ids", "docs"))
-    return pa.table([pa.array([key[0].as_py()]), pa.array([len(ids)], pa.int32()), _lists(ids, np.array([len(ids)])), _lists(docs, np.array([len(docs)]))], names=["window_id", "n_ids", "ids", "docs"])
 
+    def run(key, t):
+        t = t.sort_by("at").combine_chunks()
+        at, offset = t.column("at").to_numpy(), t.column("doc_offset").to_numpy()
+        raw = t.column("ids").to_pylist()
+        n = np.array([len(x) // id_bytes for x in raw])
+        doc_ids = t.column("doc_id").combine_chunks()
+        return pa.Table.from_batches([make((key[0].as_py() * width, np.frombuffer(b"".join(raw), f"<u{id_bytes}"), doc_ids, at - offset, offset + n), width)])
 
-def pack(docs: DataFrame, window: int = WINDOW, ranks: str = RANKS, eos: int = EOS) -> DataFrame:
-    """(window_id, n_ids, ids, docs) with docs the boundary records."""
-    tokens = checkpoint(token_ids(docs, ranks, eos))
+    return run
+
+
+def cut(docs: DataFrame, width: int, make, schema: str, ranks: str, eos: int) -> DataFrame:
+    """The stream of all documents in the order of doc_id, cut at multiples of ``width``; make turns runs of windows into rows."""
+    texts = _texts(docs).withColumn("h", F.xxhash64("text"))
+    # equal rows, and they alone, may be split by the partition that they come from
+    placed = texts.repartitionByRange("doc_id", "h", F.spark_partition_id()).sortWithinPartitions("doc_id", "h")
+    tokens = checkpoint(token_ids(placed, ranks, eos))
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))  # one row a partition
-    placed = tokens.join(F.broadcast(bases), "part").select("base", "before", "doc_id", "n", "ids")
-    whole = placed.mapInArrow(_cut_udf(window, True), _PART).drop("start")
-    edges = placed.mapInArrow(_cut_udf(window, False), _PART)
-    return whole.unionByName(edges.groupBy("window_id").applyInArrow(_join_udf, SCHEMA))
+    bases = totals.select("part", "total", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("base"))  # one row a partition
+    placed = tokens.join(F.broadcast(bases), "part").select("base", "total", "before", "doc_id", "n", "ids")
+    whole = placed.mapInArrow(_cut_udf(width, make), schema)
+    near = placed.where((F.col("before") < F.pmod(-F.col("base"), F.lit(width))) | (F.col("before") + F.col("n") > F.col("total") - F.pmod(F.col("base") + F.col("total"), F.lit(width))))
+    edges = near.mapInArrow(_fragments_udf(width), _FRAGMENT).groupBy("window_id")
+    return whole.unionByName(edges.applyInArrow(_join_udf(width, make, encoder(ranks).id_bytes(eos)), schema))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, ranks: str = RANKS, eos: int = EOS) -> DataFrame:
+    """(window_id, n_ids, ids, docs) with docs the boundary records."""
+    return cut(docs, window, _rows, SCHEMA, ranks, eos)

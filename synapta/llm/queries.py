@@ -40,8 +40,8 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in windows of 2048 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """All documents in windows of 2048 tokens, in the order of doc_id."""
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,8 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as compressed planes of token ids."""
-    return bitplanes.write_blocks(table(spark, sf_dir, "documents"))
+    """All documents as compressed planes of token ids, in the order of doc_id."""
+    return bitplanes.write_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

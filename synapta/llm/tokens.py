@@ -8,7 +8,9 @@ lowest-rank pair at the same time as all others; sequences without a pair left a
 done. The symbols that survive are the tokens.
 
 The vocabulary is a file of ranks (base64 token, rank); its path is a parameter and
-the file is never copied. Cases: null and empty texts have no tokens. Texts are never cut.
+the file is never copied. Cases: null and empty texts have no tokens; a null doc_id stays null; rows that repeat are
+counted each; an empty table gives no rows; other columns are ignored, whatever their names. Very long texts are never
+cut: one is a slice of its own, and a pre-token of any length is merged whole.
 """
 
 from __future__ import annotations
@@ -85,6 +87,7 @@ class Ranks:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+        self.top = max(ranks.values())
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         p = np.array(pairs, np.int64)
@@ -198,6 +201,10 @@ class Encoder:
         self.ranks = Ranks(path)
         self.clear()
 
+    def id_bytes(self, eos: int | None) -> int:
+        """Bytes that hold any id."""
+        return 2 if max(self.ranks.top, eos or 0) < 1 << 16 else 4
+
     def clear(self) -> None:
         n = 1 << self.BITS
         self.key = np.zeros(n, np.uint64)
@@ -293,7 +300,7 @@ def encoded(texts, ranks: str, eos: int | None):
 
 
 def token_ids(docs: DataFrame, ranks: str = RANKS, eos: int | None = EOS) -> DataFrame:
-    """(part, before, doc_id, n, ids): tokens as little-endian 32-bit or, where all fit, 16-bit integers.
+    """(part, before, doc_id, n, ids): tokens as little-endian integers of 16 bits or, where the vocabulary has more, 32 (``Encoder.id_bytes``).
 
     part is the partition, before the tokens of its earlier rows: with the partitions'
     totals that gives global offsets.
@@ -301,9 +308,10 @@ def token_ids(docs: DataFrame, ranks: str = RANKS, eos: int | None = EOS) -> Dat
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), 0
+        size = encoder(ranks).id_bytes(eos)
         for ids, flat, n in encoded(batches, ranks, eos):
             upto = np.concatenate([[0], np.cumsum(n)])
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(upto * 4), pa.py_buffer(flat.astype("<u4"))])
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(upto * size), pa.py_buffer(flat.astype(f"<u{size}"))])
             yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(before + upto[:-1]), ids, pa.array(n), raw.cast(pa.binary())], names=["part", "before", "doc_id", "n", "ids"])
             before += int(upto[-1])
 

@@ -90,6 +90,35 @@ def test_windows_hold_every_token_once(make, corpus):
     assert packing.pack(make([])).count() == 0
 
 
+def test_windows_and_blocks_are_in_the_order_of_doc_id_whatever_the_layout(make, corpus, spark, tmp_path):
+    r = reference()
+    rows = sorted([(i, t) for i, t in corpus if i is not None], key=lambda x: x[0]) + [(None, "none"), (None, "none")]
+    want = [x for i, t in rows[-2:] + rows[:-2] for x in [*r.encode_ordinary(t or ""), tokens.EOS]]
+    rng = random.Random(1)
+    for k, (files, cores) in enumerate(((1, 1), (50, 4), (7, 16), (3, 2))):
+        rng.shuffle(rows)
+        path = str(tmp_path / str(k))
+        make(rows).repartition(files).write.parquet(path)
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores))
+        try:
+            docs = spark.read.parquet(path)
+            windows = sorted(packing.pack(docs, 300).collect())
+            assert [x for w in windows for x in w.ids] == want and [w.window_id for w in windows] == list(range(len(windows)))
+            found = (windows, sorted(bitplanes.write_blocks(docs, 1000).collect()))
+            assert k == 0 or found == before
+            before = found
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_many_equal_rows_are_packed_by_several_tasks(make):
+    docs = make([(None, "same text")] * 3000 + [(1, "x")]).repartition(6)
+    windows = sorted(packing.pack(docs, 50).collect())
+    ids = [x for w in windows for x in w.ids]
+    assert ids == [*reference().encode_ordinary("same text"), tokens.EOS] * 3000 + [*reference().encode_ordinary("x"), tokens.EOS]
+    assert all(sum(d.length for d in w.docs) == w.n_ids for w in windows)
+
+
 def test_planes_give_back_all_ids(make, corpus):
     want = streams(corpus)
     for bits in (False, True):
@@ -98,7 +127,7 @@ def test_planes_give_back_all_ids(make, corpus):
         rows = blocks.collect()
         assert all(r.n_ids <= 500 and r.offsets[-1] == len(r.data) for r in rows)
         got = {}
-        for r in sorted(bitplanes.read_ids(blocks).collect(), key=lambda r: (r.part, r.block, r.start)):
+        for r in sorted(bitplanes.read_ids(blocks).collect(), key=lambda r: (r.block, r.start)):
             if r.doc_offset == 0:
                 got.setdefault(r.doc_id, []).append([])
             got[r.doc_id][-1] += r.ids
