@@ -9,12 +9,16 @@ page's smoothed ratios, are content; runs of such lines are the regions.
 Scripts, styles, templates, titles, comments and declarations aren't text. Character references are
 decoded. Cases: a null page gives null text, a page without text gives an empty one; unclosed and crossed
 tags and broken markup are read as the parser reads them; a null page_id stays null; rows
-that repeat are read each; other columns are ignored. Pages are read whole; marked sections other than CDATA,
-like <![endif]--> or <![foo]>, are skipped to their >.
+that repeat are read each; ties of ratios are content or not together, for the threshold counts as reached; an empty table gives no rows;
+other columns are ignored, whatever their names. Pages are read whole, however long; marked sections other than CDATA,
+like <![endif]--> or <![foo]>, are skipped to their >. Hidden elements may be nested. One that isn't closed by the end of the element around it
+or of the page hides nothing, so no text is lost behind it, but for scripts and styles, which are raw text as far as they go;
+and like in browsers a drawing ends where an element begins that can't be in one.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,7 +33,14 @@ SHARE = 0.5
 _BLOCK = frozenset(
     "address article aside blockquote body br button caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul video".split()
 )
-_HIDDEN = frozenset(("script", "style", "template", "title", "noscript", "svg"))
+_RAW = frozenset(("script", "style"))
+_HIDDEN = _RAW | frozenset(("template", "title", "noscript", "svg"))
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end an svg around them.
+_NOT_IN_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HTML_IN_SVG = frozenset(("foreignobject", "desc", "title"))
 
 
 class Lines(HTMLParser):
@@ -41,7 +52,11 @@ class Lines(HTMLParser):
         self.tags: list[int] = []
         self.parts: list[str] = []
         self.count = 0
+        self.open: Counter[str] = Counter()
         self.hidden = ""
+        self.inside: Counter[str] = Counter()  # elements that are open in the hidden one, itself included
+        self.held: list[tuple] = []  # what it hides
+        self.shown: set[str] = set()  # names that hide nothing, for one of them isn't closed
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())
@@ -51,32 +66,56 @@ class Lines(HTMLParser):
         self.parts, self.count = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden == "svg" and tag in _NOT_IN_SVG and not any(self.inside[t] > 0 for t in _HTML_IN_SVG):
+            self.hidden, self.held = "", []
         if self.hidden:
+            self.held.append((self.handle_starttag, tag, attrs))
+            self.inside[tag] += tag not in _VOID
             return
-        if tag in _HIDDEN:
-            self.hidden = tag
+        if tag in _HIDDEN and tag not in self.shown:
+            self.hidden, self.inside, self.held = tag, Counter((tag,)), []
             return
         if tag in _BLOCK:
             self.end_line()
+        self.open[tag] += tag not in _VOID
         self.count += 1
 
     def handle_startendtag(self, tag, attrs):
-        if not self.hidden and tag not in _HIDDEN:
+        if self.hidden:
+            self.held.append((self.handle_startendtag, tag, attrs))
+        elif tag not in _HIDDEN:
             if tag in _BLOCK:
                 self.end_line()
             self.count += 1
 
     def handle_endtag(self, tag):
         if self.hidden:
-            if tag == self.hidden:
-                self.hidden = ""
-            return
+            if self.inside[tag] > 0:
+                self.inside[tag] -= 1
+                self.held.append((self.handle_endtag, tag))
+                if not self.inside[self.hidden]:
+                    self.hidden, self.held = "", []
+                return
+            if not self.open[tag]:
+                return
+            self.show()  # the end of an element around it
+        self.open[tag] -= self.open[tag] > 0
         self.count += 1
         if tag in _BLOCK:
             self.end_line()
 
+    def show(self):
+        """Read again what an element hides that isn't closed."""
+        while self.hidden:
+            self.shown.add(self.hidden)
+            held, self.hidden, self.held = self.held, "", []
+            for what, *given in held:
+                what(*given)
+
     def handle_data(self, data):
         if self.hidden:
+            if self.hidden not in _RAW:
+                self.held.append((self.handle_data, data))
             return
         first, *more = data.split("\n")
         self.parts.append(first)
@@ -99,6 +138,7 @@ def lines(html: str) -> tuple[list[str], np.ndarray]:
     p = Lines()
     p.feed(html)
     p.close()
+    p.show()
     p.end_line()
     return p.text, np.array([len(t) / max(1, n) for t, n in zip(p.text, p.tags)])
 
