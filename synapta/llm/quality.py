@@ -4,15 +4,17 @@
    pairs and lines) come from one pass over the texts and are written to the checkpoint folder.
 2. Standardised on the labelled documents, they are mapped to ``FEATURES`` random cosines,
    whose dot products approximate a Gaussian kernel.
-3. Each partition sums its part of the normal equations over all its labelled documents;
-   Spark adds the parts up and the driver solves a system of fixed size for the ridge scores.
-4. Scores of labelled documents are counted in ``BINS`` bins, and pooling adjacent violators
-   makes the share of good documents a rising function of the score: the calibration.
+3. Each partition sums its part of the normal equations over all its labelled documents, apart for each of ``FOLDS`` folds
+   by a hash of doc_id; Spark adds the parts up and the driver solves systems of fixed size for the ridge scores: one of
+   all folds, and for each fold one of the others.
+4. Labelled documents are scored by the weights of the other folds and counted in ``BINS`` bins, and pooling adjacent violators
+   makes the share of good documents a rising function of the score: the calibration, on documents held out.
 
 Nothing is sampled. Cases: texts that are null or have no word are judged by their
-statistics, which are zeros; a null doc_id stays null; label rows with a null doc_id
+statistics, which are zeros; very long texts are read whole, in slices; a null doc_id stays null; label rows with a null doc_id
 or label, or without a document, are ignored; contradicting labels count by their mean; without labels the
-probability is null and every document is kept. Rows that repeat are judged each. Other columns are
+probability is null and every document is kept; ties of scores get the same probability. Rows that repeat are judged each, and weigh
+as often as they are there. An empty table gives no rows. Other columns, whatever their names, are
 ignored by ``quality`` and kept by ``remove``.
 """
 
@@ -31,6 +33,7 @@ BINS = 1000
 RIDGE = 1.0
 KEEP = 0.5
 SEED = 17
+FOLDS = 5
 STATS = ["log_words", "word_bytes", "digits", "upper", "symbols", "space", "high", "distinct", "top_word", "short", "long", "lines", "repeated_lines", "word_sentences", "distinct_pairs", "ends", "log_longest", "top_pair"]
 _KINDS = np.zeros((256, 6), bool)
 for _b in range(256):
@@ -112,13 +115,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _equations_udf(cosines: Cosines):
     def run(batches):
         k = len(cosines.b) + 1
-        total = np.zeros((k, k + 1))
+        total = np.zeros((FOLDS, k, k + 1))
         for b in batches:
             if len(b):
-                f = cosines.of(_matrix(b.column(0)))
-                total += f.T @ np.concatenate([f, b.column(1).to_numpy()[:, None]], 1)
+                f, fold = cosines.of(_matrix(b.column(0))), b.column(2).to_numpy()
+                fy = np.concatenate([f, b.column(1).to_numpy()[:, None]], 1)
+                for j in range(FOLDS):
+                    total[j] += f[fold == j].T @ fy[fold == j]
         i, j = np.nonzero(np.arange(k)[:, None] <= np.arange(k + 1))
-        yield pa.record_batch([pa.array((i * (k + 1) + j).astype(np.int32)), pa.array(total[i, j])], names=["cell", "value"])
+        for fold in range(FOLDS):
+            yield pa.record_batch([pa.array(np.full(len(i), fold, np.int32)), pa.array((i * (k + 1) + j).astype(np.int32)), pa.array(total[fold, i, j])], names=["fold", "cell", "value"])
 
     return run
 
@@ -148,12 +154,14 @@ def _bin(score: np.ndarray) -> np.ndarray:
     return np.clip(((score + 0.5) / 2 * BINS).astype(np.int64), 0, BINS - 1)
 
 
-def _bins_udf(cosines: Cosines, weights: np.ndarray):
+def _bins_udf(cosines: Cosines, without: np.ndarray):
+    """without: for each fold the weights of the others."""
+
     def run(batches):
         count, good = np.zeros(BINS), np.zeros(BINS)
         for b in batches:
             if len(b):
-                at = _bin(cosines.of(_matrix(b.column(0))) @ weights)
+                at = _bin((cosines.of(_matrix(b.column(0))) * without[b.column(2).to_numpy()]).sum(1))
                 count += np.bincount(at, minlength=BINS)
                 good += np.bincount(at, b.column(1).to_numpy(), minlength=BINS)
         some = np.flatnonzero(count)
@@ -162,6 +170,13 @@ def _bins_udf(cosines: Cosines, weights: np.ndarray):
     return run
 
 
+def _judged(x: np.ndarray, model) -> tuple[np.ndarray, np.ndarray]:
+    """(score, probability) by statistics."""
+    cosines, weights, curve = model
+    score = cosines.of(x) @ weights
+    return score, curve[_bin(score)]
+
+
 def _judge_udf(model):
     def run(batches):
         for b in batches:
@@ -171,9 +186,7 @@ def _judge_udf(model):
                 score = prob = pa.nulls(len(b), pa.float64())
                 keep = np.ones(len(b), np.int32)
             else:
-                cosines, weights, curve = model
-                s = cosines.of(_matrix(b.column(1))) @ weights
-                p = curve[_bin(s)]
+                s, p = _judged(_matrix(b.column(1)), model)
                 score, prob, keep = pa.array(np.round(s, 6)), pa.array(np.round(p, 6)), (p >= KEEP).astype(np.int32)
             yield pa.record_batch([b.column(0), score, prob, pa.array(keep)], names=["doc_id", "score", "probability", "keep"])
 
@@ -182,21 +195,48 @@ def _judge_udf(model):
 
 def _model(stats: DataFrame, labels: DataFrame):
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    fitting = checkpoint(stats.join(known, "doc_id").select("stats", "y"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    fitting = checkpoint(stats.join(known, "doc_id").select("stats", "y", fold))
     moments = fitting.agg(F.count("*"), *[f(F.col("stats")[k]) for k in range(len(STATS)) for f in (F.avg, F.stddev_pop)]).first()
     if not moments[0]:
         return None
     mean, scale = np.array(moments[1::2], float), np.array(moments[2::2], float)
     cosines = Cosines(mean, np.where(scale > 1e-9, scale, 1.0))
-    cells = fitting.mapInArrow(_equations_udf(cosines), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-    weights = solve(cells["cell"].to_numpy(), cells["value"].to_numpy(), FEATURES + 1)
-    bins = fitting.mapInArrow(_bins_udf(cosines, weights), "bin int, n double, good double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toPandas()
+    k = FEATURES + 1
+    cells = fitting.mapInArrow(_equations_udf(cosines), "fold int, cell int, value double").groupBy("fold", "cell").agg(F.sum("value").alias("value")).toPandas()
+    parts = np.zeros((FOLDS, k * (k + 1)))
+    parts[cells["fold"], cells["cell"]] = cells["value"]
+    every = np.arange(k * (k + 1))
+    weights = solve(every, parts.sum(0), k)
+    without = np.stack([solve(every, parts.sum(0) - p, k) for p in parts])
+    bins = fitting.mapInArrow(_bins_udf(cosines, without), "bin int, n double, good double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toPandas()
     count, good = np.zeros(BINS), np.zeros(BINS)
     count[bins["bin"]], good[bins["bin"]] = bins["n"], bins["good"]
     return cosines, weights, isotonic(count, good)
 
 
+def _with_statistics(docs: DataFrame) -> DataFrame:
+    return checkpoint(_texts(docs).mapInArrow(_statistics_udf, "doc_id long, stats array<double>"))
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, probability, keep) of every row."""
-    stats = checkpoint(_texts(docs).mapInArrow(_statistics_udf, "doc_id long, stats array<double>"))
+    stats = _with_statistics(docs)
     return stats.mapInArrow(_judge_udf(_model(stats, labels)), "doc_id long, score double, probability double, keep int")
+
+
+def _keep_udf(model, at: int):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(len(b), bool)
+            for lo, data, offs in slices(b.column(at).cast(pa.string())):
+                keep[lo : lo + len(offs) - 1] = _judged(statistics(data, offs), model)[1] >= KEEP
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def remove(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that are judged good; columns stay as they are."""
+    model = _model(_with_statistics(docs), labels)
+    return docs if model is None else docs.mapInArrow(_keep_udf(model, docs.columns.index("text")), docs.schema)
