@@ -8,6 +8,8 @@ batch size, and long documents are never truncated.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ NORMAL[:128] = [ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(1
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the session's, or in local mode a temporary one."""
+    """Make sure that checkpoints have a folder: the session's, or in local mode a temporary one, removed at the end of the process."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -38,6 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="synapta-")
+        atexit.register(shutil.rmtree, shared, True)
     sc.setCheckpointDir(shared)
 
 
@@ -48,12 +51,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet to the folder of checkpoints, and read it again."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write as Parquet to the folder of checkpoints, and read it again: (the table, its path)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

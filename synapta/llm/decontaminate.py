@@ -13,16 +13,19 @@ moves each lane's window. Patterns too short for a useful table form a group of
 
 The pattern tables are built from the benchmark, which the driver reads in
 pieces of ``PIECE`` bytes; each piece is one pass with its own tables, so what is sent to
-executors is bounded whatever the size of the benchmark. Texts aren't shuffled.
+executors is bounded whatever the size of the benchmark. A process builds the tables of a piece once and keeps
+them for its next tasks. Texts aren't shuffled.
 
 Cases: null and blank texts and items have no occurrence; items that repeat are found
 under each of their ids; a null item_id or doc_id is reported as null; extra columns are ignored by
-``occurrences`` and kept by ``remove``; an empty benchmark or table gives no occurrence. Rows that
+``occurrences`` and kept by ``remove``; an empty benchmark or table gives no occurrence. Very long texts are searched whole; passages that overlap count each. Rows that
 share a doc_id are reported each, and ``remove`` judges every row by its own text.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,14 +156,27 @@ def _pieces(benchmark: DataFrame):
 def _passes(docs: DataFrame, benchmark: DataFrame, ngram: int, run_with, schema: str) -> DataFrame:
     spark, out = docs.sparkSession, None
     for items in _pieces(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+        sent = _send(docs, items)
         found = docs.mapInArrow(run_with(sent, ngram), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _matcher(sent, ngram):
-    return Matcher(sent.value, ngram)
+_built: dict[tuple[str, int], Matcher] = {}
+
+
+def _matcher(sent, ngram: int) -> Matcher:
+    """This process's tables of a piece; those of the last two pieces are kept."""
+    name, value = sent
+    if (name, ngram) not in _built:
+        while len(_built) > 1:
+            del _built[next(iter(_built))]
+        _built[name, ngram] = Matcher(value.value, ngram)
+    return _built[name, ngram]
+
+
+def _send(docs: DataFrame, items: list) -> tuple:
+    return uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
 
 
 def _occurrences_udf(sent, ngram):
@@ -199,6 +215,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM) -> DataFra
     """Documents without a passage of the benchmark; columns stay as they are."""
     at = docs.columns.index("text")
     for items in _pieces(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent = _send(docs, items)
         docs = docs.mapInArrow(_clean_udf(sent, ngram, at), docs.schema)
     return docs

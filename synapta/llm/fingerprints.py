@@ -11,7 +11,7 @@ The three numbers come from 2**16 quantiles each, picked by the bits of one 64-b
 of equal value are broken by the hash of (term, level), so the order of terms has no say.
 
 Cases: texts that are null or have no word give a null signature; rows that
-repeat give equal rows; a null doc_id stays null; other columns are ignored; an empty
+repeat give equal rows; a null doc_id stays null; other columns are ignored, whatever their names; an empty
 table gives no rows. Texts are never cut: a document of any length is taken in tiles.
 """
 

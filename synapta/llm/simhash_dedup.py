@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import checkpoint, counted, long_ids, pair, slices, words
+from ._text import checkpoint, counted, discard, pair, slices, stored_at, words
 
 WORD_BITS = 11
 PAIR_BITS = 14
@@ -251,10 +251,10 @@ def _state(edges: DataFrame) -> tuple:
 def connect(edges: DataFrame) -> DataFrame:
     """(u, v): each node u that isn't the least of its component, and that least node v.
 
-    Alternates the large star and the small star until nothing changes, and writes the
-    edges to the checkpoint folder after each turn.
+    Alternates the large star and the small star until nothing changes; the
+    edges are written to the checkpoint folder after each turn, and those of the turn before deleted.
     """
-    edges = checkpoint(edges.distinct())
+    (edges, path), spark = stored_at(edges.distinct(), "edges"), edges.sparkSession
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -262,7 +262,9 @@ def connect(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
+        before = path
+        edges, path = stored_at(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), "edges")
+        discard(spark, before)
         new = _state(edges)
         if new == state:
             break

@@ -21,7 +21,8 @@ the fitting documents count once. The weights are then fitted to all of them.
 Sentences end at . ! ? and at line ends. Cases: texts that are null or have no word have
 probability 0 and no sentence; a null doc_id stays null; label rows with a null doc_id
 or label, or without a document, are ignored; labels that contradict each other count as toxic, and of texts that share a doc_id the first counts; without
-labels of both classes nothing is toxic. Rows that repeat are scored each. ``remove``
+labels of both classes nothing is toxic. Very long texts are read whole, in slices. Rows that repeat are scored each; a score that
+ties with the threshold is toxic. An empty table gives no rows. Other columns, whatever their names, are ignored by ``toxicity``; ``remove``
 keeps all columns and all documents that aren't judged toxic.
 """
 

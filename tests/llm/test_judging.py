@@ -68,6 +68,15 @@ def test_decontamination_of_empty_tables(spark, make, leaks):
     assert decontaminate.occurrences(make([]), bench).count() == decontaminate.remove(make([]), bench).count() == 0
 
 
+def test_clashing_columns_are_kept(spark, make, leaks):
+    docs, items = leaks
+    more = dict(texts="a", item_id="b", n_hits="c", c0="d", TEXT_="e", html="f")
+    bench = spark.createDataFrame([(i, t, "x", "y") for i, t in items], "item_id long, text string, doc_id string, n_hits string")
+    kept = decontaminate.remove(make(docs, **more), bench)
+    dirty = {d for d, _, _ in brute_hits(docs, items)}
+    assert kept.columns == make(docs, **more).columns and sorted(tuple(r[5:]) for r in kept.collect()) == [tuple(more.values())] * sum(i not in dirty for i, _ in docs)
+
+
 BAD = ["grunk", "snarvel", "plimfy", "drokle", "vexnit"]
 
 
@@ -127,6 +136,71 @@ def test_length_alone_makes_no_document_toxic(make):
             assert toxic or q[0] == 0
 
 
+def test_the_fit_equals_a_plain_one():
+    """Noisy-or loss by loops over documents and sentences, the same descent."""
+    rng = random.Random(3)
+    docs = [[[rng.randrange(6) for _ in range(3)] for _ in range(rng.randint(1, 4))] for _ in range(40)]
+    labels = np.array([float(any(0 in s for s in d)) for d in docs])
+    sent, col, doc, k = [], [], [], 0
+    for i, d in enumerate(docs):
+        for s in d:
+            for c in sorted(set(s)):
+                sent.append(k)
+                col.append(c)
+            doc.append(i)
+            k += 1
+    used, w, bias = toxicity._weights(np.array(sent), np.array(col), np.array(doc), labels, np.ones(len(docs), bool))
+
+    def loss(w, bias):
+        """Mean cross entropy of the noisy-or."""
+        total = 0.0
+        for d, y in zip(docs, labels):
+            clean = 1.0
+            for s in d:
+                clean *= 1 - 1 / (1 + np.exp(-(sum(w.get(c, 0.0) for c in set(s)) + bias)))
+            total -= np.log(max(1 - clean, 1e-12)) if y else np.log(max(clean, 1e-12))
+        return total / len(docs)
+
+    found = dict(zip(used.tolist(), w.tolist()))
+    assert 0 in found and found[0] == max(found.values()) and min(found.values()) >= 0
+    least = loss(found, bias)
+    assert least < 0.05 and least < loss({}, np.log(labels.mean() / (1 - labels.mean())))
+    # the gradient that the fit follows is the slope of that loss
+    ids, size, live = np.array(sent), len(doc), np.array(doc)
+    for weights, b in (({0: 1.0, 1: 0.5}, -2.0), ({0: 0.3}, -1.0)):
+        z = np.array([sum(weights.get(c, 0.0) for c in np.array(col)[ids == s]) + b for s in range(size)])
+        p = toxicity.sigmoid(z)
+        q = toxicity.noisy_or(p, live, len(docs))
+        g = np.where(labels[live] == 1, -p * (1 - q[live]) / q[live], p) / len(docs)
+        for c in (0, 1, 2):
+            up, down = (loss(weights | {c: weights.get(c, 0.0) + e}, b) for e in (1e-5, -1e-5))
+            assert abs((up - down) / 2e-5 - g[ids[np.array(col) == c]].sum()) < 1e-6
+        assert abs((loss(weights, b + 1e-5) - loss(weights, b - 1e-5)) / 2e-5 - g.sum()) < 1e-6
+
+
+def test_scores_equal_a_plain_count(make, toxic):
+    docs, _, table = toxic
+    model = toxicity.train(make(docs), table)
+    from synapta.llm._text import words
+
+    def weight(word):
+        raw = word.encode()
+        at, k = model.lookup(words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3])
+        return model.weights[k[0]] if len(at) else 0.0
+
+    none = 1 / (1 + np.exp(-model.bias))
+    for r in toxicity.toxicity(make(docs), table).collect():
+        if r.doc_id is None or r.doc_id == 5003 or r.doc_id % 7:
+            continue
+        clean, n = 1.0, 0
+        for s in re.split(r"[.!?\r\n]", dict(docs)[r.doc_id] or ""):
+            if plain(s):
+                n += 1
+                z = sum(weight(w) for w in set(plain(s)))
+                clean *= 1 - max(1 / (1 + np.exp(-(z + model.bias))) - none, 0) / (1 - none)
+        assert abs(r.score - (1 - clean)) < 1e-5 and r.n_sentences == n and r.toxic == (1 - clean >= model.threshold)
+
+
 def test_without_labels_nothing_is_toxic(spark, make, toxic):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make(toxic[0][:20])
@@ -164,6 +238,43 @@ def test_quality_of_held_out_documents(spark, make):
     assert quality.quality(make([]), labels).count() == 0
 
 
+def test_quality_equals_a_plain_version(spark, make):
+    """All in numpy at once: folds, ridge by least squares, and rising shares by the min-max formula."""
+    rng = random.Random(16)
+    docs = [(i, junk(rng) if i % 3 == 0 else prose(rng, rng.randint(5, 60)) + (" @@@ buy" * (i % 5))) for i in range(240)]
+    labels = [(i, int((i % 3 != 0) ^ (i % 11 == 0)), 0) for i in range(0, 240, 2)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = sorted(quality.quality(make(docs), table).collect())
+    x = np.concatenate([quality.statistics(d, o) for _, t in docs for _, d, o in slices(pa.array([t]))])
+    at, y = np.array([i for i, _, _ in labels]), np.array([g for _, g, _ in labels], float)
+    scale = x[at].std(0)
+    c = quality.Cosines(x[at].mean(0), np.where(scale > 1e-9, scale, 1.0))
+    f = c.of(x)
+    fold = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i, _ in docs], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id), {quality.FOLDS})").collect()}
+    fold = np.array([fold[i] for i in at])
+    root = np.sqrt(np.diag([1e-9] + [quality.RIDGE] * quality.FEATURES))
+
+    def ridge(some):
+        return np.linalg.lstsq(np.r_[f[at][some], root], np.r_[y[some], np.zeros(len(root))], rcond=None)[0]
+
+    held = np.array([f[i] @ ridge(fold != k) for i, k in zip(at, fold)])
+    bins = quality._bin(held)
+    some = np.unique(bins)
+    share = [(y[bins == b].sum(), (bins == b).sum()) for b in some]
+    mean = lambda a, b: sum(g for g, _ in share[a : b + 1]) / sum(n for _, n in share[a : b + 1])
+    rising = np.array([max(min(mean(a, b) for b in range(i, len(some))) for a in range(i + 1)) for i in range(len(some))])
+    score = f @ ridge(fold >= 0)
+    assert np.allclose([r.score for r in rows], score, atol=2e-6)
+    place = np.searchsorted(some, quality._bin(score), "right") - 1
+    want = np.where(place >= 0, rising[np.maximum(place, 0)], 0.0)
+    off = np.abs(np.array([r.probability for r in rows]) - want) > 2e-6
+    # an empty bin takes the pool or the bin before it; scores on the edge of a bin may fall to either side
+    assert off.mean() < 0.02
+    kept = quality.remove(make(docs, stats="s"), table)
+    assert kept.columns[-1] == "stats" and sorted(r.doc_id for r in kept.collect()) == [r.doc_id for r in rows if r.keep]
+    assert quality.remove(make(docs[:9]), table.where("doc_id < 0")).count() == 9 and quality.remove(make([]), table).count() == 0
+
+
 def test_equations_calibration_and_features():
     rng = np.random.default_rng(2)
     f, y = rng.standard_normal((50, 4)), rng.standard_normal(50)
@@ -217,6 +328,75 @@ def test_text_after_broken_declarations_is_kept():
         html_text.content(f"<p>{LONG}</p>{junk}<p>{LONG}</p>")
 
 
+def test_hidden_elements_lose_no_text():
+    a, b = LONG.strip(), "Another paragraph that is long enough to count as content of this page. " * 3
+    for hidden in ('<svg><path d="x">', "<noscript>", "<template>", "<svg><g><svg>", "<noscript><template>", "<svg><text>x"):
+        for page in (f"<div>{hidden}<p>{a}</p></div><p>{b}</p>", f"<div>{hidden}</div><p>{a}</p><p>{b}</p>", f"{hidden}<p>{a}</p><p>{b}</p>"):
+            text, _, _ = html_text.content(page)
+            assert a in text and b.strip() in text, page
+    for hidden in ("<svg><text>no</text><svg><text>no</text></svg><text>no</text></svg>", "<template><div>no<template>no</template>no</div></template>", "<noscript>no</p></noscript>", "<script>no <p> no</script>", "<style>no</style>", "<svg><foreignObject><p>no</p></foreignObject>no</svg>"):
+        text, _, _ = html_text.content(f"<p>{a}</p>{hidden}<p>{b}</p>")
+        assert text == f"{a}\n{b.strip()}", hidden
+
+
+class PlainLines(html_text.HTMLParser):
+    """Lines by ratio, with nothing but a depth for what is hidden; for pages whose elements are closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.done, self.now, self.tags, self.depth = [], "", 0, 0
+
+    def flush(self):
+        words = self.now.split()
+        if words or self.tags:
+            self.done.append((" ".join(words), self.tags))
+        self.now, self.tags = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in html_text._HIDDEN
+        if not self.depth:
+            if tag in html_text._BLOCK:
+                self.flush()
+            self.tags += 1
+
+    def handle_endtag(self, tag):
+        if tag in html_text._HIDDEN:
+            self.depth -= 1
+        elif not self.depth:
+            self.tags += 1
+            if tag in html_text._BLOCK:
+                self.flush()
+
+    def handle_data(self, data):
+        if not self.depth:
+            for k, line in enumerate(data.split("\n")):
+                if k:
+                    self.flush()
+                self.now += line
+
+
+def plain_content(html):
+    p = PlainLines()
+    p.feed(html)
+    p.close()
+    p.flush()
+    ratio = [len(t) / max(1, n) for t, n in p.done]
+    soft = []
+    for i in range(len(ratio)):
+        near = [(np.exp(-((i - j) ** 2) / (2 * html_text.RADIUS**2)), ratio[j]) for j in range(max(0, i - html_text.RADIUS), min(len(ratio), i + html_text.RADIUS + 1))]
+        soft.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    mean = sum(soft) / max(1, len(soft))
+    cut = html_text.SHARE * (sum((x - mean) ** 2 for x in soft) / max(1, len(soft))) ** 0.5
+    return "\n".join(t for (t, _), x in zip(p.done, soft) if t and x >= cut and x > 0)
+
+
+def test_pages_equal_a_plain_version(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    want = {r.page_id: plain_content(r.html) for r in pages.collect()}
+    assert len(want) == 50 and got == want
+
+
 def test_smoothing():
     x = np.array([0.0, 0, 10, 0, 0])
     k = np.exp(-np.arange(-2, 3) ** 2 / 8)

@@ -60,6 +60,24 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     assert sum(w.n_ids for w in whole.collect()) == sum(w.n_ids for w in seen[4])
 
 
+def test_stages_of_empty_and_repeated_tables(spark, folder, make, tmp_path):
+    d, docs, labels, items = folder
+
+    def tables(name, docs, labels, items):
+        at = f"{tmp_path}/{name}"
+        make(docs, group_id="g", bucket="b", window_id="w").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        return corpus_pipeline.run(spark, at).collect()
+
+    assert tables("empty", [], labels, items) == [] and tables("none", [], [], []) == []
+    some = docs[:40] + [(None, None), (None, "no number"), (9000, "")]
+    ids = lambda rows: sorted(str(x.doc_id) for w in rows for x in w.docs if x.doc_offset == 0)
+    assert ids(tables("plain", some, [], [])) == sorted(str(i) for i, _ in some)
+    twice = tables("twice", some + some, [], [])  # rows that share a doc_id are one document, and stay together
+    assert ids(twice) == sorted(str(i) for i, _ in some + some)
+
+
 def test_every_query_reads_its_whole_table(spark, folder):
     d, docs, labels, items = folder
     q = queries.queries()
