@@ -164,8 +164,9 @@ def _join_udf(width: int, make, id_bytes: int):
 def cut(docs: DataFrame, width: int, make, schema: str, ranks: str, eos: int) -> DataFrame:
     """The stream of all documents in the order of doc_id, cut at multiples of ``width``; make turns runs of windows into rows."""
     texts = _texts(docs).withColumn("h", F.xxhash64("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, for adaptive execution would make few and large ones
     # equal rows, and they alone, may be split by the partition that they come from
-    placed = texts.repartitionByRange("doc_id", "h", F.spark_partition_id()).sortWithinPartitions("doc_id", "h")
+    placed = texts.repartitionByRange(parts, "doc_id", "h", F.spark_partition_id()).sortWithinPartitions("doc_id", "h")
     tokens = checkpoint(token_ids(placed, ranks, eos))
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
