@@ -7,7 +7,13 @@
 5. packing: what is left is cut into windows of 2048 tokens with boundary records.
 
 The first four return the columns they were given. ``run`` writes each stage's result and reads
-it again, so a lost executor costs at most a stage.
+it again, so a lost executor costs at most a stage; a stage's table is deleted once the next one is written.
+
+Cases: rows with a null doc_id stay through all stages unless they are toxic or contaminated; null and empty
+texts stay and are packed as an end-of-text token; rows that share a doc_id stay or go together as near duplicates,
+and are judged each as toxic or contaminated; ties go to the smallest doc_id; very long texts are read whole; without labels nothing is toxic, with an
+empty benchmark nothing is contaminated; an empty table gives no window; other columns are kept, whatever their
+names, up to packing, which ignores them.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from synapta.llm import decontaminate, packing, simhash_dedup, suffix_dedup, toxicity
-from synapta.llm._text import stored
+from synapta.llm._text import discard, stored_at
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = stored_at(stage(spark, docs, sf_dir), name)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
