@@ -21,10 +21,10 @@ KIN = frozenset("boss boyfriend brother child children colleague coworker daught
 EVENTS = frozenset("anniversary birthday camp celebration ceremony concert event exhibition fair festival funeral game graduation hike marathon meeting party play race run show sport travel trip vacation wedding".split())
 CONCEPTS = frozenset("accomplishment achievement belief career conflict dream education failure feeling goal health hobby interest lifestyle mood occupation plan situation status success volunteering".split())
 _TIME = frozenset("monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december today yesterday tomorrow tonight morning evening afternoon weekend week month year".split())
-_PLACE_CUES = frozenset("in at to from near".split())
-_NOT_NAMES = frozenset("i i'm i've the a an and but or so he she it we they you my his her their our this that these those there here yes no hi hello hey thanks oh well what when where who why how did do does is are was were".split())
+_PLACE_CUES = frozenset("at from in near to".split())
+_NOT_NAMES = frozenset("a an and are but did do does he hello her here hey hi his how i i'm i've is it my no oh or our she so thanks that the their there these they this those was we well were what when where who why yes you".split())
 _IRREGULAR = {"met": "meet", "knew": "know", "known": "know", "went": "go", "ran": "run", "married": "marry", "kids": "kid", "wives": "wife", "parties": "party"}
-_VERB_ENDINGS = frozenset("is are was were be been am has have had do does did go goes went get got make made take took say said think thought want like love hate know feel felt".split())
+_VERB_ENDINGS = frozenset("am are be been did do does feel felt get go goes got had has hate have is know like love made make said say take think thought took want was went were".split())
 _PLAIN = STOPWORDS | QUESTION_WORDS | FILLER | _NOT_NAMES | _PLACE_CUES
 _WORD = re.compile(r"[^\W_][\w'’-]*", re.UNICODE)
 

@@ -7,7 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 CATEGORIES = ("premises", "propositions", "preferences", "people", "skills", "desires", "concepts", "memory")
-SINGULAR = dict(pair.split(">") for pair in "premise>premises proposition>propositions preference>preferences person>people skill>skills desire>desires concept>concepts memories>memory".split())
+SINGULAR = {
+    "concept": "concepts",
+    "desire": "desires",
+    "memories": "memory",
+    "person": "people",
+    "preference": "preferences",
+    "premise": "premises",
+    "proposition": "propositions",
+    "skill": "skills",
+}
 DECAY_EXEMPT = ("memory",)
 
 BELIEF = T.StructType(
@@ -89,10 +98,10 @@ class Tunables:
         return float(self.max_injected_tokens) if self.max_injected_tokens else self.context_limit * self.budget_fraction
 
 
-#: Words that say little in a query. Their order has no meaning.
+#: Words that say little in a query.
 STOPWORDS = frozenset(
-    "above about across after again against along and another are around been before behind being below beneath beside between beyond could did do does during first for from had has have here is other second shall should since that the their then there these third this those through under until was were what when where which while whose will with within without would you your".split()
-) - {"across"}
+    "about above after again against along and another are around been before behind being below beneath beside between beyond could did do does during first for from had has have here is other second shall should since that the their then there these third this those through under until was were what when where which while whose will with within without would you your".split()
+)
 QUESTION_WORDS = frozenset("how what when where which who whom whose why".split())
 FILLER = frozenset("any both done had have item items kind kinds many much some sort sorts stuff thing things type types way ways".split())
 #: Capitalised at the start of sentences, and no value of a statement.

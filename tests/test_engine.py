@@ -82,14 +82,14 @@ def test_cosine_of_zero_vectors_and_exact_neighbours(spark):
 
 
 def test_tags_and_keywords():
-    assert " ".join(nlp.tags("Mike loves to go camping with his friends, Joel and Terry")) == "[person] [relation] [event] [person] [person]"
+    assert nlp.tags("Nora likes hiking with her cousins, Ida and Piet") == ["[person]", "[relation]", "[event]", "[person]", "[person]"]
     assert nlp.tags(None) == [] and nlp.keywords("") == []
     assert nlp.keywords("a charity race near the homeless shelter")[:2] == ["charity race", "homeless shelter"]
     assert len(nlp.keywords("red green blue yellow purple orange")) <= 4
 
 
 def test_heads_keep_room_for_learned_vocabulary():
-    h = nlp.heads("What achievement did John share with friends and colleagues during the long hiking weekend trip there", DEFAULT_EXPANSIONS, {"john": dict(friends=["Bob", "Cindy"])})
+    h = nlp.heads("What achievement did John share with friends and colleagues during the long hiking weekend trip there", DEFAULT_EXPANSIONS, {"john": {"friends": ["Bob", "Cindy"]}})
     assert h[0].startswith("What achievement") and len(h) <= 16 and {"Bob", "Cindy", "finished"} <= set(h) and "John" in h
     assert "passionate" not in nlp.heads("uninteresting", DEFAULT_EXPANSIONS, {})
 
