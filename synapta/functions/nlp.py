@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import FILLER, QUESTION_WORDS, STOPWORDS
+from . import text as X
 
 VERBS = frozenset("befriend boss care date dislike divorce employ hate help know like live love marry meet own prefer support trust visit work".split())
 KIN = frozenset("boss boyfriend brother child children colleague coworker daughter employee employer family father friend girlfriend husband kid mother parent partner relative roommate sibling sister son spouse wife".split())
@@ -26,17 +29,22 @@ _NOT_NAMES = frozenset("a an and are but did do does he hello her here hey hi hi
 _IRREGULAR = {"met": "meet", "knew": "know", "known": "know", "went": "go", "ran": "run", "married": "marry", "kids": "kid", "wives": "wife", "parties": "party"}
 _VERB_ENDINGS = frozenset("am are be been did do does feel felt get go goes got had has hate have is know like love made make said say take think thought took want was went were".split())
 _PLAIN = STOPWORDS | QUESTION_WORDS | FILLER | _NOT_NAMES | _PLACE_CUES
+_ENDS = re.compile(r"[.!?\n]\s*$")
 _WORD = re.compile(r"[^\W_][\w'’-]*", re.UNICODE)
 
 
+_KNOWN = VERBS | KIN | EVENTS | CONCEPTS
+_COMMON = _KNOWN | STOPWORDS
+
+
+@lru_cache(1 << 16)
 def lemma(word: str) -> str:
     """A word's likely base form."""
     w = word.lower()
     if w in _IRREGULAR:
         return _IRREGULAR[w]
-    every = VERBS | KIN | EVENTS | CONCEPTS
     forms = [w, w[:-1] if w.endswith("s") else w, w[:-2] if w.endswith(("es", "ed")) else w, w[:-1] if w.endswith("ed") else w, w[:-3] + "y" if w.endswith("ies") else w, w[:-3] if w.endswith("ing") else w, w[:-3] + "e" if w.endswith("ing") else w]
-    return next((f for f in forms if f in every), w)
+    return next((f for f in forms if f in _KNOWN), w)
 
 
 def tags(text: str | None) -> list[str]:
@@ -44,12 +52,13 @@ def tags(text: str | None) -> list[str]:
     words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
     kinds: list[str | None] = []
     for i, (w, start, _) in enumerate(words):
+        before = text[words[i - 1][2] : start] if i else ""
         low = w.lower().removesuffix("'s").removesuffix("’s")
-        first = i == 0 or bool(re.search(r"[.!?\n]\s*$", text[:start]))
+        first = i == 0 or bool(_ENDS.search(before))
         kind = None
         if low in _TIME or re.fullmatch(r"(19|20)\d\d", w):
             kind = "[time]"
-        elif w[0].isupper() and low not in _NOT_NAMES and not (first and lemma(low) != low) and not (first and low in STOPWORDS | VERBS | EVENTS | CONCEPTS | KIN):
+        elif w[0].isupper() and low not in _NOT_NAMES and not (first and lemma(low) != low) and not (first and low in _COMMON):
             cue = i > 0 and words[i - 1][0].lower() in _PLACE_CUES
             kind = "[location]" if cue and not first else "[person]"
         kinds.append(kind)
@@ -107,6 +116,12 @@ def keywords(text: str | None, limit: int = 4) -> list[str]:
     return out[:limit]
 
 
+def tag_counts(tags) -> Column:
+    """How often each tag is in an array of tags, as a map."""
+    t = F.coalesce(X.col(tags), F.array().cast("array<string>"))
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(t)), lambda x: F.struct(x, F.size(F.filter(t, lambda y: y == x)).alias("n"))))
+
+
 def tags_udf(function: Callable[[str | None], list[str]] = tags):
     """An Arrow function from texts to tags."""
 

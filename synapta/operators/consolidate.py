@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..lineage import checkpointed
 from ..schema import Tunables
+from .ordering import next_fit, placed
 
 Model = Callable[[str], str]
 FACT = "struct<content: string, category: string, instance: string, subject: string, relation: string, entities: array<string>>"
@@ -132,11 +134,24 @@ def ask(prompts: DataFrame, model: Model, kind: str, reader: Callable, prompt: s
     return prompts.withColumn("__r", run(prompt)).select(*prompts.columns, "__r.*")
 
 
+#: The order in which memory is reviewed: by time over all sessions, undated rows first.
+CHRONOLOGICAL = (F.asc_nulls_first, "time"), (F.asc_nulls_first, "ingested_at"), (F.asc, "chunk"), (F.asc, "seq"), (F.asc, "id")
+
+
+def _order() -> list[Column]:
+    return [f(c) for f, c in CHRONOLOGICAL]
+
+
 def unreviewed(memory: DataFrame) -> DataFrame:
-    """Memory that no review has seen, with its place in time; undated rows come first."""
-    m = memory.where((F.col("category") == "memory") & F.col("reviewed_at").isNull()).withColumn("time", X.prefix_time("content"))
-    w = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("time"), F.asc_nulls_first("ingested_at"), F.coalesce("chunk_index", F.lit(0)), "seq")
-    return m.withColumn("place", F.row_number().over(w))
+    """Memory that no review has seen, with its time; a blank mark is none."""
+    mark = F.coalesce(F.trim(F.col("reviewed_at").cast("string")), F.lit("")) == ""
+    m = memory.where((F.col("category") == "memory") & mark)
+    return m.withColumns({"time": X.prefix_time("content"), "chunk": F.coalesce("chunk_index", F.lit(0))})
+
+
+def chronological(memory: DataFrame) -> DataFrame:
+    """Unreviewed memory with its place, from 1, in time over all sessions."""
+    return placed(unreviewed(memory), _order())
 
 
 def batches(rows: DataFrame, key: str, order: list[str], text: str, limit: int) -> DataFrame:
@@ -159,23 +174,37 @@ SYNTHESIS_FORM = '\n\nWhich three or more of these facts are parallel items abou
 
 
 def review(memory: DataFrame, model: Model, t: Tunables = Tunables()) -> tuple[DataFrame, DataFrame]:
-    """(beliefs formed, chunk ids reviewed) from unreviewed memory, a call per batch of a session.
+    """(beliefs formed, chunk ids reviewed) from unreviewed memory, a call per batch of all sessions in time.
 
     Failed calls leave their chunks for the next run; unreadable replies don't. A belief names its chunks in memory_refs
-    and carries the latest date among them. Batches are formed per session, so sessions run in parallel.
+    and carries the latest date among them. The model is called once a batch; its answers are written to the checkpoint folder.
     """
-    u = unreviewed(memory).select("id", "content", "place", "time", F.coalesce("session_id", F.lit("")).alias("session"))
-    b = batches(u, "session", ["place"], "content", t.review_tokens).withColumn("prompt", F.concat(F.lit(REVIEW), numbered("rows", "content"), F.lit(REVIEW_FORM)))
-    asked = ask(b, model, BELIEF, reviews).where("status <> 'failed'")
-    done = asked.select(F.explode("rows.id").alias("id"))
-    x = asked.select("rows", F.explode("items").alias("i"))
-    valid = F.filter("i.source_indices", lambda k: (k >= 1) & (k <= F.size("rows")))
-    x = x.withColumn("sources", F.transform(valid, lambda k: F.element_at("rows", k)))
+    asked = checkpointed(reviewed_batches(memory, model, t)).where("status <> 'failed'")
+    return formed_beliefs(asked), asked.select(F.explode("rows.id").alias("id"))
+
+
+def reviewed_batches(memory: DataFrame, model: Model, t: Tunables = Tunables()) -> DataFrame:
+    """(batch, rows, prompt, status, items, tokens_in, tokens_out) of a review: unreviewed memory in time, in batches of bounded tokens."""
+    u = unreviewed(memory).select("id", "content", "time", "ingested_at", "chunk", "seq")
+    u = next_fit(u, _order(), X.token_count("content"), t.review_tokens)
+    key = ["time", "ingested_at", "chunk", "seq", "id"]  # structs sort nulls first
+    b = u.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct(*key, "content"))), lambda r: F.struct(r["id"].alias("id"), r["content"].alias("content"), r["time"].alias("time"))).alias("rows"))
+    return ask(b.withColumn("prompt", F.concat(F.lit(REVIEW), numbered("rows", "content"), F.lit(REVIEW_FORM))), model, BELIEF, reviews)
+
+
+def formed_beliefs(asked: DataFrame) -> DataFrame:
+    """Belief rows of a review's answers, with their batch and pos."""
+    x = asked.select("batch", "rows", F.posexplode("items").alias("pos", "i"))
+    x = x.withColumn("sources", _named("i.source_indices", "rows"))
     latest = F.date_format(F.array_max(F.transform("sources", lambda s: s["time"])), "yyyy-MM-dd HH:mm")
     content = F.when(latest.isNotNull(), F.concat(F.lit("["), latest, F.lit("] "), F.col("i.content"))).otherwise(F.col("i.content"))
-    formed = x.select(content.alias("content"), F.transform("sources", lambda s: s["id"]).alias("memory_refs"), "i.term", "i.aliases", "i.category", "i.instance", "i.subject", "i.relation", "i.entities")
-    formed = formed.withColumns({"id": X.content_id("bel_nr_", "content"), "source": F.lit("nightly_review"), "layer": F.lit(2), "confidence": F.lit(1.0)})
-    return formed, done
+    formed = x.select("batch", "pos", content.alias("content"), F.transform("sources", lambda s: s["id"]).alias("memory_refs"), "i.term", "i.aliases", "i.category", "i.instance", "i.subject", "i.relation", "i.entities")
+    return formed.withColumns({"id": X.content_id("bel_nr_", "content"), "source": F.lit("nightly_review"), "layer": F.lit(2), "confidence": F.lit(1.0)})
+
+
+def _named(indices: str, rows: str) -> Column:
+    """The rows that 1-based positions name; positions out of range are dropped."""
+    return F.transform(F.filter(indices, lambda k: (k >= 1) & (k <= F.size(rows))), lambda k: F.element_at(rows, k))
 
 
 def stamp(memory: DataFrame, done: DataFrame, now: Column) -> DataFrame:
@@ -205,15 +234,14 @@ def synthesise(found: DataFrame, model: Model) -> DataFrame:
     g = n.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "content"))), lambda r: r).alias("rows"), F.max("date").alias("date")).where(F.size("rows") >= 3)
     asked = ask(g.withColumn("prompt", F.concat(numbered("rows", "content"), F.lit(SYNTHESIS_FORM))), model, MERGED, merges)
     x = asked.select("rows", "date", "session_id", F.explode("items").alias("i"))
-    valid = F.filter("i.source_indices", lambda k: (k >= 1) & (k <= F.size("rows")))
-    x = x.withColumn("relations", F.transform(valid, lambda k: F.element_at("rows", k)["id"])).where(F.size("relations") >= 3)
+    x = x.withColumn("relations", F.transform(_named("i.source_indices", "rows"), lambda r: r["id"])).where(F.size("relations") >= 3)
     content = F.when(F.coalesce("date", F.lit("")) != "", F.concat(F.lit("["), "date", F.lit("] "), F.col("i.content"))).otherwise(F.col("i.content"))
     x = x.select("session_id", content.alias("content"), "relations")
     return x.withColumns({"id": X.content_id("bel_synth_", F.concat(F.lit("synth:"), "content")), "category": F.lit("premises"), "source": F.lit("turn_synthesis"), "confidence": F.lit(1.0)})
 
 
 def rollups(groups: DataFrame, beliefs: DataFrame, model: Model, prefix: str, source: str) -> DataFrame:
-    """One-sentence summaries of groups (key, id): their relations name the members; failed calls give none."""
+    """(key and belief columns) One-sentence summaries of groups (key, id): their relations name the members; failed calls give none."""
     m = groups.join(beliefs.select("id", "content"), "id").groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("relations"), F.array_join(F.array_sort(F.collect_list("content")), "\n").alias("lines"))
 
     @F.pandas_udf("string")
@@ -227,10 +255,10 @@ def rollups(groups: DataFrame, beliefs: DataFrame, model: Model, prefix: str, so
         return prompts.map(one)
 
     out = m.withColumn("content", run(F.concat(F.lit("Say in one sentence what these have in common, with two or three highlights.\n"), "lines"))).where("content is not null")
-    return out.select(X.content_id(prefix, "key").alias("id"), F.lit("premises").alias("category"), "content", F.lit(1.0).alias("confidence"), F.lit(source).alias("source"), "relations")
+    return out.select("key", X.content_id(prefix, "key").alias("id"), F.lit("premises").alias("category"), "content", F.lit(1.0).alias("confidence"), F.lit(source).alias("source"), "relations")
 
 
-def linked(indices: DataFrame, members: DataFrame) -> DataFrame:
-    """(group_id, id): 1-based positions joined to the members of their group; other positions are dropped."""
-    p = indices.select("group_id", F.explode("source_indices").alias("raw")).withColumn("place", F.col("raw").try_cast("int"))
-    return p.join(members, ["group_id", "place"]).select("group_id", "id")
+def linked(groups: DataFrame) -> DataFrame:
+    """(group_id, id) of the rows that 1-based positions name, from groups (group_id, source_indices, rows) with rows in order; what is no position is dropped."""
+    numbers = F.filter(F.transform("source_indices", lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    return groups.withColumn("__i", numbers).select("group_id", F.explode(_named("__i", "rows")).alias("r")).select("group_id", "r.id")

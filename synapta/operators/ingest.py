@@ -35,14 +35,22 @@ def chunk_text(x, target: int = Tunables().chunk_tokens, overshoot: float = Tuna
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(X.token_count(text) <= target, F.array(text)).otherwise(_packed(pieces, X.token_count, target))
 
 
-def memory_chunks(events: DataFrame, t: Tunables = Tunables()) -> DataFrame:
+def short_time(events: DataFrame, now: Column | None = None) -> Column:
+    """The column ts in the form of the prefix: timestamps are formatted, texts are read as ``spoken_date`` reads them, null becomes ``now`` if that is given."""
+    form = "yyyy-MM-dd HH:mm"
+    kind = dict(events.dtypes)["ts"]
+    out = F.date_format("ts", form) if kind.startswith("timestamp") or kind == "date" else X.spoken_date(F.trim("ts"))
+    return out if now is None else F.coalesce(out, F.date_format(now, form))
+
+
+def memory_chunks(events: DataFrame, t: Tunables = Tunables(), now: Column | None = None) -> DataFrame:
     """Memory rows of events (text, source, ts, session_id, turn_id, speaker, ingested_at, seq).
 
-    ts is text in the prefix's form, or null. The same event always gives the same ids, so a replay adds nothing
+    ts is a timestamp or text (``short_time``). The same event always gives the same ids, so a replay adds nothing
     when rows are inserted if absent.
     """
     text = F.regexp_replace("text", r"^\s+|\s+$", "")
-    e = events.withColumn("text", text).where("text <> ''")
+    e = events.withColumns({"text": text, "ts": short_time(events, now)}).where("text <> ''")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     e = e.withColumn("event_id", X.content_id("evt_", F.concat(blank("ts"), F.lit("|"), blank("source"), F.lit("|"), blank("speaker"), F.lit("|"), F.col("text"))))
     chunks = e.withColumn("chunks", chunk_text("text", t.chunk_tokens, t.chunk_overshoot)).withColumn("chunk_count", F.size("chunks"))

@@ -1,7 +1,8 @@
 """Which beliefs go into a prompt: candidates, fusion, order and budget, for many queries at once.
 
-Everything that touches the belief table is joins and aggregates. Only the last step, whose
-choices depend on the ones before, runs in Python, on the hundred or so candidates of each query.
+Everything that touches the belief table is joins and aggregates on narrow rows; contents are joined to what was picked,
+neighbours to the few anchors. Two steps, whose choices depend on the ones before, run in Python on the hundred or so
+candidates of each query: near-duplicates, and the weaving of neighbours.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ _WORDS = r"(?U)(\w+)"
 
 
 def searchable(beliefs: DataFrame) -> DataFrame:
-    """Beliefs that retrieval looks at, with body, tokens and turn number."""
-    return beliefs.where(F.col("category") != "concepts").withColumns({"body": F.lower(X.strip_prefix("content")), "tokens": X.token_count("content"), "turn_no": X.turn_number("turn_id")})
+    """Beliefs that retrieval looks at, with body, tokens, turn number and time."""
+    time = F.date_format(X.prefix_time("content"), "yyyy-MM-dd HH:mm")
+    return beliefs.where(F.col("category") != "concepts").withColumns({"body": F.lower(X.strip_prefix("content")), "tokens": X.token_count("content"), "turn_no": X.turn_number("turn_id"), "time": time})
 
 
 def postings(beliefs: DataFrame, text: str = "body") -> DataFrame:
@@ -39,10 +41,9 @@ def _pattern(term: Column) -> Column:
 def term_matches(terms: DataFrame, beliefs: DataFrame) -> DataFrame:
     """(term, id) of beliefs that hold the term between word boundaries: an equi-join on the term's first word, then the pattern for phrases."""
     t = terms.select("term").distinct().withColumn("word", F.regexp_extract("term", _WORDS, 1)).where("word <> ''")
-    hits = t.join(postings(beliefs), "word")
-    hits = checkpointed(hits)  # read twice
-    single = hits.where("term = word").select("term", "id")
-    phrases = hits.where("term <> word").join(beliefs.select("id", "body"), "id").where(F.regexp_like("body", _pattern(F.col("term"))))
+    words = postings(beliefs)
+    single = t.where("term = word").select("term", "word").join(words, "word").select("term", "id")
+    phrases = t.where("term <> word").join(words, "word").join(beliefs.select("id", "body"), "id").where(F.regexp_like("body", _pattern(F.col("term"))))
     return single.unionByName(phrases.select("term", "id"))
 
 
@@ -56,10 +57,9 @@ def keyword_scores(groups: DataFrame, beliefs: DataFrame, n: Column, t: Tunables
 
     groups: (query_id, grp, term, direct).
     """
-    m = term_matches(groups, beliefs).withColumn("df", F.count("*").over(Window.partitionBy("term")))
-    rarity = F.log1p(n / F.col("df")) / F.log1p(n)
-    weight = rarity * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight)
-    best = groups.join(m, "term").groupBy("query_id", "grp", "id").agg(F.max(weight).alias("best"))
+    m = checkpointed(term_matches(groups, beliefs))  # counted, then joined; the count is aggregated before it is shuffled
+    weighted = groups.join(idf(m, n), "term").withColumn("weight", F.col("idf") * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight))
+    best = weighted.select("query_id", "grp", "term", "weight").join(m, "term").groupBy("query_id", "grp", "id").agg(F.max("weight").alias("best"))
     return best.groupBy("query_id", "id").agg(F.sum("best").alias("keyword_score"))
 
 
@@ -115,47 +115,92 @@ def without_constituents(pool: DataFrame) -> DataFrame:
     return pool.join(named, ["query_id", "id"], "left_anti")
 
 
-def analyse(queries: DataFrame, expansions: dict[str, list[str]], t: Tunables = Tunables()) -> tuple[DataFrame, DataFrame]:
-    """(queries with query_tags, groups) from (query_id, text): keywords, each with the vocabulary that its words trigger."""
+def analyse(queries: DataFrame, expansions: dict[str, list[str]] | DataFrame, t: Tunables = Tunables()) -> tuple[DataFrame, DataFrame]:
+    """(queries with query_tags, groups) from (query_id, text): keywords, each with the vocabulary, a map or a table (trigger, term), that its words trigger."""
     spark = queries.sparkSession
     q = queries.withColumns({"query_tags": tags_udf()("text"), "keywords": keywords_udf(t.max_keywords)("text")})
     kw = q.select("query_id", F.posexplode("keywords").alias("grp", "keyword")).withColumn("keyword", F.lower("keyword"))
     direct = kw.select("query_id", "grp", F.col("keyword").alias("term"), F.lit(True).alias("direct"))
-    rows = [(k, w.lower()) for k, ws in expansions.items() for w in ws]
-    vocabulary = spark.createDataFrame(rows, "trigger string, term string") if rows else spark.createDataFrame([], "trigger string, term string")
+    vocabulary = spark.createDataFrame([(k, w.lower()) for k, ws in expansions.items() for w in ws], "trigger string, term string") if isinstance(expansions, dict) else expansions
     vocabulary = vocabulary.withColumn("word", F.regexp_extract("trigger", _WORDS, 1))
     words = kw.select("query_id", "grp", "keyword", F.explode(F.array_distinct(F.regexp_extract_all("keyword", F.lit(_WORDS), 1))).alias("word"))
     more = words.join(vocabulary, "word").where(F.regexp_like("keyword", _pattern(F.col("trigger")))).where("term <> keyword").select("query_id", "grp", "term").distinct()
     return q.drop("keywords"), direct.unionByName(more.withColumn("direct", F.lit(False)))
 
 
+def popular(beliefs: DataFrame, k: int) -> DataFrame:
+    """The k most relevant beliefs, the oldest first among equals."""
+    return beliefs.orderBy(F.desc("relevance"), "seq").limit(k)
+
+
+def by_keywords(queries: DataFrame, scores: DataFrame, beliefs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, place) of each query's k best by keyword score, then relevance; beliefs without a match are the same for all queries."""
+    light = beliefs.select("id", "relevance", "seq")
+    hits = scores.join(light, "id")
+    rest = queries.select("query_id").crossJoin(F.broadcast(popular(light, k))).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("keyword_score", F.lit(0.0))
+    w = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), F.desc("relevance"), "seq")
+    return hits.unionByName(rest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "place")
+
+
+def united(by_words: DataFrame, by_vectors: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, place): each list's members once, where they first appear; the second list, (query_id, id, rank), follows the first k places."""
+    second = by_vectors.select("query_id", "id", (F.col("rank") + k).alias("place"))
+    return by_words.select("query_id", "id", "place").unionByName(second).groupBy("query_id", "id").agg(F.min("place").alias("place"))
+
+
+def scored(pool: DataFrame) -> DataFrame:
+    """Add nudge and score to candidates (query_id, cosine, keyword_score, tag_score)."""
+    return pool.withColumn("nudge", nudge("cosine", Window.partitionBy("query_id"))).withColumn("score", fused("cosine", "nudge", "keyword_score", "tag_score"))
+
+
+def _by_score() -> list[Column]:
+    return [F.col("blacklisted"), F.desc(F.round("score", 9)), F.desc(F.coalesce("relevance", F.lit(0.0))), F.col("place")]
+
+
+def ranked(pool: DataFrame) -> DataFrame:
+    """Add pool_rank: what was injected lately comes last, then score, relevance and first appearance decide."""
+    return pool.withColumn("pool_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_by_score())))
+
+
+#: What retrieval carries of a belief until it is picked.
+_NARROW = ["id", "category", "source", "relations", "conceptual_tags", "embedding", "tokens", "relevance", "seq", "session_id", "turn_no", "chunk_index", "event_id", "time"]
+
+
 def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tunables = Tunables()) -> DataFrame:
     """The union of each query's best by keywords and by vectors, with all scores and the order of first appearance.
 
     queries: (query_id, query_embedding, query_tags, blacklist); beliefs as ``searchable`` makes them.
     """
-    stats = beliefs.agg(F.count("*").alias("n_beliefs"), F.avg("tokens").alias("mean_tokens"), F.max(F.coalesce(F.col("category") == "memory", F.lit(False))).alias("has_memory"))
-    one = stats.first()  # a single row of totals
+    one = beliefs.agg(F.count("*").alias("n_beliefs"), F.avg("tokens").alias("mean_tokens"), F.max(F.coalesce(F.col("category") == "memory", F.lit(False))).alias("has_memory")).first()  # a single row of totals
     n = one["n_beliefs"]
     k = max(30, min(60, int(0.10 * n)))
     scores = checkpointed(keyword_scores(groups, beliefs, F.lit(float(max(1, n))), t))
-    light = beliefs.select("id", "relevance", "seq")
-    # those without a match follow by relevance, and are the same for all queries
-    popular = light.orderBy(F.desc("relevance"), "seq").limit(k)
-    hits = scores.join(light, "id")
-    rest = queries.select("query_id").crossJoin(F.broadcast(popular)).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("keyword_score", F.lit(0.0))
-    w = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), F.desc("relevance"), "seq")
-    by_words = hits.unionByName(rest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "place")
     near = V.top_k_join(queries.select("query_id", F.col("query_embedding").alias("embedding")), beliefs, k)
-    by_vectors = near.select("query_id", "id", (F.col("rank") + k).alias("place"))
-    pool = by_words.unionByName(by_vectors).groupBy("query_id", "id").agg(F.min("place").alias("place"))
-    pool = pool.join(queries, "query_id").join(beliefs, "id").join(scores, ["query_id", "id"], "left")
-    pool = pool.withColumns({"keyword_score": F.coalesce("keyword_score", F.lit(0.0)), "tag_score": tag_overlap("query_tags", "conceptual_tags"), "cosine": F.coalesce(V.cosine("query_embedding", "embedding"), F.lit(0.0)), "blacklisted": F.coalesce(F.array_contains("blacklist", F.col("id")), F.lit(False))})
-    pool = pool.withColumn("nudge", nudge("cosine", Window.partitionBy("query_id"))).withColumn("score", fused("cosine", "nudge", "keyword_score", "tag_score"))
-    return pool.withColumns({"mean_tokens": F.lit(float(one["mean_tokens"] or 30.0)), "has_memory": F.lit(bool(one["has_memory"]))})
+    pool = united(by_keywords(queries, scores, beliefs, k), near, k)
+    pool = pool.join(queries, "query_id").join(beliefs.select(*_NARROW), "id").join(scores, ["query_id", "id"], "left")
+    pool = pool.withColumns({"keyword_score": F.coalesce("keyword_score", F.lit(0.0)), "tag_score": tag_overlap("query_tags", "conceptual_tags"), **_against_query()})
+    return scored(pool).select("query_id", *_NARROW, "place", "score", "cosine", "blacklisted", F.lit(float(one["mean_tokens"] or 30.0)).alias("mean_tokens"), F.lit(bool(one["has_memory"])).alias("has_memory"))
+
 
+def _against_query() -> dict[str, Column]:
+    return {"cosine": F.coalesce(V.cosine("query_embedding", "embedding"), F.lit(0.0)), "blacklisted": F.coalesce(F.array_contains("blacklist", F.col("id")), F.lit(False))}
 
-_FIELDS = ["id", "category", "content", "source", "relations", "embedding", "tokens", "session_id", "turn_no", "chunk_index", "event_id"]
+
+def arranged(rows: DataFrame, t: Tunables = Tunables()) -> DataFrame:
+    """Add ``order``: lexicon hits first, up to ``max_lexicon``, those from outside the pool before those of the pool; then the pool by score.
+
+    Rows (query_id, id, place, score, relevance, blacklisted, lexicon_rank, source, relations); place is null outside the pool.
+    Constituents of merged beliefs go.
+    """
+    w = Window.partitionBy("query_id")
+    outside = F.col("place").isNull()
+    pool = w.orderBy(outside, *_by_score())
+    lexical = ~outside & F.col("lexicon_rank").isNotNull() & ~F.col("blacklisted")
+    r = rows.where(~(outside & F.col("blacklisted")))
+    r = r.withColumns({"n_out": F.sum(outside.cast("int")).over(w), "pool_rank": F.row_number().over(pool), "n_lexical": F.sum(lexical.cast("int")).over(pool), "out_rank": F.row_number().over(w.orderBy(~outside, "lexicon_rank", "id"))})
+    r = r.withColumn("section", F.when(outside, 0).when(lexical & (F.col("n_out") + F.col("n_lexical") <= t.max_lexicon), 1).otherwise(2)).where((F.col("section") > 0) | (F.col("out_rank") <= t.max_lexicon))
+    r = r.withColumn("order", F.row_number().over(w.orderBy("section", F.when(F.col("section") == 0, F.col("out_rank")).otherwise(F.col("pool_rank")))))
+    return without_constituents(r.drop("n_out", "pool_rank", "n_lexical", "out_rank", "section"))
 
 
 def purge(rows: list[dict], t: Tunables = Tunables()) -> list[dict]:
@@ -186,16 +231,10 @@ def purge(rows: list[dict], t: Tunables = Tunables()) -> list[dict]:
 
 
 def fill(rows: list[dict], near: dict[str, list[dict]], mean_tokens: float, has_memory: bool, t: Tunables = Tunables()) -> list[dict]:
-    """Choose under the token budget, add neighbours of the first raw chunks, use what is left, and put exchanges in order."""
+    """What ``fits`` (``first_fit`` of the budget's first part), neighbours of the first raw chunks, then what else there is room for, exchanges in order."""
     most = min(t.budget_means * mean_tokens, t.ceiling)
-    base = most * (1 - t.reserve) if has_memory else most
-    chosen, over, used = [], [], 0
-    for r in rows:
-        if chosen and used + r["tokens"] > base:
-            over.append(r)
-        else:
-            chosen.append(r)
-            used += r["tokens"]
+    chosen, over = [r for r in rows if r["fits"]], [r for r in rows if not r["fits"]]
+    used = sum(r["tokens"] for r in chosen)
     taken = {r["id"] for r in chosen}
     anchors = [r for r in chosen if r["category"] == "memory"][: t.anchors] if has_memory else []
     reach = {a["id"]: t.turn_window if i else t.top_turn_window for i, a in enumerate(anchors)}
@@ -237,63 +276,81 @@ def fill(rows: list[dict], near: dict[str, list[dict]], mean_tokens: float, has_
     return out
 
 
-def arrange(rows: list[dict], t: Tunables = Tunables()) -> list[dict]:
-    """Lexicon hits first, then the fused order; constituents of merged beliefs go; near-identical ones collapse."""
-    pool = sorted((r for r in rows if r["place"] is not None), key=lambda r: (r["blacklisted"], -r["score"], -(r["relevance"] or 0.0), r["place"]))
-    outside = sorted((r for r in rows if r["place"] is None and not r["blacklisted"]), key=lambda r: r["lexicon_rank"])
-    first, rest = outside, []
-    for r in pool:
-        if r["lexicon_rank"] is not None and not r["blacklisted"] and len(first) < t.max_lexicon:
-            first.append(r)
-        else:
-            rest.append(r)
-    ordered = first[: t.max_lexicon] + rest
-    named = {x for r in ordered if r["source"] == "turn_synthesis" for x in (r["relations"] if r["relations"] is not None else [])}
-    return purge([r for r in ordered if r["id"] not in named], t)
+_CARRIED = ["id", "category", "tokens", "session_id", "turn_no", "chunk_index", "event_id", "mean_tokens", "has_memory"]
 
 
-def _tail(t: Tunables):
+def _records(pdf: pd.DataFrame) -> list[dict]:
+    return [{k: (None if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
+
+
+def _purge(t: Tunables):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: (None if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
+        kept = [r["__n"] for r in purge(_records(pdf.sort_values("order").assign(__n=lambda d: d.index)), t)]
+        out = pdf.loc[kept, ["query_id", *_CARRIED]]
+        return out.assign(pos=range(1, len(out) + 1))
+
+    return run
+
+
+def _weave(t: Tunables):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _records(pdf)
         near: dict[str, list[dict]] = {}
         for r in sorted((r for r in rows if r["anchor_id"] is not None), key=lambda r: (r["distance"], bool(r["after"]), r["chunk_index"] or 0, r["seq"])):
             if r["id"] not in {m["id"] for m in near.get(r["anchor_id"], [])}:
                 near.setdefault(r["anchor_id"], []).append(r)
-        own = [r for r in rows if r["anchor_id"] is None]
-        picked = fill(arrange(own, t), near, own[0]["mean_tokens"], bool(own[0]["has_memory"]), t) if own else []
-        return pd.DataFrame({"query_id": [str(pdf["query_id"].iloc[0])] * len(picked), "pos": range(1, len(picked) + 1), "id": [r["id"] for r in picked], "content": [r["content"] for r in picked]})
+        own = sorted((r for r in rows if r["anchor_id"] is None), key=lambda r: r["pos"])
+        picked = fill(own, near, own[0]["mean_tokens"], bool(own[0]["has_memory"]), t) if own else []
+        return pd.DataFrame({"query_id": [str(pdf["query_id"].iloc[0])] * len(picked), "pos": range(1, len(picked) + 1), "id": [r["id"] for r in picked]})
 
     return run
 
 
-def retrieve(queries: DataFrame, beliefs: DataFrame, expansions: dict[str, list[str]] | None = None, t: Tunables = Tunables()) -> DataFrame:
+def first_parts(survivors: DataFrame, t: Tunables = Tunables()) -> DataFrame:
+    """(query_id, row, fits, anchor) of survivors in order: what the first part of the budget takes, and which are the anchors (1, 2, ...; null for others)."""
+    most = F.least(F.lit(t.budget_means) * F.col("mean_tokens"), F.lit(t.ceiling))
+    base = F.when(F.col("has_memory"), most * (1 - t.reserve)).otherwise(most)
+    g = survivors.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", *_CARRIED))).alias("rows"), F.first(base).alias("base"), F.first("has_memory").alias("has"))
+    g = g.withColumn("fits", first_fit(F.transform("rows", lambda r: r["tokens"]), F.col("base")))
+    ids = F.transform(F.filter(F.arrays_zip("rows", "fits"), lambda z: z["fits"] & (z["rows"]["category"] == "memory")), lambda z: z["rows"]["id"])
+    g = g.withColumn("anchors", F.when(F.col("has"), F.slice(ids, 1, t.anchors)).otherwise(F.array().cast("array<string>")))
+    z = g.select("query_id", "anchors", F.explode(F.arrays_zip("rows", "fits")).alias("z")).select("query_id", F.col("z.rows").alias("row"), F.col("z.fits").alias("fits"), "anchors")
+    return z.select("query_id", "row", "fits", F.nullif(F.array_position("anchors", F.col("row.id")), F.lit(0)).alias("anchor"))
+
+
+def retrieve(queries: DataFrame, beliefs: DataFrame, expansions: dict[str, list[str]] | DataFrame | None = None, t: Tunables = Tunables()) -> DataFrame:
     """(query_id, pos, id, content) of what goes into each query's context.
 
-    queries: (query_id, text, query_embedding, blacklist). Blank texts get nothing.
+    queries: (query_id, text, query_embedding, blacklist). Blank texts get nothing. expansions: the vocabulary that ``knowledge.sync``
+    gives; without it, what is built in and the lexicon of ``beliefs``.
     """
     queries = queries.where(F.trim("text") != "").withColumn("query_id", F.col("query_id").cast("string"))
     b = searchable(beliefs)
     lex = learning.lexicon(beliefs, t)
-    vocabulary = expansions if expansions is not None else learning.merged_expansions({}, {})
-    q, groups = analyse(queries, vocabulary, t)
+    if expansions is None:
+        built_in = [(k, w.lower()) for k, ws in learning.DEFAULT_EXPANSIONS.items() for w in ws]
+        expansions = beliefs.sparkSession.createDataFrame(built_in, "trigger string, term string").unionByName(lex.select(F.col("key").alias("trigger"), F.explode("words").alias("term"))).distinct()
+    q, groups = analyse(queries, expansions, t)
     q = q.select("query_id", "query_embedding", "query_tags", "blacklist")
     q, groups = checkpointed(q), checkpointed(groups)  # taggers run once
-    pool = checkpointed(candidates(q, groups, b, t))  # read five times below
+    pool = checkpointed(candidates(q, groups, b, t))
     lexical = lexicon_matches(queries, lex)
-    extra = lexical.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti").join(b, "id").join(q, "query_id")
-    numbers = ["place", "relevance", "seq", "score", "cosine", "blacklisted", "mean_tokens", "has_memory"]
-    pool = pool.select("query_id", *_FIELDS, *numbers).join(lexical, ["query_id", "id"], "left")
-    extra = extra.withColumns({"place": F.lit(None).cast("int"), "score": F.lit(0.0), "cosine": F.coalesce(V.cosine("query_embedding", "embedding"), F.lit(0.0)), "blacklisted": F.coalesce(F.array_contains("blacklist", F.col("id")), F.lit(False)), "mean_tokens": F.lit(30.0), "has_memory": F.lit(True)})
-    own = pool.unionByName(extra.select(*pool.columns))
-    own = own.withColumns({"mean_tokens": F.max(F.when(F.col("place").isNotNull(), F.col("mean_tokens"))).over(Window.partitionBy("query_id")), "has_memory": F.min("has_memory").over(Window.partitionBy("query_id"))})
-    memory = b.where("category = 'memory'")
-    anchors = pool.where("category = 'memory'")
-    reach = max(t.turn_window, t.top_turn_window)
-    chunk_turns = turn_neighbours(anchors, memory, reach)
-    chunk_siblings = siblings(anchors, memory).withColumns({"distance": F.lit(0), "after": F.lit(False)})
-    near = chunk_turns.unionByName(chunk_siblings).join(anchors.select("query_id", F.col("id").alias("anchor_id")), "anchor_id").join(memory.select(*_FIELDS, "relevance", "seq"), "id")
-    rows = own.unionByName(near, allowMissingColumns=True).withColumn("time", F.date_format(X.prefix_time("content"), "yyyy-MM-dd HH:mm"))
-    return rows.groupBy("query_id").applyInPandas(_tail(t), "query_id string, pos int, id string, content string")
+    totals = pool.groupBy("query_id").agg(F.max("mean_tokens").alias("mean_tokens"), F.max("has_memory").alias("has_memory"))
+    extra = lexical.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti").join(b.select(*_NARROW), "id").join(q, "query_id").join(totals, "query_id")
+    extra = extra.withColumns({"place": F.lit(None).cast("int"), "score": F.lit(0.0), **_against_query()})
+    pool = pool.join(lexical, ["query_id", "id"], "left")
+    rows = arranged(pool.unionByName(extra.select(*pool.columns)), t)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("query_id", *_CARRIED).schema)
+    survivors = rows.groupBy("query_id").applyInPandas(_purge(t), f"{schema}, pos int")
+    parts = checkpointed(first_parts(survivors, t))
+    own = parts.select("query_id", "row.*", "fits")
+    memory = b.where("category = 'memory'").select("id", "category", "tokens", "session_id", "turn_no", "chunk_index", "event_id", "seq")
+    anchors = parts.where("anchor is not null").select("query_id", "row.*")
+    turns = turn_neighbours(anchors, memory, max(t.turn_window, t.top_turn_window))
+    beside = siblings(anchors, memory).withColumns({"distance": F.lit(0), "after": F.lit(False)})
+    near = turns.unionByName(beside).join(anchors.select("query_id", F.col("id").alias("anchor_id")), "anchor_id").join(memory, "id")
+    woven = own.unionByName(near, allowMissingColumns=True).groupBy("query_id").applyInPandas(_weave(t), "query_id string, pos int, id string")
+    return woven.join(b.select("id", "content"), "id").select("query_id", "pos", "id", "content")
 
 
 def render(picked: DataFrame, now: Column) -> DataFrame:
@@ -327,7 +384,7 @@ class Injector:
         self.recent = []
 
 
-def first_fit(sizes: Column, budget: float) -> Column:
+def first_fit(sizes: Column, budget: float | Column) -> Column:
     """Which items fit, in order: the first always, a later one if it fits in what is left; those that don't are skipped."""
     zero = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(0).cast("long").alias("used"))
 

@@ -450,12 +450,12 @@ def blacklist_sort(spark, d):
 
 
 @query(f"""WITH u AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN NULL ELSE DATE '2024-01-01' + (turn * 7 % 5)::INTEGER END AS t FROM conversations WHERE turn % 4 <> 1)
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY t NULLS FIRST, turn) AS place FROM u""")
+SELECT conv_id, turn, row_number() OVER (ORDER BY t NULLS FIRST, turn, conv_id) AS place FROM u""")
 def unreviewed_order(spark, d):
     c, t = table(spark, d, "conversations"), F.col("turn")
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (t * 7 % 5).cast("int")), "yyyy-MM-dd")
-    m = c.select("conv_id", "turn", F.lit("memory").alias("category"), F.when(t % 3 == 2, F.col("text")).otherwise(F.concat(F.lit("["), day, F.lit("] "), "text")).alias("content"), F.when(t % 4 == 1, _now()).alias("reviewed_at"), F.col("conv_id").alias("session_id"), _now().alias("ingested_at"), F.lit(0).alias("chunk_index"), t.alias("seq"))
-    return consolidate.unreviewed(m).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
+    m = c.select("conv_id", "turn", F.lit("memory").alias("category"), F.when(t % 3 == 2, F.col("text")).otherwise(F.concat(F.lit("["), day, F.lit("] "), "text")).alias("content"), F.when(t % 4 == 1, _now()).alias("reviewed_at"), F.col("conv_id").alias("session_id"), _now().alias("ingested_at"), F.lit(0).alias("chunk_index"), t.alias("seq"), F.format_string("%012d", "conv_id").alias("id"))
+    return consolidate.chronological(m).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH RECURSIVE o AS (SELECT conv_id, turn, {_TOK('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -576,11 +576,12 @@ def covered_clusters(spark, d):
 
 
 @query("""WITH m AS (SELECT o_orderkey AS group_id, l_linenumber AS place, o_orderkey || '_' || l_linenumber AS id FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
-SELECT DISTINCT group_id, id FROM m WHERE place IN (1, 3)""")
+, r AS (SELECT DISTINCT group_id, id, dense_rank() OVER (PARTITION BY group_id ORDER BY place) AS i FROM m)
+SELECT group_id, id FROM r WHERE i IN (1, 3)""")
 def linked_sources(spark, d):
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("place")).distinct().withColumn("id", F.concat_ws("_", "group_id", "place"))
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("group_id"), F.array(*map(F.lit, ("1", "3", "99", "x"))).alias("source_indices"))
-    return consolidate.linked(o, m)
+    m = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("place")).distinct()
+    g = m.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws("_", "group_id", "place").alias("id")))).alias("rows"))
+    return consolidate.linked(g.withColumn("source_indices", F.array(*map(F.lit, ("1", "3", "99", "x")))))
 
 
 # --- what SQL has no form for: order-dependent folds and models; tests hold these against plain Python

@@ -10,12 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from synapta.functions import nlp
+from synapta.functions.counting import TokenCounter
 from synapta.functions import text as X
 from synapta.functions import vectors as V
-from synapta.operators import clusters, compress, consolidate, ingest, learning, merge, retrieval, store
+from synapta.operators import clusters, compress, consolidate, ingest, knowledge, learning, merge, ordering, retrieval, store
 from synapta.schema import BELIEF, DEFAULT_EXPANSIONS, Tunables
 from synapta.sources import importers
-from synapta.sources.vector_store import HashedStore, RemoteIndexStore, create_vector_store
+from synapta.sources.vector_store import ApproximateStore, ExactStore, HashedStore, HttpStore, RemoteIndexStore, create_vector_store
 
 
 def beliefs(spark, rows):
@@ -255,7 +256,7 @@ def test_words_match_whole_and_phrases_bounded(spark):
 
 
 def row(i, **kw):
-    base = {"id": i, "category": "premises", "content": i, "source": None, "relations": [], "embedding": None, "tokens": 10, "session_id": None, "turn_no": None, "chunk_index": 0, "event_id": None, "place": 1, "score": 0.5, "cosine": 0.5, "relevance": 0.5, "blacklisted": False, "lexicon_rank": None, "time": None, "distance": None}
+    base = {"id": i, "category": "premises", "content": i, "source": None, "relations": [], "embedding": None, "tokens": 10, "session_id": None, "turn_no": None, "chunk_index": 0, "event_id": None, "place": 1, "score": 0.5, "cosine": 0.5, "relevance": 0.5, "blacklisted": False, "lexicon_rank": None, "time": None, "distance": None, "fits": True}
     return base | kw
 
 
@@ -267,16 +268,23 @@ def test_duplicates_collapse_and_the_newer_wins_ties():
     assert [r["id"] for r in retrieval.purge(rows)] == ["old", "far", "bare"]
 
 
-def test_order_lexicon_blacklist_and_constituents():
+def test_order_lexicon_blacklist_and_constituents(spark):
     rows = [row("low", score=0.1, place=1), row("high", score=0.9, place=2), row("seen", score=2.0, place=3, blacklisted=True), row("lex", score=0.2, place=4, lexicon_rank=2), row("out", place=None, lexicon_rank=1, score=0.0), row("whole", score=0.5, place=5, source="turn_synthesis", relations=["low"])]
-    assert [r["id"] for r in retrieval.arrange(rows)] == ["out", "lex", "high", "whole", "seen"]
-    many = [row(f"x{i}", place=None, lexicon_rank=i, score=0.0) for i in range(8)]
-    assert [r["id"] for r in retrieval.arrange(many)] == ["x0", "x1", "x2", "x3", "x4"]
+    schema = "query_id string, id string, place int, score double, relevance double, blacklisted boolean, lexicon_rank int, source string, relations array<string>"
+
+    def arranged(rows):
+        df = spark.createDataFrame([("q", *[r[c.split()[0]] for c in schema.split(", ")[1:]]) for r in rows], schema)
+        return [r.id for r in retrieval.arranged(df).orderBy("order").collect()]
+
+    assert arranged(rows) == ["out", "lex", "high", "whole", "seen"]
+    assert arranged([row(f"x{i}", place=None, lexicon_rank=i, score=0.0) for i in range(8)]) == ["x0", "x1", "x2", "x3", "x4"]
+    some = [row(f"y{i}", place=i, lexicon_rank=i, score=i / 10) for i in range(1, 5)] + [row(f"x{i}", place=None, lexicon_rank=10 + i, score=0.0) for i in range(3)] + [row("gone", place=None, lexicon_rank=1, score=0.0, blacklisted=True)]
+    assert arranged(some) == ["x0", "x1", "x2", "y4", "y3", "y2", "y1"]
 
 
 def test_fill_skips_what_is_too_long_and_weaves_exchanges():
     t = Tunables(budget_means=4)
-    rows = [row("a"), row("long", tokens=100), row("b"), row("c"), row("d")]
+    rows = [row("a"), row("long", tokens=100, fits=False), row("b"), row("c"), row("d")]
     assert [r["id"] for r in retrieval.fill(rows, {}, 10.0, False, t)] == ["a", "b", "c", "d"]
     turn = lambda n, **k: row(f"t{n}", category="memory", session_id="s", turn_no=n, **k)
     near = {"t5": [turn(4, distance=1), turn(6, distance=1), turn(3, distance=2)]}
@@ -345,7 +353,7 @@ def test_tolerant_readers():
 
 
 def test_review_forms_beliefs_and_retries_failures(spark):
-    e = events(spark, [("I love taekwondo.", "2024-01-02 10:00", "ok", "t1", "Ann"), ("See you.", "2024-01-03 10:00", "ok", "t2", "Ann"), ("boom", None, "bad", "t1", None), ("garbled", None, "odd", "t1", None)])
+    e = events(spark, [("I love taekwondo.", "2024-01-02 10:00", "ok", "t1", "Ann"), ("See you.", "2024-01-03 10:00", "also", "t2", "Ann"), ("boom " * 15, None, "bad", "t1", None), ("garbled " * 10, None, "odd", "t1", None)])
     m = store.conform(ingest.memory_chunks(e))
 
     def model(prompt):
@@ -355,11 +363,30 @@ def test_review_forms_beliefs_and_retries_failures(spark):
             return "not json"
         return '```json\n{"beliefs": [{"content": "Ann loves taekwondo.", "aliases": ["martial arts", ""], "term": "taekwondo", "source_indices": [1, 2, 99, "x"]}]}\n```'
 
-    formed, done = consolidate.review(m, model)
+    t = Tunables(review_tokens=19)  # undated rows come first, a batch each; then those of both sessions in time
+    formed, done = consolidate.review(m, model, t)
     (r,) = formed.collect()
     assert r.content == "[2024-01-03 10:00] Ann loves taekwondo." and r.aliases == ["martial arts"] and len(r.memory_refs) == 2 and r.id.startswith("bel_nr_")
     left = consolidate.unreviewed(consolidate.stamp(m, done, F.lit("2024-06-01").cast("timestamp")))
     assert [x.session_id for x in left.collect()] == ["bad"]
+    marked = m.withColumn("reviewed_at", F.when(F.col("session_id") == "ok", "").when(F.col("session_id") == "bad", "2024-06-01 00:00:00"))
+    assert {x.session_id for x in consolidate.unreviewed(marked).collect()} == {"ok", "also", "odd"}
+
+
+def test_batches_and_places_over_the_whole_table(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(40), rng.choice([0, 1, 5, 9, 30])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, t int, n int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    want, used, batch = {}, 0, 0
+    for i, _, n in order:
+        if used > 0 and used + n > 20:
+            used, batch = 0, batch + 1
+        used += n
+        want[i] = batch
+    assert {r.id: r.batch for r in ordering.next_fit(df, [F.asc("t"), F.asc("id")], F.col("n"), 20).collect()} == want
+    assert {r.id: r.place for r in ordering.placed(df, [F.asc("t"), F.asc("id")]).collect()} == {r[0]: k for k, r in enumerate(order, 1)}
+    assert ordering.next_fit(df.where("id < 0"), [F.asc("t")], F.col("n"), 20).count() == ordering.placed(df.where("id < 0"), [F.asc("t")]).count() == 0
 
 
 def test_extraction_and_synthesis(spark):
@@ -511,3 +538,177 @@ def test_vector_stores(spark, monkeypatch):
     assert create_vector_store("http", url="http://127.0.0.1:9/x", dimension=3).embed_text("a") == [0.0] * 3
     df = s.embed(spark.createDataFrame([("1", "a"), ("2", "b")], "id string, content string"))
     assert s.query_top_k(df, s.embed_text("b"), 1).first().id == "2"
+
+
+def test_stores_need_what_they_need(spark):
+    for name in ("chroma", "exact", "approximate"):
+        with pytest.raises(ValueError, match="embedder"):
+            create_vector_store(name)
+    with pytest.raises(ImportError):
+        create_vector_store("pinecone", api_key="k", index="i")
+
+    class Client:
+        def embed(self, text):
+            return [1, 2]
+
+        def upsert(self, rows):
+            assert all(len(v) == 2 for _, v in rows)
+
+        def query(self, vector, k):
+            if vector[0] < 0:
+                raise RuntimeError
+            return [("b", 0.9), ("a", 0.5)][:k]
+
+    r = create_vector_store("pinecone", api_key="k", index="i", client=Client())
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, embedding array<double>")
+    new = r.add_vectors(table, spark.createDataFrame([("b", [1.0, 1.0]), ("c", [2.0, 0.0])], table.schema))
+    assert {x.id: x.embedding for x in new.collect()} == {"a": [1.0, 0.0], "b": [1.0, 1.0], "c": [2.0, 0.0]}
+    assert [tuple(x) for x in r.query_top_k(table, [1.0, 0.0], 1).collect()] == [("b", 0.9)] and r.query_top_k(table, [-1.0, 0.0]).count() == 0
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, embedding array<double>")
+    assert {tuple(x) for x in r.query_many(table, q, 2).collect()} == {(1, "b", 0.9, 1), (1, "a", 0.5, 2)}
+
+
+def test_failed_embeddings_are_null_and_tried_again(spark):
+    s = HttpStore(url="http://127.0.0.1:9/x", dimension=3, tries=2, wait=0.0)
+    assert s.embed_texts(["a", "b"]) == [None, None] and s.embed_text("a") == [0.0] * 3
+    b = s.embed(beliefs(spark, [{"id": "x", "content": "text"}]).drop("embedding"))
+    assert b.first().embedding is None
+    again = knowledge.embedded(store.conform(b), ExactStore(lambda texts: [[float(len(t)), 1.0] for t in texts], 2))
+    assert again.first().embedding == [4.0, 1.0]
+
+
+def test_approximate_neighbours_recall(spark):
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal((40, 24))
+    x = middle[rng.integers(0, 40, 4000)] + 0.7 * rng.standard_normal((4000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(5)
+    q = df.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    built = V.index(df, 32)
+    assert built[0].count() == 4000
+    exact = {(r.query_id, r.id) for r in V.top_k_join(q, df, 10).collect()}
+    near = V.approximate_top_k_join(q, built, 10, 8).collect()
+    found = {(r.query_id, r.id) for r in near}
+    assert len(exact) == 800 and len(found & exact) / len(exact) >= 0.9 and all(r.query_id != r.id or r["rank"] == 1 for r in near)
+    s = ApproximateStore(lambda texts: [[1.0] * 24 for _ in texts], 24, cells=32, probes=32).build(df)
+    want = [r.id for r in V.top_k(df, x[7].tolist(), 5).collect()]
+    assert [r.id for r in s.query_top_k(df, x[7].tolist(), 5).collect()] == want
+    V.BROADCAST, before = 24 * 8 * 10, V.BROADCAST  # several passes
+    try:
+        assert {(r.query_id, r.id) for r in V.top_k_join(q, df, 10).collect()} == exact
+    finally:
+        V.BROADCAST = before
+
+
+def test_token_counters():
+    plain = TokenCounter("/nowhere")
+    assert plain.describe()["backend"] == "heuristic" and plain.count("") == 0 and plain.count("abc") == 1 and plain.count("a" * 40) == 10
+    assert plain.chat([{"role": "user", "content": "a" * 40, "name": "Ann"}]) == 3 + 3 + 1 + 10 + 1 + 1
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    c = TokenCounter(path)
+    if c.describe()["backend"] == "bpe":
+        assert c.count("hello world") == 2 and c.describe()["source"] == path
+
+
+def test_times_of_every_kind(spark):
+    now = F.lit("2024-06-01 12:30:00").cast("timestamp")
+    e = spark.createDataFrame([("a", "8:56 pm on 20 July, 2023"), ("b", "2024-01-02 10:00"), ("c", None), ("d", "some day")], "text string, ts string").withColumns({"source": F.lit("s"), "session_id": F.lit("x"), "turn_id": F.lit("1"), "speaker": F.lit(None).cast("string"), "ingested_at": now, "seq": F.lit(0)})
+    got = {r.content for r in ingest.memory_chunks(e, now=now).collect()}
+    assert got == {"[2023-07-20 20:56] a", "[2024-01-02 10:00] b", "[2024-06-01 12:30] c", "[some day] d"}
+    (r,) = ingest.memory_chunks(e.where("text = 'a'").withColumn("ts", now), now=now).collect()
+    assert r.content == "[2024-06-01 12:30] a"
+
+
+def test_tag_counts(spark):
+    (r,) = spark.createDataFrame([(["[person]", "[event]", "[person]"],)], "t array<string>").select(nlp.tag_counts("t").alias("n")).collect()
+    assert r.n == {"[person]": 2, "[event]": 1}
+
+
+# --- passes over all that is known
+
+
+def test_turns_are_extracted_merged_and_learned_from(spark):
+    def fact_model(prompt):
+        """Each line of the prompt as a fact about the one who says it."""
+        if "summary" in prompt or "in common" in prompt:
+            return "They have much in common."
+        if "parallel items" in prompt:
+            return '{"merged": []}'
+        out = []
+        for line in prompt.split("\n")[1:]:
+            if ": " in line and not line.startswith("State"):
+                who, said = line.split(": ", 1)
+                f = {"content": f"{who} says {said}", "subject": who, "category": "Habits", "instance": said.split()[-1]}
+                if "dances" in said:
+                    f |= {"relation": "friends", "entities": ["Bob", "two kids"]}
+                out.append(f)
+        return json.dumps({"facts": out})
+
+    now = F.lit("2024-06-01").cast("timestamp")
+    vectors = HashedStore(16)
+    said = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota", "kappa lambda mu", "nu xi omicron", "pi rho sigma", "tau upsilon phi", "chi psi omega", "dances some tango", "one two three"]
+    turns = spark.createDataFrame([("s", "Date: May 8, 2023\n" + "\n".join(f"Ann: {x}" for x in said)), ("s2", ""), ("s3", None)], "session_id string, content string")
+    k, counts = knowledge.add_turns(knowledge.empty(spark), turns, fact_model, vectors, now)
+    rows = {r.content: r for r in k.beliefs.collect()}
+    assert counts["facts"] == 10 and "[2023-05-08] Ann says alpha beta gamma" in rows
+    rollup = [r for r in rows.values() if r.source == "cluster_consolidation"]
+    assert len(rows) == 11 and len(rollup) == 1 and len(rollup[0].relations) == 10 and all(len(r.embedding) == 16 for r in rows.values() if r.source != "cluster_consolidation")
+    assert {tuple(r)[:2] for r in k.concepts.collect()} == {("habits", x.split()[-1]) for x in said} and [tuple(r)[:3] for r in k.relations.collect()] == [("ann", "friends", "Bob")]
+    assert knowledge.is_consolidated(k, "Ann", "habits") and not knowledge.is_consolidated(k, "Bob", "habits") and knowledge.cluster_members(k, "Ann", "Habits").count() == 10
+    # the same turns again: facts are verified, nothing is added, no second rollup
+    again, _ = knowledge.add_turns(k, turns, fact_model, vectors, now)
+    assert again.beliefs.count() == 11 and again.concepts.count() == 10 and again.members.count() == 10
+    assert {r.verifications for r in again.beliefs.where("source <> 'cluster_consolidation'").collect()} == {2.0}
+    # what was learned widens queries
+    synced, words = knowledge.sync(again, vectors)
+    assert ("habits", "tango") in {tuple(r) for r in words.collect()} and synced.beliefs.where("embedding is null").count() == 0
+    q = spark.createDataFrame([("q", "any habits", [0.0] * 16, [])], "query_id string, text string, query_embedding array<double>, blacklist array<string>")
+    groups = retrieval.analyse(q, words)[1]
+    assert ("tango", False) in {(r.term, r.direct) for r in groups.collect()}
+    index = knowledge.Index(vectors)
+    assert index.get(again, 1) is index.get(again, 1) and index.get(again, 1) is not index.get(again, 2)
+
+
+def test_a_nightly_review_stamps_merges_and_learns(spark, tmp_path):
+    now = F.lit("2024-06-01").cast("timestamp")
+    vectors = HashedStore(16)
+    e = events(spark, [(f"excerpt number {i} of the record", f"2024-01-{i + 1:02d} 10:00", "s", f"t{i}", None) for i in range(6)] + [("boom", "2024-02-01 10:00", "r", "t1", None)])
+    k = knowledge.empty(spark)
+    memory = store.normalize(ingest.memory_chunks(e))
+    from dataclasses import replace
+
+    k = replace(k, beliefs=k.beliefs.unionByName(memory))
+
+    def model(prompt):
+        if "boom" in prompt:
+            raise RuntimeError
+        return '{"beliefs": [{"content": "Ann keeps a record.", "term": "record", "aliases": ["diary"], "source_indices": [1, 2], "category": "Hobbies", "instance": "Writing", "subject": "Ann"}]}'
+
+    k, stats = knowledge.nightly_review(k, model, vectors, now, Tunables(review_tokens=26))
+    assert (stats["pending"], stats["reviewed"], stats["batches"], stats["formed"]) == (7, 6, 3, 3) and stats["tokens_in"] > stats["tokens_out"] > 0
+    formed = k.beliefs.where("source <> 'user_input' or source is null").where("category = 'premises'").collect()
+    assert all(r.layer == 2 and r.term == "record" and len(r.memory_refs) >= 2 for r in formed) and k.concepts.count() == 1
+    left, none = knowledge.nightly_review(k, model, vectors, now, Tunables(review_tokens=26))
+    assert none["pending"] == 1 and none["reviewed"] == 0
+    folder = str(tmp_path / "known")
+    knowledge.save(left, folder)
+    back = knowledge.load(spark, folder)
+    assert back.beliefs.count() == left.beliefs.count() and back.members.count() == left.members.count() and back.structural.count() == 0
+
+
+def test_dense_clusters_are_rolled_up_once(spark):
+    rng = np.random.default_rng(1)
+    health, cars = np.eye(8)[0] * 5, np.eye(8)[1] * 5
+    rows = [{"id": f"h{i}", "content": f"Maria health {i}", "embedding": (health + 0.1 * rng.standard_normal(8)).tolist()} for i in range(5)]
+    rows += [{"id": f"c{i}", "content": f"Maria cars {i}", "embedding": (cars + 0.1 * rng.standard_normal(8)).tolist()} for i in range(5)]
+    rows += [{"id": f"n{i}", "content": f"Maria noise {i}", "embedding": rng.standard_normal(8).tolist()} for i in range(3)]
+    from dataclasses import replace
+
+    k = replace(knowledge.empty(spark), beliefs=store.conform(beliefs(spark, rows)))
+    t = Tunables(min_cluster_size=3)
+    k, stats = knowledge.discover_clusters(k, lambda p: "All alike.", HashedStore(8), t)
+    assert stats["subjects_scanned"] == 1 and stats["clusters_found"] >= 2 and stats["rollups_created"] == stats["clusters_found"]
+    rolled = [set(r.members) for r in knowledge.structural_clusters(k).collect()]
+    assert any({f"h{i}" for i in range(5)} <= m for m in rolled) and any({f"c{i}" for i in range(5)} <= m for m in rolled)
+    assert {r["id"] for r in rows} <= {r.id for r in k.beliefs.collect()}
+    again, stats = knowledge.discover_clusters(k, lambda p: "All alike.", HashedStore(8), t)
+    assert stats["rollups_created"] == 0 and again.beliefs.count() == k.beliefs.count()
