@@ -6,7 +6,10 @@ query texts; the other tables give names, dates and numbers.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +19,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.nlp import heads, tags_udf
 from ..lineage import checkpointed, spread
-from ..operators import clusters, compress, consolidate, ingest, learning, merge, retrieval, store
+from ..operators import clusters, compress, consolidate, ingest, knowledge, learning, merge, ordering, retrieval, store
 from ..schema import DEFAULT_EXPANSIONS, FILLER, NOT_SALIENT, STOPWORDS
 from ..sources import importers
 from ..sources.vector_store import HashedStore
@@ -89,7 +92,7 @@ def weight_tiers(spark, d):
 
 @query(f"WITH {_BEL} SELECT id, relevance FROM rel ORDER BY relevance DESC, n LIMIT 50")
 def relevance_topk(spark, d):
-    return bel(spark, d).orderBy(F.desc("relevance"), "seq").limit(50).select("id", "relevance")
+    return retrieval.popular(bel(spark, d), 50).select("id", "relevance")
 
 
 @query("""WITH raw AS (SELECT 'doc_' || doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'skills' ELSE 'belief' END AS c, n_chars / 1000.0::DOUBLE - 1 AS conf, ['x', lang, 'x'] AS rel FROM documents)
@@ -117,10 +120,10 @@ def turn_numbers(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.turn_number(raw).alias("number"))
 
 
-@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
+@query(f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{_WORD}')) AS word FROM documents)
 SELECT word, {_STEM('word')} AS stem, count(*) AS n FROM w GROUP BY word""")
 def stem_words(spark, d):
-    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
+    w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1)).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n")).select("word", X.stem("word").alias("stem"), "n")
 
 
@@ -262,24 +265,44 @@ def similarity_nudge(spark, d):
     return v.withColumn("c", V.cosine("embedding", F.array(*map(F.lit, q)))).groupBy("label").agg(F.round(retrieval.nudge("c"), 6).alias("nudge"))
 
 
-@query(f"""WITH {_VEC}, s AS (SELECT vec_id, label, list_cosine_similarity(e, qe) + 0.05 * ln(1 + vec_id % 5) + 0.025 * ln(1 + vec_id % 3) AS score FROM v, q)
-SELECT vec_id, label, round(score, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY vec_id % 11 = 0, round(score, 9) DESC, vec_id) AS place FROM s""")
+#: As queries, every vector whose number is divisible by 50, against all.
+_PAIRS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0),
+p AS (SELECT query_id, vec_id, list_cosine_similarity(e, qe) AS c FROM v, q)"""
+
+
+def _vector_queries(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return v.where("id % 50 = 0").withColumnRenamed("id", "query_id"), v
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT query_id, greatest(0.01, least(0.10, 1.5 * stddev_pop(c))) AS nudge FROM p GROUP BY query_id),
+s AS (SELECT query_id, vec_id, c + nudge * ln(1 + vec_id % 5) + 0.5 * nudge * ln(1 + vec_id % 3) AS score FROM p JOIN n USING (query_id))
+SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 11 = 0, round(score, 9) DESC, vec_id % 7 DESC, vec_id) AS place FROM s""")
 def fusion_rank(spark, d):
-    v, q = _first_vector(spark, d)
-    s = v.withColumn("score", retrieval.fused(V.cosine("embedding", F.array(*map(F.lit, q))), F.lit(0.05), F.col("vec_id") % 5, F.col("vec_id") % 3))
-    w = Window.partitionBy("label").orderBy(F.col("vec_id") % 11 == 0, F.desc(F.round("score", 9)), "vec_id")
-    return s.select("vec_id", "label", F.round("score", 6).alias("score"), F.row_number().over(w).cast("long").alias("place"))
+    """Every vector scored and ranked for every query: a stated query set against all rows, by one broadcast of the queries if they are small."""
+    q, v = _vector_queries(spark, d)
+    n = F.col("vec_id")
+    pool = V.top_k_join(q, v, v.count()).select("query_id", F.col("id").alias("vec_id"), F.col("similarity").alias("cosine"))
+    pool = pool.withColumns({"keyword_score": n % 5, "tag_score": n % 3, "blacklisted": n % 11 == 0, "relevance": (n % 7).cast("double"), "place": n})
+    return retrieval.ranked(retrieval.scored(pool)).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("pool_rank").cast("long").alias("place"))
 
 
-@query(f"""WITH {_VEC}, k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id % 7 DESC, vec_id) AS place FROM v ORDER BY place LIMIT 30),
-n AS (SELECT vec_id, 30 + row_number() OVER (ORDER BY round(list_cosine_similarity(e, qe), 9) DESC, vec_id) AS place FROM v, q ORDER BY place LIMIT 30)
-SELECT vec_id, min(place) AS place FROM (SELECT * FROM k UNION ALL SELECT * FROM n) GROUP BY vec_id""")
+@query(f"""WITH {_PAIRS}, k AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY (vec_id + query_id) % 7 DESC, vec_id) AS place FROM p),
+n AS (SELECT query_id, vec_id, 30 + row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS place FROM p)
+SELECT query_id, vec_id, min(place) AS place FROM (SELECT * FROM k WHERE place <= 30 UNION ALL SELECT * FROM n WHERE place <= 60) GROUP BY query_id, vec_id""")
 def candidate_union(spark, d):
-    v, q = _first_vector(spark, d)
-    place = lambda df, *order: df.orderBy(*order).limit(30).withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    k = place(v.select("vec_id"), F.desc(F.col("vec_id") % 7), "vec_id")
-    n = place(V.top_k(v, q, 30, "vec_id").withColumn("similarity", F.round("similarity", 9)), F.desc("similarity"), "vec_id").select("vec_id", (F.col("place") + 30).alias("place"))
-    return k.unionByName(n).groupBy("vec_id").agg(F.min("place").cast("long").alias("place"))
+    q, v = _vector_queries(spark, d)
+    scores = q.select("query_id").crossJoin(v.select("id")).withColumn("keyword_score", ((F.col("id") + F.col("query_id")) % 7).cast("double"))  # the stated query set, against all
+    words = retrieval.by_keywords(q, scores, v.select("id", F.lit(0.0).alias("relevance"), F.col("id").alias("seq")), 30)
+    both = retrieval.united(words, V.top_k_join(q, v, 30), 30)
+    return both.select("query_id", F.col("id").alias("vec_id"), F.col("place").cast("long").alias("place"))
+
+
+@query()
+def approximate_topk(spark, d):
+    """Ten near vectors of every query by the inverted file; tests measure its recall."""
+    q, v = _vector_queries(spark, d)
+    return V.approximate_top_k_join(q, V.index(v, 32), 10, 12).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 # --- keywords
@@ -293,13 +316,13 @@ def document_frequency(spark, d):
     return retrieval.idf(retrieval.postings(b).withColumnRenamed("word", "term"), n).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(f"""WITH g AS (SELECT DISTINCT item_id AS query_id, length(w) AS grp, w AS term, length(w) % 2 = 0 AS direct FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 6),
+@query(f"""WITH g AS (SELECT DISTINCT item_id AS query_id, length(w) AS grp, w AS term, length(w) % 2 = 0 AS direct FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS w FROM benchmark)),
 p AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
 i AS (SELECT term, ln(1 + max(n) / count(*)) / ln(1 + max(n)) AS idf FROM p, n GROUP BY term),
 b AS (SELECT query_id, grp, id, max(idf * CASE WHEN direct THEN 1.0 ELSE 0.3 END) AS best FROM g JOIN p USING (term) JOIN i USING (term) GROUP BY query_id, grp, id)
 SELECT query_id, id, round(sum(best), 6) AS score FROM b GROUP BY query_id, id""")
 def keyword_group_scores(spark, d):
-    w = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("term")).where("length(term) >= 6").distinct()
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}\p{M}_]+)"), 1)).alias("term")).distinct()
     g = w.select("query_id", F.length("term").alias("grp"), "term", (F.length("term") % 2 == 0).alias("direct"))
     b = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("body"))
     return retrieval.keyword_scores(g, b, F.lit(float(b.count()))).select("query_id", "id", F.round("keyword_score", 6).alias("score"))
@@ -375,15 +398,6 @@ def decay_stats(spark, d):
     return store.decay_stats(bel(spark, d), _now())
 
 
-@query("""WITH s AS (SELECT DISTINCT user_id % 50 AS u, event_id % 7 AS v, event_type AS t FROM events), b AS (SELECT 'User' || u || '-V' || v || '-' || t AS id, u, v, t FROM s),
-p AS (SELECT a.id, b.id AS other_id, (CASE WHEN a.u = b.u THEN 1 ELSE 0 END + CASE WHEN a.v = b.v THEN 1 ELSE 0 END) AS shared FROM b a JOIN b b ON a.t = b.t AND a.id <> b.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other_id) AS n FROM p WHERE shared = 1) SELECT id, other_id, shared FROM r WHERE n = 1""")
-def template_conflicts(spark, d):
-    s = table(spark, d, "events").select((F.col("user_id") % 50).alias("u"), (F.col("event_id") % 7).alias("v"), F.col("event_type").alias("t")).distinct()
-    s = s.select(F.format_string("User%d-V%d-%s", "u", "v", "t").alias("id"), F.lit("preferences").alias("category"), F.format_string("User%d likes V%d of %s.", "u", "v", "t").alias("content"))
-    return merge.template_conflicts(s)
-
-
 def event_statements(spark, d):
     """A statement for every event: its user and its value in hundredths."""
     e = table(spark, d, "events").select(F.concat(F.lit("event_"), "event_id").alias("id"), F.col("event_id").cast("long").alias("seq"), "user_id", F.round(F.col("value") * 100).cast("long").alias("v"), "event_type")
@@ -393,8 +407,7 @@ def event_statements(spark, d):
 @query("""WITH b AS (SELECT 'event_' || event_id AS id, user_id AS u, round(value * 100)::BIGINT AS v, event_type AS t FROM events),
 p AS (SELECT a.id, b.id AS other_id FROM b a JOIN b ON a.t = b.t AND a.u = b.u AND a.v <> b.v UNION ALL SELECT a.id, b.id FROM b a JOIN b ON a.t = b.t AND a.v = b.v AND a.u <> b.u),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other_id) AS n FROM p) SELECT id, other_id, 1 AS shared FROM r WHERE n = 1""")
-def template_conflicts_all_events(spark, d):
-    """template_conflicts keeps the 1,750 statements of its SQL; these are all events'."""
+def template_conflicts(spark, d):
     return merge.template_conflicts(event_statements(spark, d))
 
 
@@ -445,8 +458,9 @@ def suppressed_constituents(spark, d):
 
 @query(f"""WITH {_BEL} SELECT n // 50 AS query_id, id, row_number() OVER (PARTITION BY n // 50 ORDER BY n % 9 = 0, n % 13 DESC, relevance DESC, n) AS place FROM rel""")
 def blacklist_sort(spark, d):
-    w = Window.partitionBy("query_id").orderBy(F.col("seq") % 9 == 0, F.desc(F.col("seq") % 13), F.desc("relevance"), "seq")
-    return bel(spark, d).withColumn("query_id", F.floor(F.col("seq") / 50)).select("query_id", "id", F.row_number().over(w).cast("long").alias("place"))
+    n = F.col("seq")
+    pool = bel(spark, d).select(F.floor(n / 50).alias("query_id"), "id", "relevance", (n % 9 == 0).alias("blacklisted"), (n % 13).alias("score"), n.alias("place"))
+    return retrieval.ranked(pool).select("query_id", "id", F.col("pool_rank").cast("long").alias("place"))
 
 
 @query(f"""WITH u AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 2 THEN NULL ELSE DATE '2024-01-01' + (turn * 7 % 5)::INTEGER END AS t FROM conversations WHERE turn % 4 <> 1)
@@ -468,6 +482,16 @@ def token_batches(spark, d):
     return b.select("conv_id", F.explode("rows.turn").alias("turn"), "batch")
 
 
+@query(f"""WITH RECURSIVE o AS (SELECT conv_id, turn, {_TOK('text')} AS t, row_number() OVER (ORDER BY turn, conv_id) AS i FROM conversations),
+r AS (SELECT conv_id, turn, i, t AS used, 0 AS batch FROM o WHERE i = 1 UNION ALL
+SELECT o.conv_id, o.turn, o.i, CASE WHEN used > 0 AND used + t > 300 THEN t ELSE used + t END, CASE WHEN used > 0 AND used + t > 300 THEN batch + 1 ELSE batch END FROM r JOIN o ON o.i = r.i + 1)
+SELECT conv_id, turn, batch::BIGINT AS batch FROM r""")
+def review_batches(spark, d):
+    """Batches over all sessions in one order, each as full as it gets."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return ordering.next_fit(c, [F.asc("turn"), F.asc("conv_id")], X.token_count("text"), 300).select("conv_id", "turn", "batch")
+
+
 @query(f"""WITH RECURSIVE o AS (SELECT conv_id, turn, {_TOK('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 r AS (SELECT conv_id, turn, i, t AS used, true AS fits FROM o WHERE i = 1 UNION ALL
 SELECT o.conv_id, o.turn, o.i, CASE WHEN used + t <= 250 THEN used + t ELSE used END, used + t <= 250 FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1)
@@ -509,8 +533,8 @@ def hourly_counts(spark, d):
 
 @query("""SELECT conv_id, turn, 'evt_' || left(sha256(strftime(DATE '2024-01-01' + conv_id::INTEGER, '%Y-%m-%d') || ' 00:00|' || CASE role WHEN 'user' THEN 'user_input' WHEN 'assistant' THEN 'assistant_output' ELSE role END || '|' || upper(role) || '|' || regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 12) AS event_id FROM conversations WHERE trim(text) <> ''""")
 def event_ids(spark, d):
-    m = ingest.memory_chunks(mem(spark, d)).where("chunk_index = 0")
-    return m.select((F.floor(F.col("seq") / 1000)).cast("long").alias("conv_id"), (F.col("seq") % 1000).cast("long").alias("turn"), "event_id")
+    m = ingest.memory_chunks(mem(spark, d))
+    return m.select((F.floor(F.col("seq") / 1000)).cast("long").alias("conv_id"), (F.col("seq") % 1000).cast("long").alias("turn"), "event_id").distinct()
 
 
 @query("""SELECT conv_id, turn, strftime(DATE '2024-01-01' + conv_id::INTEGER, '%Y-%m-%d') AS ts, 'Speaker ' || role AS speaker, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS body FROM conversations WHERE trim(text) <> ''""")
@@ -603,14 +627,33 @@ def memory_table(spark, d) -> DataFrame:
     return HashedStore(64).embed(m.withColumn("b", X.strip_prefix("content")), "b").drop("b")
 
 
-@query()
+def _chunk_sql(table: str, key: str, text: str) -> str:
+    """(key, chunk_index, chunk) of a table's texts: whole sentences packed to 100 tokens, those above 150 split by words first."""
+    return f"""RECURSIVE d AS (SELECT {key}, regexp_replace({text}, '^\\s+|\\s+$', '', 'g') AS text FROM {table}),
+long AS (SELECT * FROM d WHERE {_TOK('text')} > 100),
+s AS (SELECT {key}, unnest(range(len(ps))) AS sn, unnest(ps) AS s FROM (SELECT {key}, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ps FROM long)),
+w AS (SELECT {key}, sn, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT {key}, sn, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS ws FROM s WHERE {_TOK('s')} > 150)),
+wr AS (SELECT {key}, sn, i, w, greatest(1, {_TOK('w')})::BIGINT AS used, 0 AS b FROM w WHERE i = 1 UNION ALL
+SELECT w.{key}, w.sn, w.i, w.w, CASE WHEN used + greatest(1, {_TOK('w.w')}) > 100 THEN greatest(1, {_TOK('w.w')}) ELSE used + greatest(1, {_TOK('w.w')}) END, CASE WHEN used + greatest(1, {_TOK('w.w')}) > 100 THEN b + 1 ELSE b END FROM wr JOIN w ON w.{key} = wr.{key} AND w.sn = wr.sn AND w.i = wr.i + 1),
+pc AS (SELECT {key}, sn, 0 AS b, s AS p FROM s WHERE {_TOK('s')} <= 150 UNION ALL SELECT {key}, sn, b, string_agg(w, ' ' ORDER BY i) FROM wr GROUP BY {key}, sn, b),
+o AS (SELECT {key}, p, {_TOK('p')} AS t, row_number() OVER (PARTITION BY {key} ORDER BY sn, b) AS i FROM pc),
+r AS (SELECT {key}, i, p, t::BIGINT AS used, 0 AS n FROM o WHERE i = 1 UNION ALL
+SELECT o.{key}, o.i, o.p, CASE WHEN used + t > 100 THEN t ELSE used + t END, CASE WHEN used + t > 100 THEN n + 1 ELSE n END FROM r JOIN o ON o.{key} = r.{key} AND o.i = r.i + 1),
+chunks AS (SELECT {key}, n AS chunk_index, string_agg(p, ' ' ORDER BY i) AS chunk FROM r GROUP BY {key}, n UNION ALL SELECT {key}, 0, text FROM d WHERE text <> '' AND {_TOK('text')} <= 100)"""
+
+
+@query(f"WITH {_chunk_sql('documents', 'doc_id', 'text')} SELECT doc_id, chunk_index, chunk FROM chunks")
 def chunk_pack(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(ingest.chunk_text("text")).alias("chunk_index", "chunk"))
 
 
-@query()
+_MEM = """(SELECT conv_id * 1000 + turn AS seq, text, strftime(DATE '2024-01-01' + conv_id::INTEGER, '%Y-%m-%d') || ' 00:00' AS ts, upper(role) AS speaker, CASE role WHEN 'user' THEN 'user_input' WHEN 'assistant' THEN 'assistant_output' ELSE role END AS source FROM conversations)"""
+
+
+@query(f"""WITH {_chunk_sql(_MEM, 'seq', 'text')}, e AS (SELECT seq, 'evt_' || left(sha256(ts || '|' || source || '|' || speaker || '|' || regexp_replace(text, '^\\s+|\\s+$', '', 'g')), 12) AS event_id, ts, speaker FROM {_MEM})
+SELECT 'mem_' || left(sha256(event_id || ':' || chunk_index || ':' || chunk), 12) AS id, event_id, chunk_index, (count(*) OVER (PARTITION BY seq))::INTEGER AS chunk_count, '[' || ts || '] ' || speaker || ': ' || chunk AS content, seq FROM chunks JOIN e USING (seq)""")
 def memory_rows(spark, d):
-    return ingest.memory_chunks(mem(spark, d))
+    return ingest.memory_chunks(mem(spark, d)).select("id", "event_id", "chunk_index", "chunk_count", "content", "seq")
 
 
 @query()
@@ -674,5 +717,53 @@ def reviewed_beliefs(spark, d):
     def model(prompt: str) -> str:
         return '{"beliefs": [{"content": "Reviewed %d characters.", "term": "review", "source_indices": [1, 99]}]}' % len(prompt)
 
-    formed, _ = consolidate.review(memory_rows(spark, d), model)
+    formed, _ = consolidate.review(ingest.memory_chunks(mem(spark, d)), model)
     return formed.select("id", "content", "memory_refs", "term")
+
+
+def _plain_lines(prompt: str) -> str:
+    """A stand-in model that gives each line of a prompt's turns as a fact, in small letters and without digits."""
+    turns = prompt.split("\n", 1)[1].removesuffix(consolidate.EXTRACT_FORM)
+    return json.dumps({"facts": [re.sub("[0-9]", "", x.lower()).strip() for x in turns.split("\n")]})
+
+
+@query("""WITH l AS (SELECT unnest(string_split(regexp_replace(text, '^ +| +$', '', 'g'), chr(10))) AS x FROM conversations WHERE trim(text) <> ''), c AS (SELECT trim(regexp_replace(lower(x), '[0-9]', '', 'g'), ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS content FROM l)
+SELECT 'bel_' || left(sha256(content), 12) AS id, count(*)::DOUBLE AS verifications FROM c WHERE content <> '' GROUP BY content""")
+def turns_added(spark, d):
+    """All turns as facts: the same fact said again verifies the belief that is there."""
+    turns = table(spark, d, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("session_id"), F.col("text").alias("content"))
+    known, _ = knowledge.add_turns(knowledge.empty(spark), turns, _plain_lines, HashedStore(32), _now(), synthesis=False)
+    return known.beliefs.select("id", "verifications")
+
+
+@query()
+def night_reviewed(spark, d):
+    """The beliefs after a nightly review of all conversations by a stand-in model that names each batch's first two excerpts."""
+
+    def model(prompt: str) -> str:
+        return '{"beliefs": [{"content": "A batch of %d characters was read.", "term": "batch", "source_indices": [1, 2]}]}' % len(prompt)
+
+    empty = knowledge.empty(spark)
+    memory = store.normalize(ingest.memory_chunks(mem(spark, d)))
+    known, _ = knowledge.nightly_review(replace(empty, beliefs=empty.beliefs.unionByName(memory)), model, HashedStore(32), _now())
+    return known.beliefs.select("id", "category", "content", "layer", "reviewed_at", "memory_refs")
+
+
+@query()
+def discovered_clusters(spark, d):
+    """Rollups of the dense groups of four subjects' documents."""
+    b = vectors_of(spark, d).withColumn("content", F.concat(F.element_at(F.array(*map(F.lit, ("Anna", "Boris", "Carla", "Dmitri"))), (F.col("seq") % 4 + 1).cast("int")), F.lit(" "), "content"))
+    known, _ = knowledge.discover_clusters(replace(knowledge.empty(spark), beliefs=b), lambda prompt: f"{len(prompt)} characters in common.", HashedStore(64))
+    return knowledge.structural_clusters(known)
+
+
+def statement_vectors(spark, d) -> DataFrame:
+    """(id, embedding) of every event's statement, 384 wide."""
+    return HashedStore(384).embed(event_statements(spark, d), "content").select("id", "embedding")
+
+
+@query()
+def nearest_statements(spark, d):
+    """Ten nearest of all events' statements for every fiftieth event's."""
+    v = checkpointed(statement_vectors(spark, d))
+    return V.top_k_join(v.where("cast(substring(id, 7) as long) % 50 = 0").withColumnRenamed("id", "query_id"), v, 10)
