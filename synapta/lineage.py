@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -17,6 +18,15 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan._jdf.rdd().getNumPartitions() < cores else scan
 
 
+#: The most bytes of a table that is broadcast for a join; larger ones are shuffled.
+SMALL = 64_000_000
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A table that costs nothing to count, such as a checkpointed one, to be broadcast in the next join if its rows are few enough."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write to the checkpoint folder (spark.checkpoint.dir; in local mode a temporary one if unset) and read from there."""
     spark = df.sparkSession

@@ -7,6 +7,8 @@ candidates of each query: near-duplicates, and the weaving of neighbours.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.nlp import keywords_udf, tags_udf
-from ..lineage import checkpointed
+from ..lineage import checkpointed, sized
 from ..schema import Tunables
 from . import learning
 
@@ -38,10 +40,13 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit(r"(?U)\b"), F.regexp_replace(term, r"([^\w\s])", r"\\$1"), F.lit(r"\b"))
 
 
-def term_matches(terms: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """(term, id) of beliefs that hold the term between word boundaries: an equi-join on the term's first word, then the pattern for phrases."""
-    t = terms.select("term").distinct().withColumn("word", F.regexp_extract("term", _WORDS, 1)).where("word <> ''")
-    words = postings(beliefs)
+def term_matches(terms: DataFrame, beliefs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(term, id) of beliefs that hold the term between word boundaries: an equi-join on the term's first word, then the pattern for phrases.
+
+    words: the beliefs' ``postings``, if they are there already.
+    """
+    t = sized(checkpointed(terms.select("term").distinct().withColumn("word", F.regexp_extract("term", _WORDS, 1)).where("word <> ''")), 100)
+    words = postings(beliefs) if words is None else words
     single = t.where("term = word").select("term", "word").join(words, "word").select("term", "id")
     phrases = t.where("term <> word").join(words, "word").join(beliefs.select("id", "body"), "id").where(F.regexp_like("body", _pattern(F.col("term"))))
     return single.unionByName(phrases.select("term", "id"))
@@ -52,12 +57,12 @@ def idf(matches: DataFrame, n: Column) -> DataFrame:
     return matches.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p(n / F.col("df")) / F.log1p(n))
 
 
-def keyword_scores(groups: DataFrame, beliefs: DataFrame, n: Column, t: Tunables = Tunables()) -> DataFrame:
+def keyword_scores(groups: DataFrame, beliefs: DataFrame, n: Column, t: Tunables = Tunables(), words: DataFrame | None = None) -> DataFrame:
     """(query_id, id, keyword_score) where above 0: per group the best term's rarity, direct or expanded, summed over groups.
 
     groups: (query_id, grp, term, direct).
     """
-    m = checkpointed(term_matches(groups, beliefs))  # counted, then joined; the count is aggregated before it is shuffled
+    m = checkpointed(term_matches(groups, beliefs, words))  # counted, then joined; the count is aggregated before it is shuffled
     weighted = groups.join(idf(m, n), "term").withColumn("weight", F.col("idf") * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight))
     best = weighted.select("query_id", "grp", "term", "weight").join(m, "term").groupBy("query_id", "grp", "id").agg(F.max("weight").alias("best"))
     return best.groupBy("query_id", "id").agg(F.sum("best").alias("keyword_score"))
@@ -94,19 +99,19 @@ def lexicon_matches(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     return hit.withColumn("lexicon_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "id"))).drop("at")
 
 
-def turn_neighbours(anchors: DataFrame, memory: DataFrame, window: int) -> DataFrame:
+def turn_neighbours(anchors: DataFrame, memory: DataFrame, window: int, few=lambda a: a) -> DataFrame:
     """(anchor_id, id, distance, after) of chunks in turns of the same session up to ``window`` away: an equi-join on session and exact turn."""
     a = anchors.where("session_id is not null and turn_no is not null").select(F.col("id").alias("anchor_id"), "session_id", F.col("turn_no").alias("at"))
     steps = F.explode(F.array(*[F.lit(d) for d in range(-window, window + 1) if d])).alias("step")
     a = a.distinct().select("anchor_id", "session_id", "at", steps).withColumn("turn_no", F.col("at") + F.col("step"))
-    return a.join(memory.where("session_id is not null and turn_no is not null"), ["session_id", "turn_no"]).select("anchor_id", "id", F.abs("step").alias("distance"), (F.col("step") > 0).alias("after"))
+    return few(a).join(memory.where("session_id is not null and turn_no is not null"), ["session_id", "turn_no"]).select("anchor_id", "id", F.abs("step").alias("distance"), (F.col("step") > 0).alias("after"))
 
 
-def siblings(anchors: DataFrame, memory: DataFrame) -> DataFrame:
+def siblings(anchors: DataFrame, memory: DataFrame, few=lambda a: a) -> DataFrame:
     """(anchor_id, id) of chunks just before and after in the same event."""
     a = anchors.where("event_id is not null and chunk_index is not null").select(F.col("id").alias("anchor_id"), "event_id", F.col("chunk_index").alias("at")).distinct()
     a = a.select("anchor_id", "event_id", F.explode(F.array(F.col("at") - 1, F.col("at") + 1)).alias("chunk_index"))
-    return a.join(memory, ["event_id", "chunk_index"]).select("anchor_id", "id")
+    return few(a).join(memory, ["event_id", "chunk_index"]).select("anchor_id", "id")
 
 
 def without_constituents(pool: DataFrame) -> DataFrame:
@@ -166,7 +171,7 @@ def ranked(pool: DataFrame) -> DataFrame:
 _NARROW = ["id", "category", "source", "relations", "conceptual_tags", "embedding", "tokens", "relevance", "seq", "session_id", "turn_no", "chunk_index", "event_id", "time"]
 
 
-def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tunables = Tunables()) -> DataFrame:
+def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tunables = Tunables(), words: DataFrame | None = None) -> DataFrame:
     """The union of each query's best by keywords and by vectors, with all scores and the order of first appearance.
 
     queries: (query_id, query_embedding, query_tags, blacklist); beliefs as ``searchable`` makes them.
@@ -174,10 +179,10 @@ def candidates(queries: DataFrame, groups: DataFrame, beliefs: DataFrame, t: Tun
     one = beliefs.agg(F.count("*").alias("n_beliefs"), F.avg("tokens").alias("mean_tokens"), F.max(F.coalesce(F.col("category") == "memory", F.lit(False))).alias("has_memory")).first()  # a single row of totals
     n = one["n_beliefs"]
     k = max(30, min(60, int(0.10 * n)))
-    scores = checkpointed(keyword_scores(groups, beliefs, F.lit(float(max(1, n))), t))
+    scores = checkpointed(keyword_scores(groups, beliefs, F.lit(float(max(1, n))), t, words))
     near = V.top_k_join(queries.select("query_id", F.col("query_embedding").alias("embedding")), beliefs, k)
-    pool = united(by_keywords(queries, scores, beliefs, k), near, k)
-    pool = pool.join(queries, "query_id").join(beliefs.select(*_NARROW), "id").join(scores, ["query_id", "id"], "left")
+    pool = sized(checkpointed(united(by_keywords(queries, scores, beliefs, k), near, k)), 60)
+    pool = pool.join(beliefs.select(*_NARROW), "id").join(queries, "query_id").join(scores, ["query_id", "id"], "left")
     pool = pool.withColumns({"keyword_score": F.coalesce("keyword_score", F.lit(0.0)), "tag_score": tag_overlap("query_tags", "conceptual_tags"), **_against_query()})
     return scored(pool).select("query_id", *_NARROW, "place", "score", "cosine", "blacklisted", F.lit(float(one["mean_tokens"] or 30.0)).alias("mean_tokens"), F.lit(bool(one["has_memory"])).alias("has_memory"))
 
@@ -205,28 +210,30 @@ def arranged(rows: DataFrame, t: Tunables = Tunables()) -> DataFrame:
 
 def purge(rows: list[dict], t: Tunables = Tunables()) -> list[dict]:
     """Collapse near-identical candidates, in order: each joins the first group whose current survivor is similar enough."""
+    has = [r["embedding"] is not None and len(r["embedding"]) > 0 for r in rows]
+    at = {i: n for n, i in enumerate(i for i, h in enumerate(has) if h)}
+    unit = np.array([np.asarray(rows[i]["embedding"], np.float32) for i in at]) if at else np.zeros((0, 1), np.float32)
+    norm = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.divide(unit, norm, out=unit, where=norm > 0)
+    alike = unit @ unit.T >= t.duplicate_similarity
     kept: list[dict] = []
-    units: list[np.ndarray | None] = []
-    for r in rows:
-        e = r["embedding"]
-        v = None if e is None or not len(e) else np.asarray(e, np.float32)
-        u = None
-        if v is not None:
-            norm = float(np.linalg.norm(v))
-            u = v / norm if norm else v
-            for i, other in enumerate(units):
-                if other is not None and float(u @ other) >= t.duplicate_similarity:
-                    gain = r["cosine"] - kept[i]["cosine"]
-                    newer = (r["time"] or "") > (kept[i]["time"] or "")
-                    if gain > t.duplicate_margin or (abs(gain) <= t.duplicate_margin and newer):
-                        kept[i], units[i] = r, u
-                    break
-            else:
-                kept.append(r)
-                units.append(u)
+    place: list[int] = []  # which of the kept have a vector
+    vector = np.zeros(len(at), np.int64)  # and where it is
+    for i, r in enumerate(rows):
+        if not has[i]:
+            kept.append(r)
             continue
-        kept.append(r)
-        units.append(None)
+        near = np.flatnonzero(alike[at[i], vector[: len(place)]])
+        if not len(near):
+            vector[len(place)] = at[i]
+            place.append(len(kept))
+            kept.append(r)
+            continue
+        first = int(near[0])
+        old = kept[place[first]]
+        gain, newer = r["cosine"] - old["cosine"], (r["time"] or "") > (old["time"] or "")
+        if gain > t.duplicate_margin or (abs(gain) <= t.duplicate_margin and newer):
+            kept[place[first]], vector[first] = r, at[i]
     return kept
 
 
@@ -318,39 +325,58 @@ def first_parts(survivors: DataFrame, t: Tunables = Tunables()) -> DataFrame:
     return z.select("query_id", "row", "fits", F.nullif(F.array_position("anchors", F.col("row.id")), F.lit(0)).alias("anchor"))
 
 
-def retrieve(queries: DataFrame, beliefs: DataFrame, expansions: dict[str, list[str]] | DataFrame | None = None, t: Tunables = Tunables()) -> DataFrame:
+@dataclass(frozen=True)
+class Prepared:
+    """A belief table as retrieval reads it: written once, for many batches of queries."""
+
+    beliefs: DataFrame
+    words: DataFrame
+    lexicon: DataFrame
+
+
+def prepare(beliefs: DataFrame, t: Tunables = Tunables()) -> Prepared:
+    """What all queries need of the beliefs: derived columns, the postings of their words, the lexicon."""
+    b = checkpointed(searchable(beliefs))
+    return Prepared(b, checkpointed(postings(b)), checkpointed(learning.lexicon(beliefs, t)))
+
+
+def retrieve(queries: DataFrame, beliefs: DataFrame | Prepared, expansions: dict[str, list[str]] | DataFrame | None = None, t: Tunables = Tunables()) -> DataFrame:
     """(query_id, pos, id, content) of what goes into each query's context.
 
-    queries: (query_id, text, query_embedding, blacklist). Blank texts get nothing. expansions: the vocabulary that ``knowledge.sync``
-    gives; without it, what is built in and the lexicon of ``beliefs``.
+    queries: (query_id, text, query_embedding, blacklist). Blank texts get nothing. beliefs: the table, or ``prepare`` of it.
+    expansions: the vocabulary that ``knowledge.sync`` gives; without it, what is built in and the lexicon of ``beliefs``.
     """
+    p = beliefs if isinstance(beliefs, Prepared) else Prepared(searchable(beliefs), None, learning.lexicon(beliefs, t))
+    b, lex = p.beliefs, p.lexicon
     queries = queries.where(F.trim("text") != "").withColumn("query_id", F.col("query_id").cast("string"))
-    b = searchable(beliefs)
-    lex = learning.lexicon(beliefs, t)
     if expansions is None:
         built_in = [(k, w.lower()) for k, ws in learning.DEFAULT_EXPANSIONS.items() for w in ws]
-        expansions = beliefs.sparkSession.createDataFrame(built_in, "trigger string, term string").unionByName(lex.select(F.col("key").alias("trigger"), F.explode("words").alias("term"))).distinct()
+        expansions = b.sparkSession.createDataFrame(built_in, "trigger string, term string").unionByName(lex.select(F.col("key").alias("trigger"), F.explode("words").alias("term"))).distinct()
     q, groups = analyse(queries, expansions, t)
     q = q.select("query_id", "query_embedding", "query_tags", "blacklist")
     q, groups = checkpointed(q), checkpointed(groups)  # taggers run once
-    pool = checkpointed(candidates(q, groups, b, t))
-    lexical = lexicon_matches(queries, lex)
+    pool = checkpointed(candidates(q, groups, b, t, p.words))
+    lexical = checkpointed(lexicon_matches(queries, lex))
     totals = pool.groupBy("query_id").agg(F.max("mean_tokens").alias("mean_tokens"), F.max("has_memory").alias("has_memory"))
-    extra = lexical.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti").join(b.select(*_NARROW), "id").join(q, "query_id").join(totals, "query_id")
+    outside = sized(checkpointed(lexical.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")), 60)
+    extra = outside.join(b.select(*_NARROW), "id").join(q, "query_id").join(totals, "query_id")
     extra = extra.withColumns({"place": F.lit(None).cast("int"), "score": F.lit(0.0), **_against_query()})
     pool = pool.join(lexical, ["query_id", "id"], "left")
     rows = arranged(pool.unionByName(extra.select(*pool.columns)), t)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("query_id", *_CARRIED).schema)
-    survivors = rows.groupBy("query_id").applyInPandas(_purge(t), f"{schema}, pos int")
+    survivors = rows.select("query_id", *_CARRIED, "order", "embedding", "cosine", "time").groupBy("query_id").applyInPandas(_purge(t), f"{schema}, pos int")
     parts = checkpointed(first_parts(survivors, t))
     own = parts.select("query_id", "row.*", "fits")
     memory = b.where("category = 'memory'").select("id", "category", "tokens", "session_id", "turn_no", "chunk_index", "event_id", "seq")
     anchors = parts.where("anchor is not null").select("query_id", "row.*")
-    turns = turn_neighbours(anchors, memory, max(t.turn_window, t.top_turn_window))
-    beside = siblings(anchors, memory).withColumns({"distance": F.lit(0), "after": F.lit(False)})
-    near = turns.unionByName(beside).join(anchors.select("query_id", F.col("id").alias("anchor_id")), "anchor_id").join(memory, "id")
+    few = lambda a: sized(checkpointed(a), 200)
+    turns = turn_neighbours(anchors, memory, max(t.turn_window, t.top_turn_window), few)
+    beside = siblings(anchors, memory, few).withColumns({"distance": F.lit(0), "after": F.lit(False)})
+    found = few(turns.unionByName(beside))
+    near = found.join(memory, "id").join(anchors.select("query_id", F.col("id").alias("anchor_id")), "anchor_id")
     woven = own.unionByName(near, allowMissingColumns=True).groupBy("query_id").applyInPandas(_weave(t), "query_id string, pos int, id string")
-    return woven.join(b.select("id", "content"), "id").select("query_id", "pos", "id", "content")
+    picked = sized(checkpointed(woven), 60)
+    return picked.join(b.select("id", "content"), "id").select("query_id", "pos", "id", "content")
 
 
 def render(picked: DataFrame, now: Column) -> DataFrame:
@@ -365,6 +391,7 @@ class Injector:
 
     def __init__(self, beliefs: DataFrame, embed, expansions: dict[str, list[str]] | None = None, tunables: Tunables = Tunables()):
         self.beliefs, self.embed, self.expansions, self.tunables = beliefs, embed, expansions, tunables
+        self.prepared: Prepared | None = None  # made at the first query
         self.recent: list[str] = []
 
     def inject(self, text: str, context: str = "", now: str = "", limit: int | None = None) -> str:
@@ -374,7 +401,8 @@ class Injector:
         spark = self.beliefs.sparkSession
         row = [("0", whole, [float(x) for x in self.embed(whole)], self.recent)]
         q = spark.createDataFrame(row, "query_id string, text string, query_embedding array<double>, blacklist array<string>")
-        picked = [r for r in retrieve(q, self.beliefs, self.expansions, self.tunables).orderBy("pos").collect() if limit is None or r["pos"] <= limit]
+        self.prepared = self.prepared or prepare(self.beliefs, self.tunables)
+        picked = [r for r in retrieve(q, self.prepared, self.expansions, self.tunables).orderBy("pos").collect() if limit is None or r["pos"] <= limit]
         if not picked:
             return ""
         self.recent = (self.recent + [r["id"] for r in picked if r["id"] not in self.recent])[-self.tunables.blacklist_size :]
