@@ -17,8 +17,9 @@ near documents are in one or in neighbours: homes stay in theirs, replicas go to
 More blocks mean fewer replicas but more comparisons, so their number follows from the number
 of distinct fingerprints (``blocks_for``).
 
-Equal fingerprints are one node, so thousands of copies are one; an anchor sends on a
-forest rather than all pairs. Whatever is counted by fingerprint, node or group is aggregated
+Equal fingerprints are one node, so thousands of copies are one. Of an anchor only the homes are
+held, about one row in 17, and replicas pass by them batch by batch; pairs are folded into a forest as they
+are found, so memory grows neither with an anchor's replicas nor with the square of near copies that all differ. Whatever is counted by fingerprint, node or group is aggregated
 before the shuffle and joined back, never gathered in a window, so that a hot one is split by
 adaptive execution.
 
@@ -45,6 +46,9 @@ PAIR_BITS = 14
 LENGTH_RATIO = 0.7
 _POWER = 0.6
 _TILE = 1 << 15
+#: Pairs compared at once, few enough for a core's cache, and edges held at least before they are made a forest.
+_PAIRS = 1 << 17
+_LINKS = 1 << 16
 
 
 def _signs(doc: np.ndarray, h: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
@@ -166,7 +170,7 @@ def _replicate_udf(blocks: int):
                     home[: len(x)] = True
                     rows = part.take(pa.array(at))
                     key = anchor | where << np.int64(32) | np.int64(j) << np.int64(40)
-                    yield pa.record_batch([pa.array(key), pa.array(home), *rows.columns], names=["anchor", "home", *rows.schema.names])
+                    yield pa.record_batch([pa.array(key << np.int64(1) | ~home), *rows.columns], names=["at", *rows.schema.names])
 
     return run
 
@@ -184,64 +188,78 @@ def components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _near(homes: np.ndarray, rows: np.ndarray, fp, fp2, n_words):
-    """Pairs (home row, other row) that are near duplicates, by tiles."""
-    out = []
-    step = max(1, 2_000_000 // max(1, len(rows)))
-    for lo in range(0, len(homes), step):
-        h = homes[lo : lo + step]
-        i, j = np.nonzero(np.bitwise_count(fp[h][:, None] ^ fp[rows]) <= WORD_BITS)
-        i, j = h[i], rows[j]
-        small, large = np.minimum(n_words[i], n_words[j]), np.maximum(n_words[i], n_words[j])
-        ok = (np.bitwise_count(fp2[i] ^ fp2[j]) <= PAIR_BITS) & (small >= LENGTH_RATIO * large)
-        out.append((i[ok], j[ok]))
-    return [np.concatenate(x) for x in zip(*out)] if out else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _compare(t: pa.RecordBatch):
-    """Edges from the least node of each component at each anchor; rows come sorted by anchor."""
-    key, home = t.column("anchor").to_numpy(), t.column("home").to_numpy(zero_copy_only=False)
-    node, n_words = t.column("node").to_numpy(), t.column("n_words").to_numpy()
-    fp, fp2 = (t.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-    found_a, found_b = [], []
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        h = home[lo:hi]
-        a, b = np.flatnonzero(h), np.flatnonzero(~h)
-        if not len(a) or len(b) < 2:
+def _near(homes: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...]):
+    """Yield (home node, other node) of pairs that are near duplicates, by tiles; homes and rows are (node, fp, fp2, n_words)."""
+    node, fp, fp2, n_words = rows
+    step = max(1, _PAIRS // len(fp))
+    for lo in range(0, len(homes[0]), step):
+        h_node, h_fp, h_fp2, h_words = (x[lo : lo + step] for x in homes)
+        i, j = np.divmod(np.flatnonzero(np.bitwise_count(h_fp[:, None] ^ fp) <= WORD_BITS), len(fp))
+        if not len(i):
             continue
-        s = slice(lo, hi)
-        i, j = _near(a, b, fp[s], fp2[s], n_words[s])
-        names = node[s]
-        i, j = names[i], names[j]
-        differ = i != j
-        if differ.any():
-            ids, places = np.unique(np.concatenate([i[differ], j[differ]]), return_inverse=True)
-            half = len(places) // 2
-            label = components(places[:half], places[half:], len(ids))
-            other = label != np.arange(len(ids))
-            found_a.append(ids[other])
-            found_b.append(ids[label[other]])
-    if found_a:
-        yield pa.record_batch([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["u", "v"])
+        small, large = np.minimum(h_words[i], n_words[j]), np.maximum(h_words[i], n_words[j])
+        ok = (np.bitwise_count(h_fp2[i] ^ fp2[j]) <= PAIR_BITS) & (small >= LENGTH_RATIO * large) & (h_node[i] != node[j])
+        if ok.any():
+            yield h_node[i[ok]], node[j[ok]]
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least one of its component."""
+    ids, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = components(places[: len(u)], places[len(u) :], len(ids))
+    other = label != np.arange(len(ids))
+    return ids[other], ids[label[other]]
+
+
+class _Links:
+    """Edges found so far, made a forest again whenever they are many more than its own."""
+
+    def __init__(self):
+        self.found, self.n, self.most = [], 0, _LINKS
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        self.found.append((u, v))
+        self.n += len(u)
+        if self.n > self.most:
+            self.fold()
+
+    def fold(self) -> None:
+        self.found = [_forest(*(np.concatenate(x) for x in zip(*self.found)))]
+        self.n = len(self.found[0][0])
+        self.most = 2 * self.n + _LINKS
+
+    def taken(self) -> pa.RecordBatch:
+        self.fold()
+        (u, v), = self.found
+        self.__init__()
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _compare_udf(batches):
-    """Batches are cut at anchors; an anchor that spans batches is held until it ends."""
-    held: list[pa.RecordBatch] = []
+    """Edges between near nodes; rows come sorted by anchor, its homes first: they are held, and replicas pass by them."""
+    links, last, homes = _Links(), None, []
     for b in batches:
         if not len(b):
             continue
-        key = b.column("anchor").to_numpy()
-        if key[0] == key[-1] and held and held[-1].column("anchor")[-1].as_py() == key[0]:
-            held.append(b)
-            continue
-        cut = int(np.searchsorted(key, key[-1]))
-        if held or cut:
-            yield from _compare(pa.concat_batches([*held, b.slice(0, cut)]))
-        held = [b.slice(cut)]
-    if held:
-        yield from _compare(pa.concat_batches(held))
+        at = b.column("at").to_numpy()
+        columns = (b.column("node").to_numpy(), *(b.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")), b.column("n_words").to_numpy())
+        # runs of homes or of replicas of one anchor
+        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+        for lo, hi, what in zip(edges[:-1].tolist(), edges[1:].tolist(), at[edges[:-1]].tolist()):
+            if what >> 1 != last:
+                last, homes = what >> 1, []
+                if links.n > _LINKS:
+                    yield links.taken()
+            rows = tuple(c[lo:hi] for c in columns)
+            if not what & 1:
+                homes.append(rows)
+            elif homes:
+                if len(homes) > 1:
+                    homes = [tuple(np.concatenate(x) for x in zip(*homes))]
+                for u, v in _near(homes[0], rows):
+                    links.add(u, v)
+    if links.n:
+        yield links.taken()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -277,8 +295,8 @@ def _grouped(docs: DataFrame, blocks: int | None) -> DataFrame:
     prints = checkpoint(fingerprints(docs))
     key = ["fp", "fp2", "n_words"]
     nodes = checkpoint(prints.groupBy(*key).agg(F.min("doc_id").alias("node")))
-    at_anchors = nodes.select("node", *key).mapInArrow(_replicate_udf(blocks or blocks_for(nodes.count())), "anchor long, home boolean, node long, fp long, fp2 long, n_words int")
-    parted = at_anchors.repartition("anchor").sortWithinPartitions("anchor")
+    at_anchors = nodes.select("node", *key).mapInArrow(_replicate_udf(blocks or blocks_for(nodes.count())), "at long, node long, fp long, fp2 long, n_words int")
+    parted = at_anchors.repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
     edges = parted.mapInArrow(_compare_udf, "u long, v long")
     members = prints.join(nodes, key).select("doc_id", "node")
     # texts of one doc_id hang together too

@@ -197,6 +197,28 @@ def test_anchors_cover_and_meet():
         assert all((i, h) in reached for i, h in enumerate(a.home(x).tolist()))
 
 
+def test_near_copies_that_all_differ_are_compared_in_little_memory():
+    """2,016 fingerprints within 4 bits of each other are some two million pairs at an anchor, none of which need be held."""
+    import tracemalloc
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    n = 2016
+    fp = np.array([1 << a | 1 << b for a, b in combinations(range(64), 2)], np.uint64).view(np.int64)
+    nodes = pa.record_batch([pa.array(np.arange(n)), pa.array(fp), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, 100, np.int32))], names=["node", "fp", "fp2", "n_words"])
+    rows = pa.Table.from_batches(list(S._replicate_udf(6)(iter([nodes]))))
+    rows = rows.sort_by(rows.column_names[0]).combine_chunks()
+    tracemalloc.start()
+    try:
+        edges = pa.Table.from_batches(list(S._compare_udf(iter(rows.to_batches(10_000)))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not S.components(edges["u"].to_numpy(), edges["v"].to_numpy(), n).any()
+    assert peak < 50e6
+
+
 def test_remove_keeps_nulls_and_one_of_each_group(make, corpus):
     kept = S.remove(make(corpus)).collect()
     want = {i for i, _ in corpus if i is not None} - {i for i, g, _ in brute_groups(corpus) if i != g}
