@@ -129,9 +129,10 @@ def distinct(texts: list[str]) -> np.ndarray:
         return np.zeros(0, int)
     parts = [simhash_dedup.fingerprints_of(data, offs) for _, data, offs in slices(pa.array(texts, pa.string()))]
     fp, fp2, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    every = np.arange(len(fp))
-    a, b = simhash_dedup._near(every, every, fp, fp2, size)
-    return np.flatnonzero(simhash_dedup.components(a, b, len(fp)) == every)
+    every, links = np.arange(len(fp)), simhash_dedup._Links()
+    for u, v in simhash_dedup._near((every, fp, fp2, size), (every, fp, fp2, size)):
+        links.add(u, v)
+    return np.setdiff1d(every, links.taken()["u"].to_numpy()) if links.n else every
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:

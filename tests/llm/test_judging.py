@@ -122,6 +122,23 @@ def test_held_out_documents_and_their_sentences(make, toxic):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in rows if not r.toxic)
 
 
+def test_near_copies_count_once_in_little_memory():
+    """Near copies and the copies of one text stand for one; 3,000 copies are nine million pairs, none of which need be held."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = [prose(rng, 100) for _ in range(40)]
+    near = [t.replace(t.split()[5], "changed", 1) for t in texts[:10]]
+    assert toxicity.distinct(texts + near + texts[20:25]).tolist() == list(range(40))
+    assert toxicity.distinct([]).tolist() == [] and toxicity.distinct(texts).tolist() == list(range(40)) and toxicity.distinct(["", " ", "one"]).tolist() == [0, 2]
+    tracemalloc.start()
+    try:
+        assert toxicity.distinct(texts[:1] * 3000).tolist() == [0]
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_length_alone_makes_no_document_toxic(make):
     rng = random.Random(7)
     docs, labels = toxic_corpus(400, rng)
