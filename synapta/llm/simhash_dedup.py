@@ -49,6 +49,8 @@ _TILE = 1 << 15
 #: Pairs compared at once, few enough for a core's cache, and edges held at least before they are made a forest.
 _PAIRS = 1 << 17
 _LINKS = 1 << 16
+#: Replicas that one task makes, about 130 MB while they are sorted for the shuffle.
+_REPLICAS = 2_000_000
 
 
 def _signs(doc: np.ndarray, h: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
@@ -290,13 +292,22 @@ def connect(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _at_anchors(nodes: DataFrame, blocks: int | None) -> DataFrame:
+    """Homes and replicas of all nodes, by as many tasks as keep each to _REPLICAS: nodes are a few narrow partitions, whose replicas would fill the executors."""
+    n = nodes.count()
+    blocks = blocks or blocks_for(n)
+    each = 2 * min(cost for b, (cost, _) in _COSTS.items() if b <= blocks)
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, min(-(-n * each // _REPLICAS), 10_000))
+    spread = nodes.select("node", "fp", "fp2", "n_words").repartition(tasks, "node")
+    return spread.mapInArrow(_replicate_udf(blocks), "at long, node long, fp long, fp2 long, n_words int")
+
+
 def _grouped(docs: DataFrame, blocks: int | None) -> DataFrame:
     """(doc_id, node, root) of every document whose node is in a component of two or more, or stands for two or more documents."""
     prints = checkpoint(fingerprints(docs))
     key = ["fp", "fp2", "n_words"]
     nodes = checkpoint(prints.groupBy(*key).agg(F.min("doc_id").alias("node")))
-    at_anchors = nodes.select("node", *key).mapInArrow(_replicate_udf(blocks or blocks_for(nodes.count())), "at long, node long, fp long, fp2 long, n_words int")
-    parted = at_anchors.repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+    parted = _at_anchors(nodes, blocks).repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
     edges = parted.mapInArrow(_compare_udf, "u long, v long")
     members = prints.join(nodes, key).select("doc_id", "node")
     # texts of one doc_id hang together too

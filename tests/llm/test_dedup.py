@@ -219,6 +219,17 @@ def test_near_copies_that_all_differ_are_compared_in_little_memory():
     assert peak < 50e6
 
 
+def test_no_task_makes_many_more_replicas_than_its_share(spark, monkeypatch):
+    """Nodes that lie in one partition are spread before they are replicated, lest one task's replicas fill an executor."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "_REPLICAS", 20_000)
+    nodes = spark.range(4000).coalesce(1).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"), F.xxhash64("id", F.lit(1)).alias("fp2"), F.lit(100).alias("n_words"))
+    for blocks in (None, 6, 5, 4):
+        rows = S._at_anchors(nodes, blocks).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes")).collect()
+        assert sum(r.nodes for r in rows) == 4000 and max(r.n for r in rows) < 2 * 20_000, blocks
+
+
 def test_remove_keeps_nulls_and_one_of_each_group(make, corpus):
     kept = S.remove(make(corpus)).collect()
     want = {i for i, _ in corpus if i is not None} - {i for i, g, _ in brute_groups(corpus) if i != g}
