@@ -219,6 +219,13 @@ def test_chunks_are_bounded_and_lose_nothing(spark):
     assert one(spark, ingest.chunk_text(F.lit("  short text. "))) == ["short text."] and one(spark, ingest.chunk_text(F.lit(" "))) == []
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    text = "0 one. 1 two 1. 2nd of 3.3 parts 2. 33.122.173.101\n4512 and 4"
+    assert one(spark, X.sentences(F.lit(text))) == ["0 one.", "1 two 1.", "2nd of 3.3 parts 2.", "33.122.173.101", "4512 and 4"]
+    long = " ".join(f"{i}{i} words of a sentence that is number {i}." for i in range(40))
+    assert " ".join(one(spark, ingest.chunk_text(F.lit(long)))).split() == long.split()
+
+
 def events(spark, rows):
     return spark.createDataFrame([(t, "user_input", ts, s, n, who, datetime(2024, 1, 1), i) for i, (t, ts, s, n, who) in enumerate(rows)], "text string, source string, ts string, session_id string, turn_id string, speaker string, ingested_at timestamp, seq long")
 
