@@ -208,6 +208,24 @@ def test_fold_equals_a_loop_over_single_merges(spark):
     assert {(i, r.content, round(r.confidence, 9)) for i, r in whole.items()} == {(r["id"], r["content"], round(r["confidence"], 9)) for r in step}
 
 
+def test_rivals_of_a_common_value_are_found_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    said = [f"Met {rng.choice('ABCD')}x and {rng.choice('ABC')}x at {rng.choice('AEFG')}x" for _ in range(60)] + [f"From {' '.join(rng.choice('ABC') + 'y' for _ in range(7))}" for _ in range(40)] + [f"Ann has {i}" for i in range(30)] + ["Ann has Ann"] * 9
+    rows = [(f"s{i % 130:03d}", rng.choice(["p", "p", "q"]), t) for i, t in enumerate(said)]
+    want = {}
+    for i, c, t in rows:
+        a = merge.salient(t)
+        for j, o, u in rows:
+            b = merge.salient(u)
+            if i != j and c == o and merge.template(t) == merge.template(u) and a & b and a - b and b - a:
+                want[i] = min(want.get(i, (0, "")), (-len(a & b), j))
+    df = spark.createDataFrame(rows, "id string, category string, content string")
+    assert {r.id: (-r.shared, r.other_id) for r in merge.template_conflicts(df).collect()} == want
+    monkeypatch.setattr(merge, "HEADS", 1)  # several stretches of a list
+    same = spark.createDataFrame([(f"s{i:05d}", "p", f"Ann has {i}") for i in range(3000)], "id string, category string, content string")
+    assert {(r.id, r.other_id) for r in merge.template_conflicts(same).collect()} == {(f"s{i:05d}", "s00001" if i == 0 else "s00000") for i in range(3000)}
+
+
 # --- memory
 
 
