@@ -82,6 +82,35 @@ def test_cosine_of_zero_vectors_and_exact_neighbours(spark):
     assert [r.id for r in V.top_k(df, x[3].tolist(), 1).collect()] == [3]
 
 
+def test_neighbours_above_a_floor_and_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((50, 30))
+    x[25:] = x[:25] + 0.4 * rng.standard_normal((25, 30))
+    x[40] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(3)
+    q = df.where("id % 5 < 2").withColumnRenamed("id", "query_id")
+    names, vectors, cells = next(V._passes(q, ["query_id", "embedding"], 3))
+    assert len(names) == 20 and vectors.shape == (20, 30) and vectors.dtype == np.float64 and cells is None
+    monkeypatch.setattr(V, "TILE", 64)
+    monkeypatch.setattr(V, "SIDE", 7)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    pairs = {(r.query_id, r.id): r.similarity for r in V.all_pairs(q, df).collect()}
+    assert set(pairs) == {(a, b) for a in range(50) if a % 5 < 2 for b in range(50)} and all(abs(s - sims[k]) < 1e-12 for k, s in pairs.items())
+    want = {(a, b) for a, _ in pairs for b in sorted(range(50), key=lambda b: (-round(sims[a, b], 9), b))[:3] if sims[a, b] >= 0.8}
+    got = {(r.query_id, r.id) for r in V.top_k_join(q, df, 3, floor=0.8).collect()}
+    assert got == want and 20 < len(got) < 60
+
+
+def test_a_task_gives_on_the_foremost_matches_only(spark):
+    scores = spark.range(300).selectExpr("id % 3 as query_id", "id div 3 as id", "cast(id % 7 as double) as keyword_score").repartition(4)
+    b = spark.range(100).selectExpr("id", "0.0D as relevance", "id as seq")
+    q = spark.range(3).selectExpr("id as query_id")
+    assert retrieval._foremost(scores.join(F.broadcast(b), "id").select("query_id", "id", "keyword_score", "relevance", "seq"), 5).count() == 4 * 3 * 5
+    want = {(q, i, n) for q in range(3) for n, (_, i) in enumerate(sorted((-((3 * i + q) % 7), i) for i in range(100))[:5], 1)}
+    assert {(r.query_id, r.id, r.place) for r in retrieval.by_keywords(q, scores, b, 5).collect()} == want
+
+
 def test_tags_and_keywords():
     assert nlp.tags("Nora likes hiking with her cousins, Ida and Piet") == ["[person]", "[relation]", "[event]", "[person]", "[person]"]
     assert nlp.tags(None) == [] and nlp.keywords("") == []
