@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,10 +142,34 @@ def popular(beliefs: DataFrame, k: int) -> DataFrame:
 def by_keywords(queries: DataFrame, scores: DataFrame, beliefs: DataFrame, k: int) -> DataFrame:
     """(query_id, id, place) of each query's k best by keyword score, then relevance; beliefs without a match are the same for all queries."""
     light = beliefs.select("id", "relevance", "seq")
-    hits = scores.join(light, "id")
+    hits = _foremost(scores.join(sized(light, 40), "id").select("query_id", "id", F.col("keyword_score").cast("double").alias("keyword_score"), F.col("relevance").cast("double").alias("relevance"), "seq"), k)
+    # a match that isn't among a task's foremost comes after k others, and so it does without its score
     rest = queries.select("query_id").crossJoin(F.broadcast(popular(light, k))).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("keyword_score", F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), F.desc("relevance"), "seq")
-    return hits.unionByName(rest).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "place")
+    return hits.unionByName(rest.select(*hits.columns)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "id", "place")
+
+
+def _foremost(hits: DataFrame, k: int) -> DataFrame:
+    """Of each task's rows (query_id, id, keyword_score, relevance, seq) the k that come first for each query: no more are shuffled."""
+
+    def best(parts: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(parts).sort_by([("query_id", "ascending"), ("keyword_score", "descending"), ("relevance", "descending"), ("seq", "ascending")])
+        run = t.column("query_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(np.diff(run, prepend=-1))
+        return t.filter(pa.array(np.arange(len(run)) - np.repeat(new, np.diff(np.append(new, len(run)))) < k))
+
+    def run(batches):
+        held, waiting, kept = [], 0, 0
+        for b in batches:
+            held.append(b)
+            waiting += len(b)
+            if waiting > 2 * kept + 500_000:
+                held = best(held).combine_chunks().to_batches()
+                waiting = kept = sum(map(len, held))
+        if waiting:
+            yield from best(held).to_batches(max_chunksize=20_000)
+
+    return hits.mapInArrow(run, hits.schema)
 
 
 def united(by_words: DataFrame, by_vectors: DataFrame, k: int) -> DataFrame:
