@@ -237,6 +237,25 @@ def test_fold_equals_a_loop_over_single_merges(spark):
     assert {(i, r.content, round(r.confidence, 9)) for i, r in whole.items()} == {(r["id"], r["content"], round(r["confidence"], 9)) for r in step}
 
 
+def test_rivals_of_a_fold_are_the_oldest_that_share_most():
+    rng = random.Random(9)
+    slots, store = merge._Slots(store := {}, False), store
+    for n in range(400):
+        places = rng.choice([2, 3, 7])
+        r = {"id": f"n{n}", "seq": n // 2, "category": "p", "content": " ".join(["With"] * (places > 3) + [rng.choice("ABCDE") + "x" for _ in range(places)])}
+        mine, best = merge.salient(r["content"]), (0, 0, None)
+        for c in store.values():
+            t = merge.salient(c["content"])
+            if merge.template(c["content"]) == merge.template(r["content"]) and t - mine and mine - t and mine & t:
+                best = min(best, (-len(mine & t), c["seq"], c["id"]))
+        assert slots.rival(r) == best[2]
+        store[r["id"]] = r
+        slots.add(r)
+        if n % 3 == 0:
+            slots.remove(gone := store.pop(rng.choice(list(store))))
+            assert all((gone["seq"], gone["id"]) not in x for x in slots.lists.values())
+
+
 def test_rivals_of_a_common_value_are_found_without_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     said = [f"Met {rng.choice('ABCD')}x and {rng.choice('ABC')}x at {rng.choice('AEFG')}x" for _ in range(60)] + [f"From {' '.join(rng.choice('ABC') + 'y' for _ in range(7))}" for _ in range(40)] + [f"Ann has {i}" for i in range(30)] + ["Ann has Ann"] * 9
