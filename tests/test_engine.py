@@ -502,6 +502,22 @@ def test_clusters_by_subject(spark):
     assert {frozenset(r.id for r in got if r.cluster == c) for c in {r.cluster for r in got}} == {frozenset(f"{w}{i}" for i in range(6)) for w in ("health", "cars")}
 
 
+def test_clusters_by_blocks_equal_those_of_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((9, 6))[rng.integers(0, 9, 150)] + 0.3 * rng.standard_normal((150, 6))
+    x[100:120] = x[:20]  # equal points
+    df = beliefs(spark, [{"id": f"i{i:03d}", "content": f"{'Ann' if i % 3 else 'Bob'} {i}", "embedding": v.tolist()} for i, v in enumerate(x)])
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    got = {(r.subject, r.id): r.cluster for r in clusters.subject_clusters(df).collect()}
+    want = {}
+    for name, some in (("Ann", [i for i in range(150) if i % 3]), ("Bob", list(range(0, 150, 3)))):
+        want |= {(name, f"i{i:03d}"): c for i, c in zip(some, clusters.dense_clusters(np.float32(x[some]).astype(float), 5)) if c >= 0}
+    assert got == want and len(set(want.values())) > 2
+    groups = lambda rows, labels: {frozenset(rows[labels == c].tolist()) for c in set(labels.tolist()) - {-1}}
+    order = rng.permutation(150)  # many distances are equal: in what order they are met changes nothing
+    assert groups(np.arange(150), clusters.dense_clusters(x, 5)) == groups(order, clusters.dense_clusters(x[order], 5))
+
+
 # --- compression
 
 
