@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.nlp import keywords_udf, tags_udf
-from ..lineage import checkpointed, sized
+from ..lineage import SMALL, checkpointed, sized
 from ..schema import Tunables
 from . import learning
 
 _WORDS = r"(?U)(\w+)"
+#: Matches of a belief's terms with queries' that one task sums up.
+MET = 1_000_000
 
 
 def searchable(beliefs: DataFrame) -> DataFrame:
@@ -65,8 +67,12 @@ def keyword_scores(groups: DataFrame, beliefs: DataFrame, n: Column, t: Tunables
     """
     m = checkpointed(term_matches(groups, beliefs, words))  # counted, then joined; the count is aggregated before it is shuffled
     weighted = groups.join(idf(m, n), "term").withColumn("weight", F.col("idf") * F.when(F.col("direct"), 1.0).otherwise(t.expanded_weight))
-    best = weighted.select("query_id", "grp", "term", "weight").join(m, "term").groupBy("query_id", "grp", "id").agg(F.max("weight").alias("best"))
-    return best.groupBy("query_id", "id").agg(F.sum("best").alias("keyword_score"))
+    weighted = checkpointed(weighted.select("query_id", "grp", "term", "weight", "df"))
+    met = weighted.agg(F.sum("df")).first()[0] or 0
+    # a belief's terms come to one task, which sums up all that they meet: the pairs aren't shuffled, and a task has about MET of them
+    m = m.repartition(max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-met // MET)), "id")
+    best = m.join(F.broadcast(weighted.drop("df")), "term") if weighted.count() * 60 <= SMALL else m.join(weighted.drop("df"), "term")
+    return best.groupBy("id", "query_id", "grp").agg(F.max("weight").alias("best")).groupBy("query_id", "id").agg(F.sum("best").alias("keyword_score"))
 
 
 def tag_overlap(query_tags, belief_tags) -> Column:

@@ -82,6 +82,16 @@ def test_cosine_of_zero_vectors_and_exact_neighbours(spark):
     assert [r.id for r in V.top_k(df, x[3].tolist(), 1).collect()] == [3]
 
 
+def test_keyword_scores_are_summed_in_parts_of_bounded_size(spark, monkeypatch):
+    b = spark.range(200).selectExpr("id", "concat('alpha beta w', id % 7) as body")
+    g = spark.createDataFrame([(q, n, w, True) for q in range(5) for n, w in enumerate(("alpha", "beta", "w3"))], "query_id long, grp int, term string, direct boolean")
+    monkeypatch.setattr(retrieval, "MET", 100)
+    got = retrieval.keyword_scores(g, b, F.lit(200.0))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning(id#" in plan and ", 22)" in plan
+    assert got.count() == 1000 and got.where("keyword_score > 0.5").count() == 5 * len([i for i in range(200) if i % 7 == 3])
+
+
 def test_neighbours_above_a_floor_and_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((50, 30))
